@@ -114,7 +114,7 @@ RULES = {
     "repeats": ("false", "5 * n_repeat_words > n_words"),
     "duplicate_lines": ("false", "10 * n_dup_lines > 3 * n_lines"),
     "clean_surface": ("40 * (n_symbols + n_marks) <= n_words and 6 * n_upper <= n_letters and 100 * n_letters >= 80 * word_chars", "false"),
-    "fresh": ("20 * n_repeat_words <= n_words and 20 * n_dup_lines <= n_lines", "false"),
+    "prose": ("word_chars between 3 * n_words and 12 * n_words and 100 * n_letters >= 88 * word_chars and 40 * n_marks <= n_words and 20 * n_repeat_words <= n_words and 20 * n_dup_lines <= n_lines", "false"),
 }
 
 
