@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import decontam, quality_qda, weak_supervision
+from sievework.llm import bpe, decontam, pseudonyms, quality_qda, weak_supervision
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +32,20 @@ def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_supervision.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_table(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonym_table(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op5_weak_supervision": op5_weak_supervision,
+    "op6_bpe": op6_bpe,
+    "op8_pseudonyms": op8_pseudonyms,
 }
 
 ORACLES: dict[str, str] = {}

@@ -80,7 +80,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         without("#*$%&|<>").cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(x).cast("long").alias("n"))).alias("l"),
-        less(r"\p{L}+").cast("long").alias("n_letters"),
+        less(r"[\p{L}\p{N}]+").cast("long").alias("n_letters"),
         less(r"\p{Lu}+").cast("long").alias("n_upper"),
         without("!|").cast("long").alias("n_marks"),
     )
