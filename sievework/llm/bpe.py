@@ -27,14 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sievework.llm.common import map_batches
+from sievework.llm.common import UNICODE_SPACE, map_batches
 
 LONG = 400
 CACHE = 400_000
 _NONE = 1 << 62
-#: Unicode white space; Python's str.split() also takes four control characters.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_PIECES = re.compile(f"[^{_SPACE}]+")
+_PIECES = re.compile(f"[^{UNICODE_SPACE}]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Documents are handed to Python in slices of at most so many characters (a longer one goes alone).
 SLICE_CHARS = 4_000_000
+#: Unicode white space; Python's own notion also takes four control characters.
+UNICODE_SPACE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Rows of one Arrow batch; long texts make batches of many MB otherwise.
 ARROW_ROWS = 512
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, decontam, pseudonyms, quality_qda, weak_supervision
+from sievework.llm import bpe, decontam, pseudonyms, quality_qda, rans, weak_supervision
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.score_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_supervision.verdicts(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
+    "op3_rans": op3_rans,
     "op5_weak_supervision": op5_weak_supervision,
     "op6_bpe": op6_bpe,
     "op8_pseudonyms": op8_pseudonyms,
