@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, decontam, pseudonyms, quality_qda, rans, weak_supervision
+from sievework.llm import bpe, decontam, langid, pseudonyms, quality_qda, rans, weak_supervision
 
 
 def vocabulary(name: str) -> str:
@@ -40,6 +40,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_table(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonym_table(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rans": op3_rans,
     "op5_weak_supervision": op5_weak_supervision,
     "op6_bpe": op6_bpe,
+    "op7_language": op7_language,
     "op8_pseudonyms": op8_pseudonyms,
 }
 
