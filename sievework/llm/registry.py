@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, decontam, langid, pseudonyms, quality_qda, rans, weak_supervision
+from sievework.llm import bpe, decontam, langid, near_dups, pseudonyms, quality_qda, rans, weak_supervision
 
 
 def vocabulary(name: str) -> str:
@@ -48,6 +48,10 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonym_table(_table(spark, sf_dir, "documents"))
 
 
+def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.components(_table(spark, sf_dir, "documents"), size=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
     "op8_pseudonyms": op8_pseudonyms,
+    "op10_near_dups": op10_near_dups,
 }
 
 ORACLES: dict[str, str] = {}
