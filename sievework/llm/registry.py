@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, decontam, langid, near_dups, pseudonyms, quality_qda, rans, weak_supervision
+from sievework.llm import bpe, decontam, langid, near_dups, pseudonyms, quality_qda, rans, suffix_dedup, weak_supervision
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +32,10 @@ def op3_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_table(_table(spark, sf_dir, "documents"))
+
+
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_supervision.verdicts(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op3_rans": op3_rans,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_weak_supervision": op5_weak_supervision,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
