@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, decontam, langid, near_dups, pseudonyms, quality_qda, rans, suffix_dedup, weak_supervision
+from sievework.llm import bpe, decontam, html_crf, langid, near_dups, pseudonyms, quality_qda, rans, suffix_dedup, weak_supervision
 
 
 def vocabulary(name: str) -> str:
@@ -52,6 +52,10 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonym_table(_table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.components(_table(spark, sf_dir, "documents"), size=4)
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
     "op8_pseudonyms": op8_pseudonyms,
+    "op9_main_text": op9_main_text,
     "op10_near_dups": op10_near_dups,
 }
 
