@@ -1,0 +1,73 @@
+"""The catalog: table and text assets in one view, its summary and roll-ups."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievework.functions import text as tx
+
+
+def text_assets(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.concat(F.lit("txt_"), F.col("doc_id").cast("string")).alias("asset_id"),
+        F.lit("text").alias("asset_type"),
+        F.col("source").alias("source_file"),
+        F.col("lang").alias("format"),
+        tx.char_count(F.col("text")).alias("size"),
+        tx.text_status(F.col("text")).alias("quality"),
+    )
+
+
+def table_assets(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """One asset for each customer with orders; a negative balance needs review."""
+    counts = orders.groupBy("o_custkey").agg(F.count("*").alias("size"))
+    joined = counts.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return joined.select(
+        F.concat(F.lit("tbl_"), F.col("c_custkey").cast("string")).alias("asset_id"),
+        F.lit("table").alias("asset_type"),
+        F.col("c_name").alias("source_file"),
+        F.col("c_mktsegment").alias("format"),
+        F.col("size"),
+        F.when(F.col("c_acctbal") < 0, "needs_review").otherwise("ready").alias("quality"),
+    )
+
+
+def view(docs: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
+    return table_assets(orders, customers).unionByName(text_assets(docs))
+
+
+def summary(catalog: DataFrame) -> DataFrame:
+    table, text = F.col("asset_type") == "table", F.col("asset_type") == "text"
+    return catalog.agg(
+        F.count("*").alias("assets"),
+        F.count_if(table).alias("tables"),
+        F.count_if(text).alias("texts"),
+        F.count_if(F.col("quality") == "ready").alias("ready"),
+        F.count_if(F.col("quality") == "needs_review").alias("needs_review"),
+        F.count_if(F.col("quality") == "unusable").alias("unusable"),
+        F.sum(F.when(table, F.col("size"))).alias("table_rows"),
+        F.sum(F.when(text, F.col("size"))).alias("text_chars"),
+    )
+
+
+def file_rollup(catalog: DataFrame) -> DataFrame:
+    """One row for each source file with counts and a status ladder."""
+    out = catalog.groupBy("source_file").agg(
+        F.count("*").alias("assets"),
+        F.count_if(F.col("quality") == "ready").alias("ready"),
+        F.count_if(F.col("quality") == "unusable").alias("unusable"),
+        F.sum("size").alias("size"),
+    )
+    status = F.when(F.col("unusable") == F.col("assets"), "unusable").when(F.col("ready") == F.col("assets"), "ready").when(F.col("ready") > 0, "partial").otherwise("needs_review")
+    return out.withColumn("status", status)
+
+
+def list_page(catalog: DataFrame, name_part: str = "", quality: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the filtered list with the total of all matches; letters of either case match."""
+    rows = catalog.where(F.lower("source_file").contains(name_part.lower()))
+    if quality:
+        rows = rows.where(F.col("quality") == quality)
+    total = rows.agg(F.count("*").alias("total"))
+    listed = rows.orderBy("source_file", "asset_type", "asset_id").offset(offset).limit(limit)
+    return listed.crossJoin(F.broadcast(total))

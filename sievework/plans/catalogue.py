@@ -1,14 +1,368 @@
-"""Registered queries of the research-data operators and their DuckDB oracles."""
+"""Registered queries of the research-data operators; their DuckDB oracles are in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sievework.functions import rules
+from sievework.functions import text as tx
+from sievework.functions.inference import infer_types
+from sievework.operators import catalog, chunking, history, layout, profiling, safe_sql, search
+from sievework.plans.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+
+def _query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _dirty(col):
+    """Texts as they come from files: Windows line ends, padded lines, blank runs, control characters."""
+    return F.concat(F.lit(" \x07"), F.replace(col, F.lit("\n"), F.lit(" \t\r\n\r\n\r\n\n")), F.lit("\x0b\r\n"))
+
+
+# --- text -------------------------------------------------------------------------------------------
+
+
+@_query
+def text_clean_profile(spark, d):
+    clean = tx.cleaned(_dirty(F.col("text")))
+    return _t(spark, d, "documents").select("doc_id", tx.char_count(clean).alias("char_count"), tx.line_count(clean).alias("line_count"), F.sha2(clean, 256).alias("clean_sha256"))
+
+
+@_query
+def text_clean_actions(spark, d):
+    raw = _dirty(F.col("text"))
+    a, b, c, e = tx.clean_steps(raw)
+    less = lambda x, y: (F.length(x) - F.length(y)).cast("bigint")
+    return _t(spark, d, "documents").select("doc_id", less(raw, a).alias("line_ends"), less(a, b).alias("line_tails"), less(b, c).alias("blank_runs"), less(c, e).alias("controls"))
+
+
+@_query
+def text_quality_by_lang(spark, d):
+    status = tx.text_status(tx.cleaned(_dirty(F.col("text"))))
+    return _t(spark, d, "documents").groupBy("lang", status.alias("quality")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@_query
+def effective_chars(spark, d):
+    return _t(spark, d, "documents").select("doc_id", tx.effective_chars(F.col("text")).alias("effective"))
+
+
+@_query
+def text_chunks(spark, d):
+    return chunking.chunks(_t(spark, d, "documents"), "doc_id").select("doc_id", "chunk", "start", "end", F.sha2("chunk_text", 256).alias("chunk_sha256"))
+
+
+@_query
+def chunk_counts(spark, d):
+    return chunking.chunks(_t(spark, d, "documents"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("end").alias("chars"))
+
+
+@_query
+def search_all_tokens(spark, d):
+    chunks = chunking.chunks(_t(spark, d, "documents"), "doc_id")
+    return search.search_chunks(chunks, "doc_id", "the that").select("doc_id", "chunk", "kind", "score", "start", "place", F.sha2("snippet", 256).alias("snippet_sha256"))
+
+
+@_query
+def search_phrase_page(spark, d):
+    chunks = chunking.chunks(_t(spark, d, "documents"), "doc_id")
+    hits = search.search_chunks(chunks, "doc_id", "of the", mode="phrase")
+    return search.page(hits, "doc_id", limit=50, offset=10).select("doc_id", "chunk", "kind", "score", "start")
+
+
+@_query
+def search_best_field(spark, d):
+    part = _t(spark, d, "part")
+    fields = part.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(float(w)).alias("weight"), F.col(c).alias("value")) for n, w, c in (("display", 120, "p_name"), ("column", 76, "p_brand"), ("sample", 42, "p_type"))])).alias("f")).select("p_partkey", "f.*")
+    return search.search_fields(fields, "p_partkey", "brand#1")
+
+
+@_query
+def search_total_after_cap(spark, d):
+    chunks = chunking.chunks(_t(spark, d, "documents"), "doc_id")
+    hits = search.search_chunks(chunks, "doc_id", "and")
+    return hits.agg(F.count("*").alias("total"), F.count_distinct("doc_id").alias("assets"))
+
+
+@_query
+def text_occurrences(spark, d):
+    n = tx.occurrences(F.col("text"), "tion")
+    return _t(spark, d, "documents").select("doc_id", n.alias("n")).where("n > 0")
+
+
+@_query
+def conversation_lines(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).alias("offset"), "role")
+
+
+# --- tables -----------------------------------------------------------------------------------------
+
+
+@_query
+def cell_normalize(spark, d):
+    n = F.col("n_nationkey") % 5
+    raw = F.when(n == 0, F.concat(F.lit("  "), F.col("n_name"), F.lit("\t"))).when(n == 1, "N/A").when(n == 2, " null ").when(n == 3, F.concat(F.col("n_name"), F.lit("\r\n"))).otherwise(F.col("n_name"))
+    return _t(spark, d, "nation").select("n_nationkey", tx.cell(raw).alias("value"))
+
+
+@_query
+def type_inference(spark, d):
+    part = _t(spark, d, "part").select(F.col("p_size").cast("string").alias("size"), F.col("p_brand").alias("brand"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("code"), F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("price"), (F.col("p_size") > 20).cast("string").alias("large"), F.concat(F.lit("2024-01-"), (F.col("p_size") % 28 + 1).cast("string")).alias("day"), F.lit(None).cast("string").alias("nothing"))
+    return infer_types(part)
+
+
+@_query
+def exact_duplicates_mark(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber")
+    return profiling.duplicate_marks(rows).groupBy("l_returnflag", "is_duplicate").agg(F.count("*").alias("n"))
+
+
+@_query
+def exact_duplicates_drop(spark, d):
+    return _t(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus").distinct()
+
+
+@_query
+def table_profile_lineitem(spark, d):
+    return profiling.column_profile(_t(spark, d, "lineitem"), ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"])
+
+
+@_query
+def table_quality(spark, d):
+    g = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("rows"), F.round(F.count_if(F.col("l_discount") == 0) / F.count("*"), 6).alias("empty_ratio"), F.round(F.avg("l_tax") * 10, 6).alias("confidence"))
+    review = F.col("l_suppkey") % 3 == 0
+    issues = rules.table_issues(F.col("rows"), F.lit(4), F.col("empty_ratio"), F.lit(0.6), review, F.col("l_suppkey") % 7 == 0, F.col("confidence"))
+    out = g.withColumn("issues", issues).withColumn("status", rules.table_status(F.col("issues"), review))
+    return out.select("l_suppkey", "rows", F.array_join("issues", ",").alias("issues"), "status", rules.trust(F.col("status"), review).alias("trust"))
+
+
+@_query
+def table_row_counts(spark, d):
+    out = None
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        one = _t(spark, d, name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query
+def numeric_summary(spark, d):
+    return profiling.numeric_summary(_t(spark, d, "lineitem"), "l_extendedprice")
+
+
+@_query
+def outliers_3sigma(spark, d):
+    return profiling.outlier_count(_t(spark, d, "events"), "value")
+
+
+@_query
+def category_top10(spark, d):
+    return profiling.top_categories(_t(spark, d, "customer"), "c_mktsegment")
+
+
+@_query
+def trend_by_day(spark, d):
+    return profiling.trend(_t(spark, d, "events"), F.date_trunc("day", "ts"), "value")
+
+
+@_query
+def percentile_nearest_rank(spark, d):
+    return profiling.nearest_rank(_t(spark, d, "lineitem"), "l_extendedprice", [0.5, 0.9, 0.95, 0.99])
+
+
+@_query
+def sample_head_mid_tail(spark, d):
+    return profiling.head_middle_tail(_t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey").select("o_orderkey", "part")
+
+
+@_query
+def stratified_sample(spark, d):
+    return profiling.stratified_sample(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", 5)
+
+
+@_query
+def cell_score(spark, d):
+    a = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    b = a.where("l_orderkey % 11 <> 0").withColumn("q", F.when(F.col("l_orderkey") % 13 == 0, F.col("q") + 1).otherwise(F.col("q")))
+    b = b.unionByName(a.where("l_orderkey % 17 = 0").withColumn("l_orderkey", -F.col("l_orderkey") - 1))
+    return profiling.cell_score(a, b, ["l_orderkey", "l_linenumber"], "q")
+
+
+# --- history and catalog ----------------------------------------------------------------------------
+
+
+@_query
+def latest_run_per_user(spark, d):
+    return history.latest_by(_t(spark, d, "events"), ["user_id"], [F.desc_nulls_last("ts"), F.desc("event_id")]).select("user_id", "event_id", "ts", "event_type")
+
+
+@_query
+def latest_status_pivot(spark, d):
+    status = F.when(F.col("value") < 20, "failed").when(F.col("value") < 60, "partial").otherwise("done")
+    runs = _t(spark, d, "events").withColumn("status", status)
+    latest = history.latest_by(runs, ["user_id", "event_type"], [F.desc_nulls_last("ts"), F.desc("event_id")])
+    return history.status_ladder(latest, "user_id", "event_type", "status", ["view", "click", "purchase", "signup", "error"])
+
+
+@_query
+def recent_rate(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-19, 0)
+    return _t(spark, d, "events").select("event_id", F.count("*").over(w).alias("n"), F.round(F.avg("value").over(w), 6).alias("mean"))
+
+
+@_query
+def incremental_classify(spark, d):
+    docs = _t(spark, d, "documents").groupBy("doc_id").agg(F.max("n_chars").alias("size"))
+    before = docs.where("doc_id % 7 <> 0").withColumn("size", F.when(F.col("doc_id") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return history.classify_changes(before, docs.where("doc_id % 11 <> 0"), "doc_id", ["size"])
+
+
+@_query
+def missing_customers(spark, d):
+    return _t(spark, d, "customer").join(_t(spark, d, "orders").where("o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@_query
+def existing_keys(spark, d):
+    o, li = _t(spark, d, "orders"), _t(spark, d, "lineitem").where("l_quantity >= 49")
+    return o.join(li, (F.col("o_orderkey") == F.col("l_orderkey")) & ((F.col("l_returnflag") == "R") | (F.col("l_shipdate") > F.col("o_orderdate"))), "left_semi").select("o_orderkey", "o_orderstatus")
+
+
+@_query
+def catalog_summary(spark, d):
+    return catalog.summary(catalog.view(_t(spark, d, "documents"), _t(spark, d, "orders"), _t(spark, d, "customer")))
+
+
+@_query
+def catalog_view(spark, d):
+    return catalog.view(_t(spark, d, "documents"), _t(spark, d, "orders"), _t(spark, d, "customer"))
+
+
+@_query
+def catalog_page(spark, d):
+    return catalog.list_page(catalog.view(_t(spark, d, "documents"), _t(spark, d, "orders"), _t(spark, d, "customer")), "SRC1", "ready", limit=100, offset=20)
+
+
+@_query
+def file_rollup(spark, d):
+    return catalog.file_rollup(catalog.view(_t(spark, d, "documents"), _t(spark, d, "orders"), _t(spark, d, "customer")))
+
+
+@_query
+def duplicate_contents(spark, d):
+    groups = _t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    return groups.where("copies > 1")
+
+
+@_query
+def format_counts(spark, d):
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    top = F.regexp_extract(host, r"\.([a-z]+)$", 1)
+    return _t(spark, d, "pages").groupBy(top.alias("format")).agg(F.count("*").alias("n"), F.count_distinct(host).alias("hosts"))
+
+
+@_query
+def page_types(spark, d):
+    start = F.lower(F.ltrim(F.substring("html", 1, 200)))
+    kind = F.when(start.startswith("<!doctype html") | start.startswith("<html"), "html").when(start.startswith("{"), "json").otherwise("text")
+    return _t(spark, d, "pages").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
+
+
+@_query
+def benchmark_mentions(spark, d):
+    """Documents that hold the first eight words of an item, joined on those words."""
+    words = lambda c: F.split(F.lower(F.col(c)), r"\s+")
+    gram = lambda w, i: F.array_join(F.slice(w, i, 8), " ")
+    items = _t(spark, d, "benchmark").select("item_id", gram(words("text"), F.lit(1)).alias("g"), F.size(words("text")).alias("n")).where("n >= 8").select("item_id", "g")
+    docs = _t(spark, d, "documents").select("doc_id", words("text").alias("w")).where(F.size("w") >= 8)
+    grams = docs.select("doc_id", F.explode(F.transform(F.array("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: gram(w, i)))[0]).alias("g"))
+    return grams.join(items, "g").select("doc_id", "item_id").distinct()
+
+
+# --- SQL, evidence, layout --------------------------------------------------------------------------
+
+
+@_query
+def safe_sql_join(spark, d):
+    sql = "WITH big AS (SELECT * FROM t1 WHERE o_totalprice > 1000) SELECT o_orderstatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM big JOIN t2 ON o_orderkey = l_orderkey GROUP BY o_orderstatus"
+    return safe_sql.query({"t1": _t(spark, d, "orders"), "t2": _t(spark, d, "lineitem")}, sql)
+
+
+@_query
+def safe_sql_setop(spark, d):
+    sql = "SELECT c_nationkey AS k FROM t1 EXCEPT SELECT s_nationkey FROM t2 WHERE s_acctbal < 0;"
+    return safe_sql.query({"t1": _t(spark, d, "customer"), "t2": _t(spark, d, "supplier")}, sql)
+
+
+@_query
+def safe_sql_rejections(spark, d):
+    bad = ["", "DROP TABLE t1", "SELECT 1; SELECT 2", "SELECT * FROM other", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM range(5)", "SELECT reflect('java.lang.System', 'exit') FROM t1", "SELECT (SELECT max(x) FROM hidden) FROM t1", "INSERT INTO t1 SELECT 1"]
+    rows = []
+    for i, sql in enumerate(bad):
+        try:
+            safe_sql.validate(spark, sql, {"t1"})
+            rows.append((i, "accepted"))
+        except safe_sql.SqlRefused as e:
+            rows.append((i, e.code))
+    return spark.createDataFrame(rows, "statement bigint, code string")
+
+
+@_query
+def budgeted_context(spark, d):
+    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    used = F.sum(F.length("text")).over(w)
+    return _t(spark, d, "documents").select("source", "doc_id", used.alias("used")).where("used <= 12000")
+
+
+@_query
+def grounding_check(spark, d):
+    """A finding (an order) is grounded if all the parts that it cites are known."""
+    cited = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    known = _t(spark, d, "part").where("p_size <= 45").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("known"))
+    return cited.join(known, "l_partkey", "left").groupBy("l_orderkey").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("grounded"))
+
+
+def _boxes(spark, d):
+    e = _t(spark, d, "events").where("event_id % 10 = 0")
+    x0, y0 = (F.col("event_id") * 7 % 97).cast("double"), (F.col("event_id") * 13 % 89).cast("double")
+    return e.select((F.col("user_id") % 50).alias("page"), F.col("event_id").alias("seq"), x0.alias("x0"), y0.alias("y0"), (x0 + 20).alias("x1"), (y0 + 10).alias("y1"))
+
+
+@_query
+def reading_order(spark, d):
+    return layout.reading_order(_boxes(spark, d), "page", "seq").select("page", "seq", "place")
+
+
+@_query
+def overlap_suppress(spark, d):
+    b = _boxes(spark, d)
+    return layout.outside_tables(b.where("seq % 20 <> 0"), b.where("seq % 20 = 0"), "page").select("page", "seq")
+
+
+@_query
+def iou_pairs(spark, d):
+    return layout.overlapping_pairs(_boxes(spark, d), "page", "seq", 0.5)
+
+
+@_query
+def row_bands(spark, d):
+    cells = _t(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("sheet"), (F.col("l_orderkey") % 97).cast("bigint").alias("row"), F.when(F.col("l_orderkey") % 97 % 6 != 0, F.col("l_returnflag")).alias("value"))
+    return layout.row_bands(cells, "sheet", "row", "value")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    return text_quality_by_lang(spark, sf_dir)
