@@ -52,7 +52,7 @@ def _subplans(node):
             name = e.nameParts().mkString(".").lower()
             if name.split(".")[-1] in FORBIDDEN_FUNCTIONS:
                 raise SqlRefused("forbidden_sql", f"function {name}")
-        if hasattr(e, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "UnresolvedTableArgPlanId"):
+        if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
             yield e.plan()
         it = e.children().iterator()
         while it.hasNext():

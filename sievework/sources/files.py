@@ -68,7 +68,7 @@ def _decoded(raw: bytes) -> str | None:
 def delimited(spark: SparkSession, root: str, delimiter: str = ",", glob: str = "*.csv") -> DataFrame:
     """(path, status, row, cells) of strict delimited files: UTF-8 or GB18030, every record as wide as the header.
 
-    Row 0 is the header. A file that breaks the rule is one row with its status and no cells; others are unhurt.
+    Row 0 is the header; a file of no bytes has no row. A file that breaks the rule is one row with its status and no cells; others are unhurt.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content")
 

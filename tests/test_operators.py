@@ -86,7 +86,7 @@ def test_delimited_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,X,y\n1,"a, b",2\n', encoding="utf-8")
     (tmp_path / "b.csv").write_text("x,y\n1\n")
     (tmp_path / "c.csv").write_bytes("名,y\n中,1\n".encode("gb18030"))
-    (tmp_path / "d.csv").write_text("")
+    (tmp_path / "d.csv").write_text("\n")
     rows = files.delimited(spark, str(tmp_path))
     status = {r.path.rsplit("/", 1)[1]: r.status for r in rows.collect()}
     assert status == {"a.csv": "ok", "b.csv": "ragged", "c.csv": "ok", "d.csv": "empty_file"}
