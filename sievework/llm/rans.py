@@ -18,6 +18,7 @@ neighbours in text order; no documents give no rows; a checksum that differs on
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm.bpe import byte_letters
 from sievework.llm.common import UNICODE_SPACE, map_batches, shared_dir, store
 
 SCALE_BITS = 20
@@ -36,7 +38,7 @@ BLOCK = 16384
 #: Ids of a segment; one longer document makes a longer segment.
 SEGMENT = 1 << 20
 #: Pieces of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Bytes of token ids (two each) for one range partition.
 PARTITION_BYTES = 48_000_000
 _LOW = np.uint64(1 << 31)
@@ -58,24 +60,49 @@ class PieceTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.splitter, self.model = self.library.pre_tokenizer, self.library.model
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = byte_letters()
+        # a piece goes to the library whole if there is more to it than words and merges
+        self.whole = self.library.normalizer is not None or any("<" not in t for t in self.special)
+        with open(path, encoding="utf-8") as f:
+            how = json.load(f)["pre_tokenizer"] or {}
+        self.plain = how.get("type") == "ByteLevel" and how.get("use_regex") and not how.get("add_prefix_space")
         self._clear()
 
     def _clear(self):
         self.head, self.tail = _Index(self, ""), _Index(self, " ")
-        self.waiting: list[str] = []
-        self.count = 0
+        self.words: dict[str, list[int]] = {}
         self.pool, self.offsets = array("I"), array("q", [0])
 
-    def _resolve(self):
-        if self.waiting:
-            for e in self.library.encode_batch_fast(self.waiting, add_special_tokens=False):
-                self.pool.extend(e.ids)
-                self.offsets.append(len(self.pool))
-            self.waiting.clear()
+    def split(self, piece: str) -> list[str]:
+        """The library's words of a piece in byte letters; plain words with a full stop or comma need no pattern."""
+        if self.plain:
+            core = piece[1:] if piece[:1] == " " else piece
+            stop = core[-1:] if core[-1:] in (".", ",") else ""
+            core = core[:-1] if stop else core
+            if core.isalpha():
+                word = core if core.isascii() else "".join([self.letters[b] for b in core.encode("utf-8", "surrogatepass")])
+                if piece[0] == " ":
+                    word = self.letters[0x20] + word
+                return [word, stop] if stop else [word]
+        return [w for w, _ in self.splitter.pre_tokenize_str(piece)]
+
+    def ids_of(self, piece: str) -> list[int]:
+        """The library's ids of one piece, word by word."""
+        if self.whole or "<" in piece and any(t in piece for t in self.special):
+            return self.library.encode(piece, add_special_tokens=False).ids
+        out: list[int] = []
+        for word in self.split(piece):
+            ids = self.words.get(word)
+            if ids is None:
+                ids = self.words[word] = [t.id for t in self.model.tokenize(word)]
+            out += ids
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        if self.count > CACHE:
+        if len(self.offsets) > CACHE:
             self._clear()
         lots, sizes = [], []
         head, tail = self.head, self.tail.__getitem__
@@ -92,7 +119,6 @@ class PieceTokens:
                 at.extend(map(tail, pieces[1:]))
             lots.append(at)
             sizes.append(len(at))
-        self._resolve()
         pool, offsets = np.array(self.pool, dtype=np.uint32), np.array(self.offsets)
         flat = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in lots]) if lots else np.zeros(0, np.int64)
         begin = offsets[flat]
@@ -110,9 +136,9 @@ class _Index(dict):
 
     def __missing__(self, piece: str) -> int:
         owner = self.owner
-        owner.waiting.append(self.before + piece)
-        at = self[piece] = owner.count
-        owner.count += 1
+        at = self[piece] = len(owner.offsets) - 1
+        owner.pool.extend(owner.ids_of(self.before + piece))
+        owner.offsets.append(len(owner.pool))
         return at
 
 
