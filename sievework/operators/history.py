@@ -29,3 +29,18 @@ def status_ladder(latest: DataFrame, key: str, route: str, status: str, routes:
     wide = latest.groupBy(key).pivot(route, routes).agg(F.max(status))
     any_is = lambda value: F.coalesce(F.array_contains(F.array(*[F.coalesce(F.col(r), F.lit("")) for r in routes]), value), F.lit(False))
     return wide.select(key, *routes, F.when(any_is("failed"), "failed").when(any_is("partial"), "partial").when(any_is("done"), "done").otherwise("pending").alias("overall"))
+
+
+def current_flags(runs: DataFrame, keys: list[str], content: str, ok: str, order: list[Column]) -> DataFrame:
+    """Runs with ``is_current``: the latest successful one, unless a later failure saw other content."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    good = Window.partitionBy(*keys, ok).orderBy(*order)
+    newest = F.first(F.col(content)).over(w)
+    return runs.withColumn("is_current", F.col(ok) & (F.row_number().over(good) == 1) & newest.eqNullSafe(F.col(content)))
+
+
+def first_last_seen(rows: DataFrame, key: str, at: str, what: str) -> DataFrame:
+    """(key, first_seen, last_seen, first_what, last_what, n); ties in time go to the smaller value."""
+    order = F.struct(F.col(at), F.col(what))
+    g = rows.groupBy(key).agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("n"))
+    return g.select(key, F.col(f"a.{at}").alias("first_seen"), F.col(f"b.{at}").alias("last_seen"), F.col(f"a.{what}").alias(f"first_{what}"), F.col(f"b.{what}").alias(f"last_{what}"), "n")

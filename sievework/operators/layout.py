@@ -52,3 +52,49 @@ def row_bands(cells: DataFrame, sheet: str, row: str, value: str) -> DataFrame:
     bands = island.groupBy(sheet, "__i").agg(F.min(row).alias("first_row"), F.max(row).alias("last_row"))
     order = Window.partitionBy(sheet).orderBy("first_row")
     return bands.select(sheet, F.row_number().over(order).cast("bigint").alias("band"), "first_row", "last_row")
+
+
+def page_profile(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Pages from rows (keys, kind, chars, area, page_area): characters, image share, suspected scan."""
+    image, text = F.col("kind") == "image", F.col("kind") == "text"
+    share = lambda c: F.least(F.lit(1.0), F.try_divide(F.sum(F.when(c, F.col("area")).otherwise(0.0)), F.max("page_area")))
+    g = blocks.groupBy(*keys).agg(F.sum(F.when(text, F.col("chars")).otherwise(0)).alias("chars"), F.count_if(image).alias("images"), F.round(share(image), 6).alias("image_share"), F.round(share(text), 6).alias("text_share"))
+    return g.withColumn("suspected_scan", (F.col("images") > 0) & (F.col("chars") < 20) & (F.col("image_share") >= 0.35))
+
+
+def document_class(pages: DataFrame, key: str) -> DataFrame:
+    """(key, pages, scanned, class): native_text, suspected_scanned, mixed or unknown."""
+    g = pages.groupBy(key).agg(F.count("*").alias("pages"), F.count_if(F.col("suspected_scan")).alias("scanned"), F.count_if(F.col("chars") >= 20).alias("native"))
+    kind = F.when((F.col("scanned") > 0) & (F.col("native") > 0), "mixed").when(F.col("scanned") == F.col("pages"), "suspected_scanned").when(F.col("native") > 0, "native_text").otherwise("unknown")
+    return g.select(key, "pages", "scanned", kind.alias("class"))
+
+
+def drop_repeats(candidates: DataFrame, image: str, order: str, least_iou: float = 0.9, least_similarity: float = 0.92) -> DataFrame:
+    """Candidates (image, order, x0..y1, text) without those that repeat an earlier kept one of their image.
+
+    Greedy by definition, so each image's candidates, which are few, go through one function.
+    """
+    import pandas as pd
+
+    def keep(frame: pd.DataFrame) -> pd.DataFrame:
+        import difflib
+
+        kept: list[int] = []
+        frame = frame.sort_values(order).reset_index(drop=True)
+        for i, a in frame.iterrows():
+            repeated = False
+            for j in kept if pd.notna(a["x0"]) else ():
+                b = frame.loc[j]
+                if pd.isna(b["x0"]):
+                    continue
+                w = max(0.0, min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]))
+                h = max(0.0, min(a["y1"], b["y1"]) - max(a["y0"], b["y0"]))
+                union = (a["x1"] - a["x0"]) * (a["y1"] - a["y0"]) + (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) - w * h
+                if union > 0 and w * h / union >= least_iou and difflib.SequenceMatcher(None, a["text"] or "", b["text"] or "", autojunk=False).ratio() >= least_similarity:
+                    repeated = True
+                    break
+            if not repeated:
+                kept.append(i)
+        return frame.loc[kept]
+
+    return candidates.groupBy(image).applyInPandas(keep, candidates.schema)

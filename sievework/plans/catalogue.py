@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from sievework.functions import rules
 from sievework.functions import text as tx
 from sievework.functions.inference import infer_types
-from sievework.operators import catalog, chunking, history, layout, profiling, safe_sql, search
+from sievework.operators import catalog, chunking, evidence, history, layout, profiling, safe_sql, search
 from sievework.plans.oracles import ORACLES
+from sievework.sources import documents, sinks
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
@@ -364,5 +365,78 @@ def row_bands(spark, d):
     return layout.row_bands(cells, "sheet", "row", "value")
 
 
+@_query
+def page_profiles(spark, d):
+    blocks = _t(spark, d, "events").select((F.col("user_id") % 40).alias("doc"), (F.col("event_id") % 7).alias("page"), F.when(F.col("event_id") % 3 == 0, "image").otherwise("text").alias("kind"), (F.col("event_id") % 11).alias("chars"), F.col("value").alias("area"), F.lit(5000.0).alias("page_area"))
+    return layout.page_profile(blocks.where("chars < 4"), ["doc", "page"])
+
+
+@_query
+def document_classes(spark, d):
+    pages = page_profiles(spark, d)
+    return layout.document_class(pages, "doc")
+
+
+@_query
+def current_runs(spark, d):
+    runs = _t(spark, d, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 4).alias("content"), (F.col("event_type") != "error").alias("ok"))
+    return history.current_flags(runs, ["user_id"], "content", "ok", [F.desc("ts"), F.desc("event_id")]).where("is_current").select("user_id", "event_id")
+
+
+@_query
+def first_last_seen(spark, d):
+    return history.first_last_seen(_t(spark, d, "events").select("user_id", "ts", "event_type"), "user_id", "ts", "event_type")
+
+
+@_query
+def issue_dedupe(spark, d):
+    """The newest row of each user and type; routing hints (views) stay hidden."""
+    rows = _t(spark, d, "events").where("event_type <> 'view'")
+    return history.latest_by(rows, ["user_id", "event_type"], [F.desc_nulls_last("ts"), F.asc("event_id")]).groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
+
+
+@_query
+def context_in_budget(spark, d):
+    rows = _t(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "role", "text")
+    out = evidence.context_blocks(rows, "conv_id", ["turn"], "text", 300)
+    return out.select("conv_id", "turn", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("chars"))
+
+
+@_query
+def report_facts(spark, d):
+    profile = profiling.column_profile(_t(spark, d, "part"), ["p_brand", "p_size", "p_retailprice"])
+    return evidence.table_facts(profile, "part")
+
+
+@_query
+def shared_columns(spark, d):
+    names = [(t, c) for t in ("documents", "labels", "pages", "benchmark", "conversations") for c in _t(spark, d, t).columns]
+    return evidence.shared_columns(spark.createDataFrame(names, "table_name string, column_name string"))
+
+
+@_query
+def block_offsets(spark, d):
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    return documents.with_offsets(rows, "conv_id", "turn", gap=2).select("conv_id", "turn", "start", "end")
+
+
+@_query
+def text_windows(spark, d):
+    out = documents.text_window(_t(spark, d, "documents"), "text", 100, 500)
+    return out.select("doc_id", F.sha2("window", 256).alias("window_sha256"), "has_next")
+
+
+@_query
+def budgeted_rows(spark, d):
+    return sinks.bounded_json(_t(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", 400)
+
+
+@_query
+def finding_grounds(spark, d):
+    found = _t(spark, d, "orders").select(F.col("o_orderkey").alias("finding"), F.when(F.col("o_orderkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("s"), F.col("o_orderstatus")))).alias("evidence"), F.when(F.col("o_orderkey") % 7 == 0, "unconfirmed").alias("status"))
+    known = _t(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id")).union(spark.createDataFrame([("sF",), ("sO",)], "id string"))
+    return evidence.ground_findings(found, known)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality_by_lang(spark, sf_dir)

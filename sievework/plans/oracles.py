@@ -49,6 +49,14 @@ def _profile(name: str, number: bool) -> str:
       min({v}) AS min_value, max({v}) AS max_value, round(avg({v}), 6) AS mean_value FROM lineitem"""
 
 
+PAGE_PROFILES = """
+SELECT user_id % 40 AS doc, event_id % 7 AS page, sum(CASE WHEN event_id % 3 <> 0 THEN event_id % 11 ELSE 0 END)::BIGINT AS chars, count(*) FILTER (event_id % 3 = 0) AS images,
+  round(least(1.0, sum(CASE WHEN event_id % 3 = 0 THEN value ELSE 0 END) / 5000), 6) AS image_share, round(least(1.0, sum(CASE WHEN event_id % 3 <> 0 THEN value ELSE 0 END) / 5000), 6) AS text_share
+FROM events WHERE event_id % 11 < 4 GROUP BY 1, 2
+"""
+PAGE_PROFILES = f"SELECT *, images > 0 AND chars < 20 AND image_share >= 0.35 AS suspected_scan FROM ({PAGE_PROFILES})"
+
+
 ORACLES: dict[str, str] = {
     "text_clean_profile": f"SELECT doc_id, length(t) AS char_count, CASE WHEN length(t) = 0 THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + 1 END AS line_count, sha256(t) AS clean_sha256 FROM (SELECT doc_id, {STEP_D} AS t FROM documents)",
     "text_clean_actions": f"SELECT doc_id, length(r) - length(a) AS line_ends, length(a) - length(b) AS line_tails, length(b) - length(c) AS blank_runs, length(c) - length(e) AS controls FROM (SELECT doc_id, {DIRTY} AS r, {STEP_A} AS a, {STEP_B} AS b, {STEP_C} AS c, {STEP_D} AS e FROM documents)",
@@ -146,4 +154,28 @@ ORACLES: dict[str, str] = {
       WITH r AS (SELECT DISTINCT l_suppkey % 20 AS sheet, l_orderkey % 97 AS row FROM lineitem WHERE l_orderkey % 97 % 6 <> 0),
       i AS (SELECT *, row - row_number() OVER (PARTITION BY sheet ORDER BY row) AS k FROM r)
       SELECT sheet, row_number() OVER (PARTITION BY sheet ORDER BY min(row)) AS band, min(row) AS first_row, max(row) AS last_row FROM i GROUP BY sheet, k""",
+    "page_profiles": PAGE_PROFILES,
+    "document_classes": f"""SELECT doc, pages, scanned, CASE WHEN scanned > 0 AND native > 0 THEN 'mixed' WHEN scanned = pages THEN 'suspected_scanned' WHEN native > 0 THEN 'native_text' ELSE 'unknown' END AS class
+      FROM (SELECT doc, count(*) AS pages, count(*) FILTER (suspected_scan) AS scanned, count(*) FILTER (chars >= 20) AS native FROM ({PAGE_PROFILES}) GROUP BY 1)""",
+    "current_runs": """
+      WITH r AS (SELECT user_id, event_id, event_type <> 'error' AS ok, event_id % 4 AS c,
+        row_number() OVER (PARTITION BY user_id, event_type <> 'error' ORDER BY ts DESC, event_id DESC) AS k,
+        first_value(event_id % 4) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS newest FROM events)
+      SELECT user_id, event_id FROM r WHERE ok AND k = 1 AND c = newest""",
+    "first_last_seen": """SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, min({'t': ts, 'e': event_type}).e AS first_event_type, max({'t': ts, 'e': event_type}).e AS last_event_type, count(*) AS n FROM events GROUP BY 1""",
+    "issue_dedupe": """SELECT event_type, count(*) AS n, max(ts) AS newest FROM (SELECT event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id) AS r FROM events WHERE event_type <> 'view') WHERE r = 1 GROUP BY 1""",
+    "context_in_budget": """
+      WITH c AS (SELECT conv_id, turn, text, 300 - coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM conversations WHERE text IS NOT NULL)
+      SELECT conv_id, turn, sha256(text[1:room::BIGINT]) AS text_sha256, least(length(text), room)::BIGINT AS chars FROM c WHERE room > 0""",
+    "report_facts": """
+      SELECT 'shape' AS fact, 'part has ' || count(*) || ' rows and 3 columns' AS text FROM part
+      UNION ALL SELECT 'missing', 'part has ' || (count(*) * 3 - count(p_brand) - count(p_size) - count(p_retailprice)) || ' missing values' FROM part
+      UNION ALL SELECT 'numeric', 'p_retailprice from ' || round(min(p_retailprice), 2)::DECIMAL(30,2) || ' to ' || round(max(p_retailprice), 2)::DECIMAL(30,2) FROM part""",
+    "shared_columns": "SELECT * FROM (VALUES ('documents', 'labels', 'doc_id'), ('benchmark', 'documents', 'text'), ('benchmark', 'conversations', 'text'), ('conversations', 'documents', 'text')) v(a, b, column_name)",
+    "block_offsets": """SELECT conv_id, turn, s::BIGINT AS start, (s + length(text))::BIGINT AS "end" FROM (SELECT conv_id, turn, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM conversations)""",
+    "text_windows": "SELECT doc_id, sha256(text[101:600]) AS window_sha256, length(text) > 600 AS has_next FROM documents",
+    "budgeted_rows": """SELECT n_nationkey, n_name FROM (SELECT *, sum(length(n_nationkey::VARCHAR) + length(n_name) + 29) OVER (ORDER BY n_nationkey) AS used FROM nation) WHERE used <= 400""",
+    "finding_grounds": """
+      SELECT o_orderkey AS finding, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END::BIGINT AS n_cited,
+        o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderstatus IN ('F', 'O') AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0) AS grounded FROM orders""",
 }
