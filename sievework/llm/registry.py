@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import bpe, decontam, html_crf, langid, near_dups, pseudonyms, quality_qda, rans, suffix_dedup, weak_supervision
+from sievework.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "vocabulary"]
 
 
 def vocabulary(name: str) -> str:
@@ -72,5 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_main_text": op9_main_text,
     "op10_near_dups": op10_near_dups,
 }
-
-ORACLES: dict[str, str] = {}
