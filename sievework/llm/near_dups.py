@@ -10,21 +10,23 @@ probability of 0.16 to 0.36, by the depth of its node, and all trees with less t
 
 Candidates are pairs of different components whose sketches agree enough that a pair of similarity 0.8 is
 missed with a probability below 0.0001 in one comparison. They are confirmed on the full sets, the
-components are contracted, and the next round compares what is still apart: 2, then 8, 32 and all partners
-of each vertex in a node. So a group of near copies costs a few links per copy, not all pairs, and no partner is left out.
+components are contracted, and the next round compares what is still apart: first the 2 and 4 best partners of
+each vertex in a node, then all of them, for which a node's undecided texts are sent to it once. So a group of
+near copies costs a few links per copy, not all pairs, and no partner is left out.
 
 Node sizes come from counts; only nodes of bounded size are gathered in one task. Components are found by
 contraction in DataFrame joins; no link, component or fingerprint comes to the driver.
 
 Edge cases: null, empty and blank texts have the empty set, are linked with nothing and kept; texts of
 fewer words than a shingle are one shingle; equal rows are linked; rows that share a doc_id are separate
-documents of that id; a null doc_id is in a component but is never its smallest id, and isn't kept unless
-its set is empty. Shingles are compared by 64-bit hashes of their words.
+documents of that id; a document with a null doc_id joins the component of those with its very set, but
+links no others, is never the smallest, and isn't kept unless its set is empty. Shingles are compared by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import map_batches, slices, store
+from sievework.llm.common import AT_TASK_END, map_batches, release, sized, slices, small_batches, store
 
 SIMILARITY = 0.8
 SKETCH = 96
@@ -44,8 +46,9 @@ NODE = 256
 DEPTH = 3
 #: Agreeing coordinates from which a pair is confirmed: 4.3 standard deviations below 0.8.
 AGREE = 60
-PARTNERS = (2, 8, 32, NODE)
-WORD_CACHE = 1_000_000
+#: Partners of each vertex in a node that the first rounds confirm; the last round takes all.
+PARTNERS = (2, 4)
+WORD_CACHE = 150_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,6 +73,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+AT_TASK_END.append(_WORDS.clear)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -185,74 +189,121 @@ def leaves(vertices: DataFrame) -> DataFrame:
     return store(reduce(DataFrame.unionByName, out), "near-leaves")
 
 
-def _compare(sk: np.ndarray, comp: list, size: np.ndarray, partners: int) -> list[tuple[int, int]]:
-    """Candidate pairs of one node: the best partners of each vertex in other components."""
-    n = len(sk)
+def _close(sk: np.ndarray, comp: list, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each vertex of a node with candidates: itself, they, and how many coordinates agree."""
     code = {c: i for i, c in enumerate(dict.fromkeys(comp))}
     label = np.array([code[c] for c in comp])
-    if len(code) < 2:
-        return []
-    pairs: set[tuple[int, int]] = set()
-    for i in range(0, n, 32):
+    for i in range(0, len(sk) if len(code) > 1 else 0, 32):
         agree = (sk[i : i + 32, None, :] == sk[None, :, :]).sum(axis=2)
         lo, hi = np.minimum(size[i : i + 32, None], size[None, :]), np.maximum(size[i : i + 32, None], size[None, :])
         good = (agree >= AGREE) & (label[i : i + 32, None] != label[None, :]) & (lo * 100 >= hi * round(100 * SIMILARITY))
         for r in np.flatnonzero(good.any(axis=1)):
             found = np.flatnonzero(good[r])
-            if len(found) > partners:
-                found = found[np.argsort(-agree[r, found], kind="stable")[:partners]]
-            a = i + int(r)
-            pairs.update((a, b) if a < b else (b, a) for b in found.tolist())
-    return sorted(pairs)
+            yield i + int(r), found, agree[r, found]
 
 
-def candidates(members: DataFrame, partners: int) -> DataFrame:
-    """Distinct (a, b) from rows (node, v, comp, n, low) that hold whole nodes."""
+def _by_node(members: DataFrame, columns: tuple[str, ...], schema: str, work) -> DataFrame:
+    """``work`` on the distinct rows of each node; it returns columns of the schema's types."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.binary() if x.endswith("binary") else pa.int64() for x in schema.split(", ")]
 
     def run(batches):
         held: list[tuple] = []
         node = None
 
         def flush():
-            if len(held) < 2:
-                return [], []
-            rows = sorted(set(held))
-            sk = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(-1, SKETCH)
-            got = _compare(sk, [r[1] for r in rows], np.array([r[2] for r in rows]), partners)
-            return [rows[i][0] for i, _ in got], [rows[j][0] for _, j in got]
-
-        def batch_of(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            if len(held) > 1:
+                out = work(node, sorted(set(held)))
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
+            held.clear()
 
         for batch in batches:
-            outs: tuple[list, list] = ([], [])
-            cols = [batch.column(c).to_pylist() for c in ("node", "v", "comp", "n", "low")]
-            for x, *row in zip(*cols, strict=True):
+            for x, *row in zip(*[batch.column(c).to_pylist() for c in ("node", *columns)], strict=True):
                 if x != node:
-                    a, b = flush()
-                    outs[0].extend(a)
-                    outs[1].extend(b)
-                    node, held = x, []
+                    yield from flush()
+                    node = x
                 held.append(tuple(row))
-            if outs[0]:
-                yield batch_of(*outs)
-        a, b = flush()
-        if a:
-            yield batch_of(a, b)
+        yield from flush()
+
+    small_batches(members.sparkSession)
+    return members.select("node", *columns).repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
+
+
+def _arrays(rows: list[tuple]) -> tuple[np.ndarray, list, np.ndarray]:
+    return np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(-1, SKETCH), [r[1] for r in rows], np.array([r[2] for r in rows])
+
+
+def candidates(members: DataFrame, partners: int) -> DataFrame:
+    """Distinct (a, b): the best partners in other components of the vertices in (node, v, comp, n, low)."""
+
+    def work(node, rows):
+        pairs = set()
+        for a, found, agree in _close(*_arrays(rows)):
+            for b in found[np.argsort(-agree, kind="stable")[:partners]].tolist():
+                pairs.add((a, b) if a < b else (b, a))
+        return [rows[a][0] for a, _ in sorted(pairs)], [rows[b][0] for _, b in sorted(pairs)]
+
+    return _by_node(members, ("v", "comp", "n", "low"), "a binary, b binary", work).distinct()
+
 
-    return members.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a binary, b binary").distinct()
+def undecided(members: DataFrame) -> DataFrame:
+    """(node, v) of the vertices that have a candidate in another component of their node."""
 
+    def work(node, rows):
+        ends = sorted({x for a, found, _ in _close(*_arrays(rows)) for x in (a, *found.tolist())})
+        return [node] * len(ends), [rows[x][0] for x in ends]
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets (v, full) are similar."""
+    return _by_node(members, ("v", "comp", "n", "low"), "node bigint, v binary", work)
+
+
+def exhaustive(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Distinct links (a, b) among all candidates of (node, v, comp, n, low), on the full sets.
+
+    A text is sent once for each node that it is undecided in, so rows grow with the vertices, not with pairs.
+    """
+    least = round(100 * SIMILARITY)
+
+    def work(node, rows):
+        sets = [shingles(r[4], size) for r in rows]
+        up = list(range(len(rows)))
+        first: dict = {}
+        for i, r in enumerate(rows):
+            up[i] = first.setdefault(r[1], i)
+
+        def find(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        links = []
+        for a, found, _ in _close(*_arrays(rows)):
+            for b in found.tolist():
+                if find(a) == find(b):
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= least * (len(sets[a]) + len(sets[b]) - both):
+                    up[max(find(a), find(b))] = min(find(a), find(b))
+                    links.append((a, b))
+        return [rows[a][0] for a, _ in links], [rows[b][0] for _, b in links]
+
+    return _by_node(members.join(texts, "v"), ("v", "comp", "n", "low", "text"), "a binary, b binary", work).distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs whose full sets are similar; texts (v, text) are shorter to send than sets, which are made anew."""
     least = round(100 * SIMILARITY)
-    joined = pairs.join(sets.select(F.col("v").alias("a"), F.col("full").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("full").alias("y")), "b")
+    joined = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("y")), "b")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             good = []
+            before, p = None, None
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                if x != before:
+                    before, p = x, shingles(x, size)
+                q = shingles(y, size)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(100 * both >= least * (len(p) + len(q) - both))
             return batch.select(["a", "b"]).filter(pa.array(good))
@@ -263,33 +314,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (v, comp) after joining the components that links (a, b) connect."""
-    ends = lambda side, to: labels.select(F.col("v").alias(side), F.col("comp").alias(to))
-    edges = links.join(ends("a", "p"), "a").join(ends("b", "q"), "b").where("p <> q").select("p", "q").distinct()
-    edges = store(edges, "near-edges")
+    """Labels (v, comp) after joining the components that the stored links (a, b) connect.
+
+    Every step sends each component to its smallest neighbour and contracts the links; what the steps
+    decided is applied to the labels once. Frames of few links are broadcast, after their rows are counted.
+    """
+    half = labels.join(sized(links), F.col("v") == F.col("a")).select(F.col("comp").alias("p"), "b")
+    half = store(half, "near-edges")
+    edges = labels.join(sized(half), F.col("v") == F.col("b")).select("p", F.col("comp").alias("q"))
+    edges = store(edges.where("p <> q").distinct(), "near-edges")
+    steps = []
+
+    def moved(df: DataFrame, c: str, up: DataFrame) -> DataFrame:
+        to = up.select(F.col("p").alias("__from"), F.col("to").alias("__to"))
+        return df.join(to, F.col(c) == F.col("__from"), "left").withColumn(c, F.coalesce("__to", c)).drop("__from", "__to")
+
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("q").alias("p"), F.col("p").alias("q")))
-        up = store(both.groupBy("p").agg(F.least(F.col("p"), F.min("q")).alias("to")).where("p <> to"), "near-parents")
-        move = lambda df, c: df.join(up.select(F.col("p").alias(c), F.col("to").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
-        labels = store(move(labels, "comp").select("v", "comp"), "near-labels")
-        edges = store(move(move(edges, "p"), "q").where("p <> q").select("p", "q").distinct(), "near-edges")
-    return labels
+        up = sized(store(both.groupBy("p").agg(F.least(F.col("p"), F.min("q")).alias("to")).where("p <> to"), "near-parents"))
+        steps.append(up)
+        edges = store(moved(moved(edges, "p", up), "q", up).where("p <> q").distinct(), "near-edges")
+    for up in steps:
+        labels = moved(labels, "comp", up)
+    return store(labels.select("v", "comp"), "near-labels") if steps else labels
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(v, full) for the wanted vertices (v, rep): the sorted shingle hashes, from a document with the set."""
-    rows = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+def texts_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(v, text) for the vertices (v, rep): the text of a document with that set."""
+    ids = store(wanted.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
+    rows = docs.select("doc_id", "text").join(sized(ids), "doc_id", "left_semi")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingles(t, size).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
-            v = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(sets, pa.binary())], names=["v", "full"])
+            v = [hashlib.blake2b(shingles(t, size).astype("<u8").tobytes(), digest_size=16).digest() for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), batch.column("text")], names=["v", "text"])
 
         return work
 
-    out = map_batches(rows, "v binary, full binary", make)
-    return out.join(wanted.select("v"), "v", "left_semi").dropDuplicates(["v"])
+    return map_batches(rows, "v binary, text string", make)
 
 
 def components(docs: DataFrame, size: int) -> DataFrame:
@@ -301,21 +363,38 @@ def components(docs: DataFrame, size: int) -> DataFrame:
     )
     nodes = leaves(vertices)
     labels = store(nodes.select("v").distinct().select("v", F.col("v").alias("comp")), "near-labels")
-    sets = None
+    release(docs.sparkSession)
     # one byte of each coordinate is enough to compare
     low = F.unhex(F.regexp_replace(F.hex("sketch"), "(..)......", "$1"))
     light = vertices.join(labels.select("v"), "v", "left_semi").select("v", "n", low.alias("low"))
     light = store(light, "near-light")
-    for partners in PARTNERS:
+
+    def mixed_members() -> DataFrame:
         rows = nodes.join(labels, "v")
         mixed = rows.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node")
-        members = rows.join(mixed, "node", "left_semi").join(light, "v").select("node", "v", "comp", "n", "low")
-        pairs = store(candidates(members, partners), "near-pairs")
-        if pairs.isEmpty():
-            break
-        if sets is None:
-            sets = store(full_sets(docs, vertices.join(labels.select("v"), "v", "left_semi").select("v", "rep"), size), "near-sets")
-        labels = contracted(labels, confirmed(pairs, sets))
+        return rows.join(mixed, "node", "left_semi").join(light, "v").select("node", "v", "comp", "n", "low")
+
+    def texts_for(wanted: DataFrame) -> DataFrame:
+        return store(texts_of(docs, vertices.select("v", "rep").join(wanted, "v"), size), "near-texts")
+
+    for partners in (*PARTNERS, None):
+        if partners:
+            pairs = store(candidates(mixed_members(), partners), "near-pairs")
+            if pairs.isEmpty():
+                break
+            texts = texts_for(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct())
+            links = confirmed(pairs, texts, size)
+        else:
+            members = store(mixed_members(), "near-members")
+            open_ends = store(undecided(members), "near-undecided")
+            if open_ends.isEmpty():
+                break
+            texts = texts_for(open_ends.select("v").distinct())
+            links = exhaustive(members.join(open_ends, ["node", "v"], "left_semi"), texts, size)
+        links = store(links, "near-links")
+        release(docs.sparkSession)
+        labels = contracted(labels, links)
+        release(docs.sparkSession)
     groups = vertices.join(labels, "v", "left").select("v", "rep", F.coalesce("comp", "v").alias("comp"))
     smallest = groups.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = groups.join(smallest, "comp").select("v", "component_id")
@@ -328,4 +407,4 @@ def components(docs: DataFrame, size: int) -> DataFrame:
 def one_of_each(docs: DataFrame, size: int) -> DataFrame:
     """``docs`` without the documents that aren't the first of their component; all columns."""
     gone = components(docs, size).where("not kept").select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(store(gone, "near-removed"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(sized(store(gone, "near-removed")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
