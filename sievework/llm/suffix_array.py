@@ -169,6 +169,21 @@ def sort_integers(s: list[int], sigma: int) -> list[int]:
     return induce(lms)
 
 
+def _sort_reduced(reduced: np.ndarray) -> np.ndarray:
+    """Suffix order of the reduced string.
+
+    A name that occurs once decides every comparison that reaches it, so what follows it up to the next name
+    that occurs more often is left out of the recursion.
+    """
+    once = np.bincount(reduced)[reduced] == 1
+    kept = np.flatnonzero(~once | np.concatenate([[False], ~once[:-1]]))
+    used, symbols = np.unique(reduced[kept], return_inverse=True)
+    rank = np.zeros(len(reduced), np.int64)
+    order = np.array(sort_integers(symbols.tolist(), len(used)))
+    rank[kept[order]] = np.arange(len(kept))
+    return np.lexsort((rank, reduced))
+
+
 def suffix_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The text (bytes + 1, separators 0), the starts of the strings in it, and its suffix array."""
     lens = np.array([len(x) for x in strings])
@@ -193,38 +208,33 @@ def suffix_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if name[-1] + 1 < len(lms):
         reduced = np.empty(len(lms), np.int64)
         reduced[ranked] = name
-        ranked = np.array(sort_integers(reduced.tolist(), int(name[-1]) + 1))
+        ranked = _sort_reduced(reduced)
     return t, starts, _induce(t, small, lms[ranked], separators)
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For every suffix in text order, its common prefix with its left neighbour in the array, up to ``most``."""
+def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, only: np.ndarray | None = None) -> np.ndarray:
+    """For every suffix in text order, its common prefix with its left neighbour in the array, up to ``most``.
+
+    With ``only`` (flags in text order), other suffixes have 0.
+    """
     n = len(t)
     left = np.full(n, -1, np.int64)
     left[sa[1:]] = sa[:-1]
-    raw = np.concatenate([t, np.zeros(most + 8, t.dtype)])
-    # four symbols a word; a separator equals nothing, not even a separator
-    word = np.zeros(n + most + 4, np.int64)
-    for k in range(4):
-        word |= raw[k : k + len(word)].astype(np.int64) << (16 * k)
+    # symbols before the next separator: nothing is common from there on
+    place = np.where(t == 0, np.arange(n), n)
+    room = np.minimum.accumulate(place[::-1])[::-1] - np.arange(n)
+    raw = np.concatenate([(t - 1).astype(np.uint8), np.zeros(most + 16, np.uint8)])
+    word = np.ascontiguousarray(np.ndarray((n + most + 8,), "<u8", raw, strides=(1,)))
     out = np.zeros(n, np.int64)
-    live = np.flatnonzero(left >= 0)
-    for k in range(0, most, 4):
-        same = word[live + k] == word[left[live] + k]
-        # the rest stops in this word: count its symbols
-        stop, other = live[~same], left[live[~same]]
-        more = np.ones(len(stop), bool)
-        for j in range(4):
-            a = raw[stop + k + j]
-            more &= (a == raw[other + k + j]) & (a != 0)
-            out[stop] += more
-        live = live[same]
-        zero = (raw[live[:, None] + k + np.arange(4)] == 0).any(axis=1) if len(live) else np.zeros(0, bool)
-        ended = live[zero]
-        more = np.ones(len(ended), bool)
-        for j in range(4):
-            more &= raw[ended + k + j] != 0
-            out[ended] += more
-        live = live[~zero]
-        out[live] += 4
-    return np.minimum(out, most)
+    live = np.flatnonzero(left >= 0 if only is None else (left >= 0) & only)
+    mate = left[live]
+    cap = np.minimum(np.minimum(room[live], room[mate]), most)
+    for k in range(0, most, 8):
+        differ = word[live + k] ^ word[mate + k]
+        stop = (differ != 0) | (cap <= k + 8)
+        low = differ[stop] & (~differ[stop] + np.uint64(1))
+        # the lowest set bit says how many whole bytes agree
+        same = np.where(low == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
+        out[live[stop]] = np.minimum(k + same, cap[stop])
+        live, mate, cap = live[~stop], mate[~stop], cap[~stop]
+    return out

@@ -4,45 +4,49 @@ A string is ``LENGTH`` bytes. Sharding: every string has an anchor, its ``GRAM``
 of equals); neighbouring strings with the same anchor form a segment. Equal strings have equal anchors,
 so a shard that holds all segments of an anchor decides about their strings alone.
 
-1. anchors that occur in at least two documents are found from packed hashes; a batch of documents sends a
-   repeated hash once and marks its own occurrences itself;
-2. the segments of those anchors are cut out; equal ones are collapsed to their smallest document (with
-   map-side aggregation, so a passage of a third of all documents is one row a task);
-3. each shard of distinct segments gets a suffix array by induced sorting and its permuted common
-   prefixes; runs of suffixes with common prefixes of ``LENGTH`` bytes are equal strings, and the smallest
-   document of a run is compared with the segment's own;
-4. verdicts go back to the occurrences, and the documents' bytes are cut.
-
-An anchor with more than ``HOT`` distinct segments (the edges of a very common passage) would fill one
-shard: its segments are dealt out as single strings, collapsed by content, which is the same decision without an
-array. Shards hold about ``SHARD_BYTES``, whatever the input.
-
-Edge cases: null text counts as empty; a document without a long string keeps all; equal texts under one
-doc_id keep all, as no id is smaller; a null doc_id neither removes nor is removed from; very long
-texts are one row. Text is UTF-8 bytes, so kept bytes may start or end inside a character.
+1. Segments are compared by packed hashes of anchor and content, by buckets of anchors. Of equal segments,
+   all but those of the smallest document are removed whole. A batch of documents does that for its
+   own segments first, so a passage of a third of all documents reaches its bucket once a batch.
+2. What is left of an anchor with several different segments in different documents is cut out of the texts.
+   Each shard of such segments gets a suffix array by induced sorting and its permuted common prefixes; runs
+   of suffixes with common prefixes of ``LENGTH`` bytes are equal strings, and all but those of
+   the smallest document are removed. Segments whose 33 bytes left or right of the anchor's middle
+   occur in no other segment of the shard can't share a string and are left out of the array.
+3. The spans meet their documents, and the bytes are cut.
+
+An anchor with more than ``HOT`` different segments (the edges of a very common passage) would fill one
+shard: its segments are dealt out as single strings and grouped by content, which is the same decision
+without an array. Shards hold about ``SHARD_BYTES``, whatever the input.
+
+Segments are the same if 64-bit hashes of their contents are and their anchors are; strings are compared
+byte by byte. Edge cases: null text counts as empty; a document without a long string keeps all; texts under one
+doc_id keep what they share, as no id is smaller; a null doc_id neither removes nor is removed from;
+very long texts are one row. Text is UTF-8 bytes, so kept bytes may start or end inside a character.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import map_batches, store
+from sievework.llm.common import map_batches, release, store
 from sievework.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 16
 HOT = 4000
 SHARD_BYTES = 1_000_000
-#: Anchors of one bucket when shared anchors are looked for.
-BUCKET_ANCHORS = 400_000
-BATCH_CHARS = 16_000_000
+#: Anchors of one bucket when equal segments are looked for.
+BUCKET_ANCHORS = 300_000
+BATCH_BYTES = 4_000_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_INVERSE = np.uint64(pow(int(_M1), -1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,18 +55,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of all texts: anchor hash, text number, first string's start, number of strings."""
-    lens = np.array([len(x) for x in texts], np.int64)
-    none = np.zeros(0, np.int64)
-    total = int(lens.sum())
-    if total < LENGTH:
-        return none.astype(np.uint64), none, none, none
-    h = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM bytes from each place."""
+    h = raw.astype(np.uint64) + np.uint64(1)
     size = 1
     while size < GRAM:  # GRAM is a power of two
-        h = _mix(h[:-size] * _M1 + h[size:])
+        h = h[:-size] * _M1 + h[size:]
+        h ^= h >> np.uint64(29)
+        h *= _M2
         size *= 2
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Segments of all texts: anchor hash, content hash, text number, first string's start, number of strings."""
+    lens = np.array([len(x) for x in texts], np.int64)
+    none = np.zeros(0, np.int64)
+    if int(lens.sum()) < LENGTH:
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+    h = _grams(np.frombuffer(b"".join(texts), np.uint8))
     w = LENGTH - GRAM + 1
     least, size = h, 1
     while size * 2 <= w:
@@ -81,193 +99,267 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     count = np.diff(np.append(at, n))
     good = inside[at]
     at, count = at[good], count[good]
-    return least[at], own[at], at - (ends - lens)[own[at]], count
+    # a content's hash: the polynomial of its grams, moved to power 0
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_M1, len(h)))])
+    content = _mix((total[at + count + (w - 1)] - total[at]) * _powers(_INVERSE, len(h))[at] + count.astype(np.uint64))
+    return least[at], content, own[at], at - (ends - lens)[own[at]], count
 
 
-def _batched(batches, chars: int):
-    """Lists of (column lists) of about ``chars`` characters."""
+def _batched(batches, most: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= chars:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+        for k in range(0, b.num_rows, 64):
+            held.append(b.slice(k, 64))
+            size += held[-1].get_total_buffer_size() if b.num_rows <= 64 else held[-1].nbytes
+            if size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
+#: Packed arrays of a row: anchor bits, content hash, differences of doc ids, text hash, start, strings.
+_KINDS = {"h": "<u4", "c": "<u8", "d": "<i8", "f": "<i8", "p": "<i4", "w": "<i2"}
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Differences in as few bytes as they need, after a byte that says how many."""
+    step = np.diff(x, prepend=0)
+    first, rest = step[:1].astype("<i8").tobytes(), step[1:]
+    for kind, size in (("<u1", 1), ("<u2", 2), ("<u4", 4)):
+        if not len(rest) or (rest.min() >= 0 and rest.max() < 1 << 8 * size):
+            return bytes([size]) + first + rest.astype(kind).tobytes()
+    return bytes([8]) + first + rest.astype("<i8").tobytes()
+
+
+def _large(x: bytes) -> np.ndarray:
+    kind = {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}[x[0]]
+    return np.cumsum(np.concatenate([np.frombuffer(x[1:9], "<i8"), np.frombuffer(x[9:], kind).astype(np.int64)]))
+
+
+def _shared(h: np.ndarray) -> np.ndarray:
+    """Places of the values that occur more than once, in order of value."""
+    order = np.argsort(h)
+    x = h[order]
+    same = x[1:] == x[:-1]
+    return order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+
+
+def removed(h: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Segments of which an equal one is in a smaller document."""
+    out = np.zeros(len(h), bool)
+    idx = _shared(h)
+    if len(idx):
+        idx = idx[np.lexsort((d[idx], c[idx], h[idx]))]
+        new = np.concatenate([[True], (h[idx[1:]] != h[idx[:-1]]) | (c[idx[1:]] != c[idx[:-1]])])
+        out[idx] = d[idx] > d[idx[new]][np.cumsum(new) - 1]
+    return out
+
+
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, known, h, d, p, w) of packed arrays: occurrences to be looked up, or known as shared."""
+    """Rows (bucket, done, packed arrays): segments to compare, or ones that the batch has found removed."""
 
     def run(batches):
-        turn = 0
-        for table in _batched(batches, BATCH_CHARS):
-            ids = np.array(table.column("doc_id").to_pylist(), np.int64)
-            h, own, at, count = anchors([(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()])
+        for table in _batched(batches, BATCH_BYTES):
+            ids, fps = np.array(table.column("doc_id").to_pylist(), np.int64), np.array(table.column("fp").to_pylist(), np.int64)
+            texts = table.column("text").to_pylist()
+            by_id = np.argsort(ids, kind="stable")
+            h, c, own, p, w = segments([(texts[i] or "").encode("utf-8", "surrogatepass") for i in by_id])
             if not len(h):
                 continue
-            d = ids[own]
-            order = np.lexsort((d, h))
-            h, d, at, count = h[order], d[order], at[order], count[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-            last = np.append(first[1:], len(h)) - 1
-            shared = (d[first] != d[last])[group]
-            # to the hash's own bucket: every hash's occurrences in its only document, and one for a shared hash
-            ask = ~shared
-            ask[first] = True
-            target = (h >> np.uint64(33)).astype(np.int64) % buckets
-            rows: dict[str, list] = {c: [] for c in ("bucket", "known", "h", "d", "p", "w")}
-
-            def put(bucket, known, sel, rows=rows, h=h, d=d, at=at, count=count):
-                rows["bucket"].append(bucket)
-                rows["known"].append(known)
-                for c, x in (("h", h[sel].view(np.int64)), ("d", d[sel]), ("p", at[sel].astype("<i4")), ("w", count[sel].astype("<i2"))):
-                    rows[c].append(x.tobytes())
-
-            idx = np.flatnonzero(ask)
-            idx = idx[np.argsort(target[idx], kind="stable")]
-            cut = np.flatnonzero(np.diff(target[idx], prepend=-1))
-            for part in np.split(idx, cut[1:]):
-                if len(part):
-                    part = part[np.lexsort((at[part], d[part]))]
-                    # a shared hash is asked for so that other batches learn of it; its own occurrences are known
-                    put(int(target[part[0]]), False, part)
-            known = np.flatnonzero(shared)
-            for part in np.array_split(known, max(1, len(known) // 50_000)):
-                if len(part):
-                    turn += 1
-                    put((turn * 7919 + int(h[part[0]] % np.uint64(1 << 30))) % buckets, True, part)
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(c, pa.binary()) for c in ("h", "d", "p", "w")]]))
-
-    return docs.mapInArrow(run, "bucket int, known boolean, h binary, d binary, p binary, w binary")
-
-
-def shared_segments(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, p, w, anchor): segments whose anchor occurs in two documents or more."""
-    kinds = {"h": np.int64, "d": np.int64, "p": "<i4", "w": "<i2"}
-
-    def out(h, d, p, w):
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(w.astype(np.int32)), pa.array(h)], names=["doc_id", "p", "w", "anchor"])
+            d, f = ids[by_id][own], fps[by_id][own]  # ascending
+            gone = removed(h, c, d)
+            bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            rows: dict[str, list] = {k: [] for k in ("bucket", "done", *_KINDS)}
+            for done in (False, True):
+                idx = np.flatnonzero(gone == done)
+                if done:  # any bucket will do
+                    target = (np.arange(len(h)) // 20_000 % buckets).astype(np.int32)
+                else:
+                    target = bucket
+                idx = idx[np.argsort(target[idx].astype(np.uint16) if buckets < 1 << 16 else target[idx], kind="stable")]
+                cuts = np.flatnonzero(np.diff(target[idx], prepend=-1))[1:]
+                for part in np.split(idx, cuts) if len(idx) else ():
+                    rows["bucket"].append(int(target[part[0]]))
+                    rows["done"].append(done)
+                    rows["d"].append(_small(d[part]))
+                    rows["f"].append(f[part].tobytes())
+                    rows["p"].append(p[part].astype("<i4").tobytes())
+                    rows["w"].append(w[part].astype("<i2").tobytes())
+                    rows["h"].append(b"" if done else h[part].astype("<u4").tobytes())
+                    rows["c"].append(b"" if done else c[part].tobytes())
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int32()), ("done", pa.bool_()), *[(k, pa.binary()) for k in _KINDS]]))
+
+    return docs.mapInArrow(run, "bucket int, done boolean, " + ", ".join(f"{k} binary" for k in _KINDS))
+
+
+#: What is known of a segment: removed whole, to be compared in a shard, or string by string.
+REMOVED, SHARD, STRINGS = 0, 1, 2
+
+
+def compared(docs: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, fp, p, w, how) of all segments that are removed or have to be compared further."""
+
+    def out(d, f, p, w, how):
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(f), pa.array(p), pa.array(w.astype(np.int32)), pa.array(how.astype(np.int8))], names=["doc_id", "fp", "p", "w", "how"])
 
     def run(batches):
-        held: dict[str, list] = {c: [] for c in kinds}
+        held: dict[str, list] = {k: [] for k in _KINDS}
         bucket = None
 
         def flush():
-            h, d, p, w = [np.concatenate(held[c]) if held[c] else np.zeros(0, kinds[c]) for c in kinds]
-            order = np.lexsort((d, h))
-            h, d, p, w = h[order], d[order], p[order], w[order]
-            if len(h):
-                new = np.concatenate([[True], h[1:] != h[:-1]])
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(h)) - 1
-                good = (d[first] != d[last])[np.cumsum(new) - 1]
-                yield out(h[good], d[good], p[good], w[good])
-            for c in kinds:
-                held[c].clear()
+            if not held["h"]:
+                return
+            h, c, d, f, p, w = [np.concatenate(held[k]) for k in _KINDS]
+            for k in _KINDS:
+                held[k].clear()
+            idx = _shared(h)  # an anchor of one segment has nothing to compare
+            if not len(idx):
+                return
+            h, c, d, f, p, w = h[idx], c[idx], d[idx], f[idx], p[idx], w[idx]
+            order = np.lexsort((d, c, h))
+            h, c, d, f, p, w = h[order], c[order], d[order], f[order], p[order], w[order]
+            anchor = np.concatenate([[True], h[1:] != h[:-1]])
+            new = anchor | np.concatenate([[True], c[1:] != c[:-1]])
+            gone = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
+            at = np.flatnonzero(anchor)
+            group = np.cumsum(anchor) - 1
+            kinds = np.add.reduceat(new.astype(np.int64), at)
+            several = (kinds > 1) & (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at))
+            how = np.where(gone, REMOVED, np.where(kinds[group] > HOT, STRINGS, SHARD))
+            keep = gone | several[group]
+            yield out(d[keep], f[keep], p[keep], w[keep], how[keep])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "known", *kinds)]
-            for b, known, *blobs in zip(*cols, strict=True):
-                arrays = [np.frombuffer(x, k) for x, k in zip(blobs, kinds.values(), strict=True)]
-                if known:
-                    yield out(*arrays)
+            cols = [batch.column(k).to_pylist() for k in ("bucket", "done", *_KINDS)]
+            for b, done, *blobs in zip(*cols, strict=True):
+                arrays = {k: _large(x) if k == "d" else np.frombuffer(x, _KINDS[k]) for k, x in zip(_KINDS, blobs, strict=True)}
+                if done:
+                    yield out(arrays["d"], arrays["f"], arrays["p"], arrays["w"], np.zeros(len(arrays["d"])))
                     continue
                 if b != bucket:
                     yield from flush()
                     bucket = b
-                for c, x in zip(kinds, arrays, strict=True):
-                    held[c].append(x)
+                for k, x in arrays.items():
+                    held[k].append(x)
         yield from flush()
 
-    rows = _packed(docs, buckets).repartition("bucket").sortWithinPartitions("bucket")
-    # an occurrence may be named twice: by its batch and by its bucket
-    return rows.mapInArrow(run, "doc_id bigint, p int, w int, anchor bigint")
+    rows = _packed(docs, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint, p int, w int, how tinyint")
 
 
-def cut_segments(docs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(doc_id, fp, p, anchor, content) of the segments in the documents' texts."""
-    wanted = segments.groupBy("doc_id").agg(F.collect_set(F.struct("p", "w", "anchor")).alias("s"))
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).join(wanted, "doc_id")
-    rows = rows.select("doc_id", "fp", "text", F.col("s.p").alias("p"), F.col("s.w").alias("w"), F.col("s.anchor").alias("anchor"))
+def cut_segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, fp, p, how, anchor, content) of the wanted segments in the documents' texts."""
+    lists = wanted.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("p", "w", "how")).alias("s"))
+    rows = docs.join(lists, ["doc_id", "fp"]).select("doc_id", "fp", "text", *[F.col(f"s.{c}").alias(c) for c in ("p", "w", "how")])
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, fps, at, keys, lens, data = [], [], [], [], [], []
-            cols = (batch.column("doc_id").to_pylist(), batch.column("fp").to_pylist(), batch.column("text").to_pylist())
-            flat = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("p", "w", "anchor")}
-            bounds = np.cumsum([0, *batch.column("p").value_lengths().to_pylist()])
-            for k, (i, f, text) in enumerate(zip(*cols, strict=True)):
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                p, w, a = (flat[c][bounds[k] : bounds[k + 1]].astype(np.int64) for c in ("p", "w", "anchor"))
-                n = w + (LENGTH - 1)
-                ok = p + n <= len(raw)  # another text with this doc_id may be shorter
-                p, n, a = p[ok], n[ok], a[ok]
-                ends = np.cumsum(n)
-                data.append(raw[np.arange(int(n.sum())) + np.repeat(p - (ends - n), n)])
-                lens.append(n)
-                at.append(p)
-                keys.append(a)
-                ids.append(np.full(len(p), i))
-                fps.append(np.full(len(p), f))
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            n = cat(lens)
-            body = np.concatenate(data) if data else np.zeros(0, np.uint8)
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            starts = np.cumsum([0, *[len(t) for t in texts]])[:-1]
+            per = np.array(batch.column("p").value_lengths().to_pylist())
+            own = np.repeat(np.arange(len(texts)), per)
+            p, w, how = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("p", "w", "how"))
+            n = w + (LENGTH - 1)
+            ends = np.cumsum(n)
+            at = np.arange(int(n.sum())) + np.repeat(p + starts[own] - (ends - n), n)
+            body = np.frombuffer(b"".join(texts), np.uint8)[at]
+            first = ends - n
+            grams = _grams(body)
+            inner = n - GRAM + 1
+            # least hash over the grams of each content
+            stops = np.cumsum(inner)
+            anchor = np.minimum.reduceat(grams[np.arange(int(inner.sum())) + np.repeat(first - (stops - inner), inner)], stops - inner)
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
             content = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body.tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array(cat(ids)), pa.array(cat(fps)), pa.array(cat(at).astype(np.int32)), pa.array(cat(keys)), content], names=["doc_id", "fp", "p", "anchor", "content"])
+            ids, fps = (np.array(batch.column(c).to_pylist(), np.int64)[own] for c in ("doc_id", "fp"))
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fps), pa.array(p.astype(np.int32)), pa.array(how.astype(np.int8)), pa.array(anchor.view(np.int64)), content], names=["doc_id", "fp", "p", "how", "anchor", "content"])
 
         return work
 
-    return map_batches(rows, "doc_id bigint, fp bigint, p int, anchor bigint, content binary", make)
+    return map_batches(rows, "doc_id bigint, fp bigint, p int, how tinyint, anchor bigint, content binary", make)
+
+
+def _may_match(contents: list[bytes]) -> np.ndarray:
+    """Contents of which the anchor with the bytes before it, or after it, is found in another content.
+
+    A string holds LENGTH - GRAM bytes beside its anchor, so it holds half of them on one side.
+    """
+    half = (LENGTH - GRAM) // 2
+    n = np.array([len(x) for x in contents])
+    ends = np.cumsum(n)
+    first = ends - n
+    h = _grams(np.frombuffer(b"".join(contents), np.uint8))
+    inner = n - GRAM + 1
+    stops = np.cumsum(inner)
+    place = np.arange(int(inner.sum())) + np.repeat(first - (stops - inner), inner)
+    least = np.minimum.reduceat(h[place], stops - inner)
+    hit = h[place] == np.repeat(least, inner)
+    at = place[hit]
+    own = np.repeat(np.arange(len(n)), inner)[hit]
+    keep = np.bincount(own, minlength=len(n)) > 1  # an anchor that repeats itself
+    q = np.zeros(len(n), np.int64)
+    q[own] = at
+    for sign in (-1, 1):
+        # grams at the anchor and at the far end of the half determine half + GRAM bytes together with one between
+        a, b = q + sign * half, q + sign * (half // 2)
+        ok = (a >= first) & (a + GRAM <= ends)
+        idx = np.flatnonzero(ok)
+        key = _mix(h[q[idx]] * _M1 + h[a[idx]]) * _M1 + h[b[idx]]
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep[idx] |= count[back] > 1
+    return keep
 
 
 def judge_shard(contents: list[bytes], owners: np.ndarray) -> list[list[int]]:
-    """For each distinct segment: flat runs of its strings that start in a segment of a smaller document."""
+    """For each segment: flat runs of its strings that start in a segment of a smaller document."""
+    out: list[list[int]] = [[] for _ in contents]
+    kept = np.flatnonzero(_may_match(contents))
+    if len(kept) < 2:
+        return out
+    contents, owners = [contents[i] for i in kept], owners[kept]
     t, starts, sa = suffix_array(contents)
     lens = np.array([len(x) for x in contents])
     source = np.repeat(np.arange(len(contents)), lens + 1)
     offset = np.arange(len(t)) - starts[source]
-    prefix = common_prefixes(t, sa, LENGTH)
     whole = offset + LENGTH <= lens[source]
+    prefix = common_prefixes(t, sa, LENGTH, whole)
     order = sa[whole[sa]]
     new = np.flatnonzero(prefix[order] < LENGTH)
-    # a suffix between two whole strings that isn't whole itself ends their run, as would any other
     least = np.minimum.reduceat(owners[source[order]], new)
     run = np.zeros(len(order), np.int64)
     run[new[1:]] = 1
     earlier = np.zeros(len(t), bool)
     earlier[order] = least[np.cumsum(run)] < owners[source[order]]
     edges = np.flatnonzero(np.diff(np.concatenate([[0], earlier.view(np.int8), [0]])))
-    out: list[list[int]] = [[] for _ in contents]
     for a, b in edges.reshape(-1, 2).tolist():
         k = source[a]
-        out[k] += [int(a - starts[k]), int(b - starts[k])]
+        out[kept[k]] += [int(a - starts[k]), int(b - starts[k])]
     return out
 
 
-def judge(contents: DataFrame, shards: int) -> DataFrame:
-    """(k1, k2, runs) of the segments (anchor, content, first) with strings of smaller documents."""
+def judged(contents: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, fp, span) for the strings of segments (doc_id, fp, p, anchor, content) to remove."""
 
     def run(batches):
         held: list[tuple] = []
         shard = None
 
         def flush():
-            if held:
+            if len(held) > 1:
                 runs = judge_shard([x[0] for x in held], np.array([x[1] for x in held]))
+                spans = [[x[3] + v + (LENGTH - 1) * (i % 2) for i, v in enumerate(r)] for x, r in zip(held, runs, strict=True)]
                 some = [i for i, r in enumerate(runs) if r]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([held[i][2] for i in some], pa.int64()), pa.array([held[i][3] for i in some], pa.int64()), pa.array([runs[i] for i in some], pa.list_(pa.int32()))],
-                    names=["k1", "k2", "runs"],
-                )
-                held.clear()
+                if some:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([held[i][1] for i in some], pa.int64()), pa.array([held[i][2] for i in some], pa.int64()), pa.array([spans[i] for i in some], pa.list_(pa.int32()))],
+                        names=["doc_id", "fp", "span"],
+                    )
+            held.clear()
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("shard", "content", "first", "k1", "k2")]
+            cols = [batch.column(c).to_pylist() for c in ("shard", "content", "doc_id", "fp", "p")]
             for s, *row in zip(*cols, strict=True):
                 if s != shard:
                     yield from flush()
@@ -276,49 +368,35 @@ def judge(contents: DataFrame, shards: int) -> DataFrame:
         yield from flush()
 
     dealt = contents.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return dealt.select("shard", "content", "first", "k1", "k2").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "k1 bigint, k2 bigint, runs array<int>")
+    return dealt.select("shard", "content", "doc_id", "fp", "p").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id bigint, fp bigint, span array<int>")
 
 
-def judge_hot(contents: DataFrame) -> DataFrame:
+def judged_strings(contents: DataFrame) -> DataFrame:
     """The same decision for the segments of hot anchors, string by string."""
     places = F.sequence(F.lit(0), F.length("content") - F.lit(LENGTH))
-    strings = contents.select("k1", "k2", "first", "content", F.explode(places).alias("j")).select("k1", "k2", "first", "j", F.col("content").substr(F.col("j") + 1, F.lit(LENGTH)).alias("s"))
-    least = strings.groupBy("s").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("s", "least")
-    found = strings.join(least, "s").where("least < first")
-    return found.groupBy("k1", "k2").agg(F.flatten(F.array_sort(F.collect_list(F.array(F.col("j"), F.col("j") + 1)))).alias("runs"))
+    strings = contents.select("doc_id", "fp", "p", "content", F.explode(places).alias("j")).select("doc_id", "fp", (F.col("p") + F.col("j")).alias("j"), F.col("content").substr(F.col("j") + 1, F.lit(LENGTH)).alias("s"))
+    least = strings.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("s", "least")
+    found = strings.join(least, "s").where("least < doc_id")
+    return found.select("doc_id", "fp", F.array(F.col("j"), F.col("j") + LENGTH).alias("span"))
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, spans): flat byte ranges to remove, unmerged, of the documents that have some."""
+    """(doc_id, fp, spans): flat byte ranges to remove, unmerged, of the documents (doc_id, fp, text) that have some."""
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null and text is not null")
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    density = 2 / (LENGTH - GRAM + 2)
+    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, round(n_bytes * density / BUCKET_ANCHORS))
-    segments = _done(store(shared_segments(rows.select("doc_id", "text"), buckets), "dup-segments"))
-    keys = (F.xxhash64(F.lit(1), "content").alias("k1"), F.xxhash64(F.lit(2), "content").alias("k2"))
-    found = _done(store(cut_segments(rows, segments).select("doc_id", "fp", "p", "anchor", "content", *keys), "dup-occurrences"))
-    contents = found.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    contents = _done(store(contents.select("*", *keys), "dup-contents"))
-    size = contents.agg(F.sum(F.length("content"))).collect()[0][0] or 0
-    shards = max(least, round(size / SHARD_BYTES))
-    hot = contents.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor")
-    hot = store(hot, "dup-hot")
-    runs = judge(contents.join(hot, "anchor", "left_anti"), shards).unionByName(judge_hot(contents.join(hot, "anchor", "left_semi")))
-    verdicts = contents.select("k1", "k2", "first", "last").join(runs, ["k1", "k2"], "left").where("first < last or runs is not null")
-    verdicts = _done(store(verdicts, "dup-verdicts"))
-    hits = found.select("doc_id", "fp", "p", F.length("content").alias("n"), "k1", "k2").join(verdicts, ["k1", "k2"])
-    own = F.transform(F.col("runs"), lambda x, i: F.col("p") + x + F.when(i % 2 == 1, LENGTH - 1).otherwise(0))
-    span = F.when(F.col("doc_id") > F.col("first"), F.array(F.col("p"), F.col("p") + F.col("n"))).otherwise(own)
-    spans = hits.select("doc_id", "fp", span.alias("span")).where("span is not null")
-    return _done(store(spans.groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("span")).alias("spans")), "dup-spans"))
-
-
-def _done(df: DataFrame) -> DataFrame:
-    """Let go of the shuffle files of finished steps: their results are stored."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+    buckets = max(least, round(size * 2 / (LENGTH - GRAM + 2) / BUCKET_ANCHORS))
+    found = store(compared(docs, buckets), "dup-segments")
+    release(spark)
+    contents = store(cut_segments(docs, found.where(F.col("how") != REMOVED)), "dup-contents")
+    release(spark)
+    cut = contents.where(F.col("how") == SHARD)
+    shards = max(least, round((cut.agg(F.sum(F.length("content"))).collect()[0][0] or 0) / SHARD_BYTES))
+    whole = found.where(F.col("how") == REMOVED).select("doc_id", "fp", F.array(F.col("p"), F.col("p") + F.col("w") + (LENGTH - 1)).alias("span"))
+    spans = whole.unionByName(judged(cut, shards)).unionByName(judged_strings(contents.where(F.col("how") == STRINGS)))
+    spans = store(spans.groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("span")).alias("spans")), "dup-spans")
+    release(spark)
+    return spans
 
 
 def merged(spans: list[int]) -> np.ndarray:
@@ -335,9 +413,14 @@ def cut_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
-    spans = removed_spans(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    ids = docs.where("doc_id is not null")
+    # texts under one doc_id are told apart by a hash; it is left out where no id is used twice
+    twice = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    fp = (F.xxhash64("text") if twice else F.lit(0).cast("bigint")).alias("fp")
+    spans = removed_spans(ids.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), fp, "text"))
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "spans")
-    rows = docs.join(spans, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__fp")), "left").select("doc_id", "text", "spans")
+    same = F.col("doc_id") == F.col("__id")
+    rows = docs.join(spans, same & (F.xxhash64("text") == F.col("__fp")) if twice else same, "left").select("doc_id", "text", "spans")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
