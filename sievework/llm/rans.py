@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.bpe import byte_letters
-from sievework.llm.common import UNICODE_SPACE, map_batches, shared_dir, store
+from sievework.llm.common import UNICODE_SPACE, map_batches, shared_dir, slices, small_batches, store
 
 SCALE_BITS = 20
 LANES = 64
@@ -38,11 +38,12 @@ BLOCK = 16384
 #: Ids of a segment; one longer document makes a longer segment.
 SEGMENT = 1 << 20
 #: Pieces of text whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 1_500_000
 #: Bytes of token ids (two each) for one range partition.
 PARTITION_BYTES = 48_000_000
 _LOW = np.uint64(1 << 31)
-_JOINED_SPACE = re.compile(f"[{UNICODE_SPACE}] ")
+_JOINED = ("  ", "\n ", " \n", "\n\n")
+_RARE_SPACE = [c for c in UNICODE_SPACE if c not in " \n"]
 _CHUNKS = re.compile(f"[{UNICODE_SPACE}]*[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+")
 
 FILE_SCHEMA = (
@@ -72,7 +73,7 @@ class PieceTokens:
 
     def _clear(self):
         self.head, self.tail = _Index(self, ""), _Index(self, " ")
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, array] = {}
         self.pool, self.offsets = array("I"), array("q", [0])
 
     def split(self, piece: str) -> list[str]:
@@ -88,44 +89,47 @@ class PieceTokens:
                 return [word, stop] if stop else [word]
         return [w for w, _ in self.splitter.pre_tokenize_str(piece)]
 
-    def ids_of(self, piece: str) -> list[int]:
+    def ids_of(self, piece: str) -> array:
         """The library's ids of one piece, word by word."""
         if self.whole or "<" in piece and any(t in piece for t in self.special):
-            return self.library.encode(piece, add_special_tokens=False).ids
-        out: list[int] = []
+            return array("I", self.library.encode(piece, add_special_tokens=False).ids)
+        out = array("I")
         for word in self.split(piece):
             ids = self.words.get(word)
             if ids is None:
-                ids = self.words[word] = [t.id for t in self.model.tokenize(word)]
+                ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(word)])
             out += ids
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text."""
+        """Ids of each text."""
         if len(self.offsets) > CACHE:
             self._clear()
-        lots, sizes = [], []
+        at, sizes = array("i"), []
         head, tail = self.head, self.tail.__getitem__
         for text in texts:
-            if not text:
-                sizes.append(0)
-                continue
-            if _JOINED_SPACE.search(text):
-                at = array("q", map(head.__getitem__, _CHUNKS.findall(text)))
-            else:
-                # a token never goes on into white space: text can be cut before a space between other characters
-                pieces = text.split(" ")
-                at = array("q", [head[pieces[0]]] if pieces[0] else [])
-                at.extend(map(tail, pieces[1:]))
-            lots.append(at)
-            sizes.append(len(at))
-        pool, offsets = np.array(self.pool, dtype=np.uint32), np.array(self.offsets)
-        flat = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in lots]) if lots else np.zeros(0, np.int64)
-        begin = offsets[flat]
-        lens = offsets[flat + 1] - begin
-        ends = np.cumsum(lens)
-        ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - lens), lens)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+            before = len(at)
+            if any(x in text for x in _JOINED) or any(c in text for c in _RARE_SPACE):
+                at.extend(map(head.__getitem__, _CHUNKS.findall(text)))
+            elif text:
+                # no token goes on into white space, so a text can be cut at single spaces and line ends
+                for k, line in enumerate(text.split("\n")):
+                    if k:
+                        at.append(head["\n"])
+                    pieces = line.split(" ")
+                    if pieces[0]:
+                        at.append(head[pieces[0]])
+                    at.extend(map(tail, pieces[1:]))
+            sizes.append(len(at) - before)
+        place = np.frombuffer(at, np.int32) if len(at) else np.zeros(0, np.int32)
+        offsets = np.array(self.offsets, dtype=np.int32)
+        begin = offsets[place]
+        lens = offsets[place + 1] - begin
+        ends = np.cumsum(lens, dtype=np.int32)
+        where = np.repeat(begin - (ends - lens), lens)
+        where += np.arange(len(where), dtype=np.int32)
+        ids = np.array(self.pool, dtype=np.uint32)[where]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
@@ -260,33 +264,43 @@ def unpack(coder: Coder, row: dict) -> tuple[list, list[np.ndarray]]:
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the ids of every document, end id included, as little-endian 16- or 32-bit integers."""
+    """doc_id and the ids of every document, end id included, as little-endian 16- or 32-bit integers.
 
-    def make():
-        tokens = piece_tokens(path)
-        kind = "<u2" if tokens.library.get_vocab_size() <= 1 << 16 else "<u4"
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = tokens.encode([t or "" for t in batch.column("text").to_pylist()])
-            ids = [x.astype(kind).tobytes() + b"\0" * int(kind[2]) for x in got]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+    The last row of a task has ``counts`` in place of a document: how often it has met each id.
+    """
 
-        return work
+    def run(batches):
+        tokens = piece_tokens(path)
+        size = tokens.library.get_vocab_size()
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for i, j in slices([len(t) for t in texts]):
+                got = tokens.encode(texts[i:j])
+                total += np.bincount(np.concatenate(got), minlength=size) if got else 0
+                total[0] += len(got)
+                ids = [x.astype(kind).tobytes() + b"\0" * int(kind[2]) for x in got]
+                none = pa.nulls(len(ids), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(ids, pa.binary()), none, pa.array([False] * len(ids))], names=["doc_id", "ids", "counts", "is_count"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary()), pa.array([True])], names=["doc_id", "ids", "counts", "is_count"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id bigint, ids binary", make)
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, ids binary, counts binary, is_count boolean")
 
 
-def frequencies(ids: DataFrame, size: int, kind: str) -> np.ndarray:
-    """Corpus counts of all ids; the driver gets one number for each id of the vocabulary."""
+def frequencies(counts: DataFrame, size: int) -> np.ndarray:
+    """Corpus counts of all ids from the tasks' counts; the driver gets one number for each id that occurs."""
 
-    def count(batches):
+    def spread(batches):
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            column = b.column("ids")
-            total += np.bincount(np.frombuffer(b"".join(column.to_pylist()), kind), minlength=size)
+            for x in b.column("counts").to_pylist():
+                total += np.frombuffer(x, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total).astype(np.int32)), pa.array(total[total > 0])], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = counts.select("counts").mapInArrow(spread, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, dtype=np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -300,10 +314,12 @@ def write_files(docs: DataFrame, path: str, folder: str) -> None:
     spark = docs.sparkSession
     size = Tokenizer.from_file(path).get_vocab_size()
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    ids = store(tokenised(docs, path), "token-ids")
-    freq = quantised(frequencies(ids, size, kind))
+    both = store(tokenised(docs, path), "token-ids", "is_count")
+    ids = both.where("not is_count").select("doc_id", "ids")
+    counts = frequencies(both.where("is_count"), size)
+    freq = quantised(counts)
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq)], "id int, freq bigint").coalesce(1).write.parquet(f"{folder}/table")
-    total = ids.agg(F.sum(F.length("ids"))).collect()[0][0] or 0
+    total = int(counts.sum()) * int(kind[2])
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     shared = spark.sparkContext.broadcast(freq)
 
