@@ -7,7 +7,7 @@ contiguous arrays: the minimum is found by scanning, one boundary is deleted, an
 refreshed. Words of more than ``LONG`` bytes use the same merges with a heap, so that a text without
 white space takes n log n steps.
 
-White-space separated pieces are independent, so each worker keeps a dictionary of the pieces it has
+White-space separated pieces are independent, so each task keeps a dictionary of the pieces it has
 seen, emptied at ``CACHE`` entries. Decoding joins the token strings with a space, as the library does for
 a vocabulary without a decoder.
 
@@ -27,10 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sievework.llm.common import UNICODE_SPACE, map_batches
+from sievework.llm.common import AT_TASK_END, UNICODE_SPACE, map_batches
 
 LONG = 400
-CACHE = 400_000
+CACHE = 200_000
 _NONE = 1 << 62
 _PIECES = re.compile(f"[^{UNICODE_SPACE}]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -71,6 +71,11 @@ class WordCoder:
         self.texts: dict[str, str] = {}
         self.seen: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        self.ids.clear()
+        self.texts.clear()
+        self.seen.clear()
+
     def word(self, word: str) -> list[int]:
         """Token ids of one word."""
         raw = word.encode("utf-8", "surrogatepass")
@@ -136,9 +141,7 @@ class WordCoder:
     def joined(self, text: str) -> tuple[str, str]:
         """Ids and token strings of a text, each joined by a space."""
         if len(self.ids) > CACHE:
-            self.ids.clear()
-            self.texts.clear()
-            self.seen.clear()
+            self.forget()
         parts = self.cut.split(text) if self.cut and "<" in text else [text]
         ids, tokens = [], []
         for k, part in enumerate(parts):
@@ -178,6 +181,14 @@ class _Pieces(dict):
 _CODERS: dict[str, WordCoder] = {}
 
 
+def _forget() -> None:
+    for c in _CODERS.values():
+        c.forget()
+
+
+AT_TASK_END.append(_forget)
+
+
 def coder(path: str) -> WordCoder:
     """The worker's coder of a vocabulary file."""
     if path not in _CODERS:

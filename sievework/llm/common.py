@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +18,7 @@ SLICE_CHARS = 4_000_000
 UNICODE_SPACE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Rows of one Arrow batch; long texts make batches of many MB otherwise.
 ARROW_ROWS = 512
+ARROW_BYTES = 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,20 +30,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors don't matter."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(*partitions) if partitions else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are stored and whose plans are gone."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+#: Ids that a join may broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A stored frame of ids, marked for broadcast if it has at most BROADCAST_IDS rows of one number."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch for this session; never raises a smaller setting."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key) or 0)
     if now <= 0 or now > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+#: What workers forget at the end of a task, so that a long session's operators don't add up in their memory.
+AT_TASK_END: list[Callable[[], None]] = []
 
 
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
@@ -49,10 +75,14 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            out = work(batch)
-            if out is not None and out.num_rows:
-                yield out
+        try:
+            for batch in batches:
+                out = work(batch)
+                if out is not None and out.num_rows:
+                    yield out
+        finally:
+            for forget in AT_TASK_END:
+                forget()
 
     return df.mapInArrow(run, schema)
 
