@@ -4,9 +4,9 @@ Every document becomes the set of its distinct word shingles. Equal sets are col
 vertex has a MinHash sketch of ``SKETCH`` coordinates. ``TREES`` independent trees branch the vertices: a node
 selects coordinates of the sketch (1 / SIMILARITY of them on average, at least one) and deals its vertices to children by
 the minwise token there. Nodes of one vertex end; nodes of up to ``NODE`` vertices are compared exhaustively on
-their sketches; larger ones branch again, and after ``DEPTH`` levels are dealt into blocks of that size (their
-vertices agree on all selected tokens; every tree deals anew). A pair of similarity 0.8 misses a tree with a
-probability of 0.16 to 0.36, by the depth of its node, and all trees with less than 0.00001.
+their sketches; larger ones branch again. After ``DEPTH`` levels they are dealt into blocks of that size for the first rounds (their
+vertices agree on all selected tokens; every tree deals anew), and compared whole at the end. A pair of similarity
+0.8 misses a tree with a probability of 0.16 to 0.36, by the depth of its node, and all trees with less than 0.00001.
 
 Candidates are pairs of different components whose sketches agree enough that a pair of similarity 0.8 is
 missed with a probability below 0.0001 in one comparison. They are confirmed on the full sets, the
@@ -14,6 +14,10 @@ components are contracted, and the next round compares what is still apart: firs
 each vertex in a node, then all of them, for which a node's undecided texts are sent to it once. So a group of
 near copies costs a few links per copy, not all pairs, and no partner is left out.
 
+Nodes that are still large at ``DEPTH`` (texts around one passage) form groups by the vertices that they share. All
+pairs of a group's blocks are compared, each as one row of some task, but for blocks of the same component.
+That work grows with the square of a group; components are contracted before it.
+
 Node sizes come from counts; only nodes of bounded size are gathered in one task. Components are found by
 contraction in DataFrame joins; no link, component or fingerprint comes to the driver.
 
@@ -48,6 +52,9 @@ DEPTH = 3
 AGREE = 60
 #: Partners of each vertex in a node that the first rounds confirm; the last round takes all.
 PARTNERS = (2, 4)
+#: Vertices, and their shingles, of a block of a large group.
+BLOCK = 500
+BLOCK_SHINGLES = 500_000
 WORD_CACHE = 150_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -171,9 +178,9 @@ def _branch(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("node", "v", "sketch"), "node bigint, v binary", make)
 
 
-def leaves(vertices: DataFrame) -> DataFrame:
-    """(node, v) of all nodes that are compared: 2 to NODE vertices each."""
-    frontier, out = store(_roots(vertices), "near-level"), []
+def leaves(vertices: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, v) of the nodes and blocks of 2 to NODE vertices, and of the nodes that are larger after DEPTH levels."""
+    frontier, out, rest = store(_roots(vertices), "near-level"), [], None
     for depth in range(1, DEPTH + 1):
         counts = frontier.groupBy("node").agg(F.count("*").alias("size")).where("size >= 2")
         sized = frontier.join(counts, "node")
@@ -184,9 +191,10 @@ def leaves(vertices: DataFrame) -> DataFrame:
         if depth == DEPTH:
             blocks = F.ceil(F.col("size") / F.lit(NODE // 2))
             out.append(large.select(F.xxhash64("node", F.pmod(F.xxhash64("v", "node"), blocks)).alias("node"), "v"))
+            rest = large.select("node", "v")
             break
         frontier = store(_branch(large.join(vertices.select("v", "sketch"), "v")), "near-level")
-    return store(reduce(DataFrame.unionByName, out), "near-leaves")
+    return store(reduce(DataFrame.unionByName, out), "near-leaves"), rest
 
 
 def _close(sk: np.ndarray, comp: list, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -339,6 +347,127 @@ def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     return store(labels.select("v", "comp"), "near-labels") if steps else labels
 
 
+def grouped(large: DataFrame) -> DataFrame:
+    """(v, grp) of the vertices of the large nodes (node, v); nodes with a common vertex are in one group."""
+    first = sized(store(large.groupBy("node").agg(F.min("v").alias("b")), "near-firsts"))
+    links = store(large.join(first, "node").select(F.col("v").alias("a"), "b").where("a <> b").distinct(), "near-links")
+    labels = store(large.select("v", F.col("v").alias("comp")).distinct(), "near-labels")
+    return contracted(labels, links).withColumnRenamed("comp", "grp")
+
+
+def block_pairs(members: DataFrame, *columns: str) -> DataFrame:
+    """(x, y): lists of the columns' structs for all pairs of blocks, each with itself too, of the groups in
+    (grp, v, comp, n). A component that fills a block has its own ones, which aren't paired with each other.
+    """
+    sizes = members.groupBy("grp", "comp").agg(F.count("*").alias("m"))
+    own = sized(store(sizes.where(F.col("m") >= BLOCK).select("grp", "comp", F.col("comp").alias("part")), "near-parts"))
+    rows = members.join(own, ["grp", "comp"], "left").withColumn("part", F.coalesce("part", F.lit(b"")))
+    need = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)))
+    rows = rows.join(sized(store(rows.groupBy("grp", "part").agg(need.alias("blocks")), "near-parts")), ["grp", "part"])
+    number = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("string").cast("binary")
+    rows = rows.withColumn("block", F.concat("grp", "part", number))
+    blocks = store(rows.groupBy("block").agg(F.first("grp").alias("grp"), F.first("part").alias("part"), F.collect_list(F.struct(*columns)).alias("rows")), "near-blocks")
+    ids = blocks.select("block", "grp", "part")
+    left, right = (ids.select("grp", F.col("block").alias(f"b{k}"), F.col("part").alias(f"part{k}")) for k in (1, 2))
+    apart = (F.col("part1") != F.col("part2")) | (F.length("part1") == 0)
+    pairs = left.join(right, "grp").where((F.col("b1") <= F.col("b2")) & apart).select("b1", "b2")
+    x, y = (blocks.select(F.col("block").alias(f"b{k}"), F.col("rows").alias(c)) for k, c in ((1, "x"), (2, "y")))
+    return pairs.join(x, "b1").join(y, "b2").repartition("b1", "b2").select("x", "y")
+
+
+def _cross(x: pa.StructArray, y: pa.StructArray) -> np.ndarray:
+    """Places in x and y of the candidates: vertices of different components whose sketches and sizes agree."""
+    (sx, cx, nx), (sy, cy, ny) = (
+        (np.frombuffer(b"".join(b.field("low").to_pylist()), np.uint8).reshape(-1, SKETCH), np.frombuffer(b"".join(b.field("comp").to_pylist()), "<u8").reshape(-1, 2), b.field("n").to_numpy(zero_copy_only=False))
+        for b in (x, y)
+    )
+    agree = np.zeros((len(sx), len(sy)), np.uint8)
+    for k in range(SKETCH):
+        agree += sx[:, k, None] == sy[None, :, k]
+    good = (agree >= AGREE) & (cx[:, None, :] != cy[None, :, :]).any(axis=2)
+    good &= np.minimum(nx[:, None], ny) * 100 >= np.maximum(nx[:, None], ny) * round(100 * SIMILARITY)
+    return np.argwhere(good)
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    """How many of the sorted tokens each set of a has in common with each of b."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    flat = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(t) for t in s])) for s in (a, b)]
+    at = [np.searchsorted(tokens, f) for f, _ in flat]
+    for i, (f, own) in enumerate(flat):
+        hit = tokens[np.minimum(at[i], len(tokens) - 1)] == f
+        flat[i], at[i] = (f[hit], own[hit]), at[i][hit]
+    for k in range(0, len(tokens), 2048):
+        has = []
+        for i, s in enumerate((a, b)):
+            here = (at[i] >= k) & (at[i] < k + 2048)
+            m = np.zeros((len(s), 2048), np.float32)
+            m[flat[i][1][here], at[i][here] - k] = 1
+            has.append(m)
+        out += (has[0] @ has[1].T).astype(np.int64)
+    return out
+
+
+def _similar(places: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Those of the candidate places whose sets are similar."""
+    i, j = places.T
+    na, nb = (np.array([len(t) for t in s]) for s in (a, b))
+    rows, cols = np.unique(i), np.unique(j)
+    both = np.empty(len(places), np.int64)
+    tokens, count = np.unique(np.concatenate([*(a[k] for k in rows), *(b[k] for k in cols)]), return_counts=True)
+    tokens = tokens[count > 1]
+    # a merge takes some 10 ns a shingle, a product some 0.1 ns a token and pair
+    if len(tokens) and len(rows) * len(cols) * len(tokens) < 100 * int((na[i] + nb[j]).sum()):
+        both[:] = _overlaps([a[k] for k in rows], [b[k] for k in cols], tokens)[np.searchsorted(rows, i), np.searchsorted(cols, j)]
+    else:
+        both[:] = [len(np.intersect1d(a[p], b[q], assume_unique=True)) for p, q in places.tolist()]
+    return places[100 * both >= round(100 * SIMILARITY) * (na[i] + nb[j] - both)]
+
+
+def undecided_of_groups(members: DataFrame) -> DataFrame:
+    """Distinct v with a candidate in another component of their group in (grp, v, comp, n, low)."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            found = set()
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                places = _cross(x.values, y.values)
+                for side, at in ((x.values, places[:, 0]), (y.values, places[:, 1])):
+                    found.update(side.field("v").take(pa.array(np.unique(at))).to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], names=["v"])
+
+        return work
+
+    return map_batches(block_pairs(members, "v", "comp", "n", "low"), "v binary", make).distinct()
+
+
+def links_of_groups(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Distinct links (a, b) among all candidates of the groups in (grp, v, comp, n, low), on the full sets."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            links = set()
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                places = _cross(x.values, y.values)
+                if not len(places):
+                    continue
+                sets = [[shingles(t, size) for t in side.values.field("text").to_pylist()] for side in (x, y)]
+                v, w = (side.values.field("v").to_pylist() for side in (x, y))
+                # one link of two components is enough
+                seen = {}
+                c, d = (side.values.field("comp").to_pylist() for side in (x, y))
+                for i, j in _similar(places, *sets).tolist():
+                    seen.setdefault((c[i], d[j]) if c[i] < d[j] else (d[j], c[i]), (v[i], w[j]))
+                links.update((a, b) if a < b else (b, a) for a, b in seen.values())
+            rows = sorted(links)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        return work
+
+    rows = members.join(texts, "v")
+    return map_batches(block_pairs(rows, "v", "comp", "n", "low", "text"), "a binary, b binary", make).distinct()
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(v, text) for the vertices (v, rep): the text of a document with that set."""
     ids = store(wanted.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
@@ -361,7 +490,7 @@ def components(docs: DataFrame, size: int) -> DataFrame:
         found.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
         "near-vertices",
     )
-    nodes = leaves(vertices)
+    nodes, large = leaves(vertices)
     labels = store(nodes.select("v").distinct().select("v", F.col("v").alias("comp")), "near-labels")
     release(docs.sparkSession)
     # one byte of each coordinate is enough to compare
@@ -395,6 +524,15 @@ def components(docs: DataFrame, size: int) -> DataFrame:
         release(docs.sparkSession)
         labels = contracted(labels, links)
         release(docs.sparkSession)
+    if large is not None:
+        rows = grouped(large).join(labels, "v")
+        mixed = rows.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
+        members = store(rows.join(sized(store(mixed, "near-mixed")), "grp", "left_semi").join(light, "v").select("grp", "v", "comp", "n", "low"), "near-members")
+        open_ends = store(undecided_of_groups(members), "near-undecided")
+        if not open_ends.isEmpty():
+            links = links_of_groups(members.join(open_ends, "v", "left_semi"), texts_for(open_ends), size)
+            labels = contracted(labels, store(links, "near-links"))
+        release(docs.sparkSession)
     groups = vertices.join(labels, "v", "left").select("v", "rep", F.coalesce("comp", "v").alias("comp"))
     smallest = groups.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = groups.join(smallest, "comp").select("v", "component_id")

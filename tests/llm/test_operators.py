@@ -365,6 +365,30 @@ def test_large_nodes_branch(spark, monkeypatch):
     assert sorted(map(tuple, near_dups.components(df, 4).collect())) == components_by_force(rows, 4)
 
 
+def test_isolated_pairs_in_large_nodes(spark, monkeypatch):
+    """Texts around one passage (similarity 0.77), among which pairs share a little more."""
+    rng = random.Random(6)
+    own = lambda n: " ".join(f"y{rng.randrange(10**9)}" for _ in range(n))
+    passage = " ".join(f"w{i}" for i in range(200))
+    texts = [passage + " " + own(30) for _ in range(250)]
+    for _ in range(40):
+        more = passage + " " + own(8)
+        texts += [more + " " + own(22), more + " " + own(22)]
+    monkeypatch.setattr(near_dups, "NODE", 16)
+    monkeypatch.setattr(near_dups, "BLOCK", 50)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = components_by_force(sorted(df.collect(), key=lambda r: r.doc_id), 4)
+    assert sum(not kept for *_, kept in want) == 40
+    assert sorted(map(tuple, near_dups.components(df, 4).collect())) == want
+
+
+def test_products_count_as_merges_do():
+    rng = np.random.default_rng(4)
+    a, b = ([np.unique(rng.integers(0, 6000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(n)] for n in (5, 7))
+    tokens = np.unique(np.concatenate([*a, *b]))
+    assert near_dups._overlaps(a, b, tokens).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
 # --- pipeline ---------------------------------------------------------------------------------------
 
 
