@@ -120,7 +120,7 @@ def _batched(batches, most: int) -> Iterator[pa.Table]:
 
 
 #: Packed arrays of a row: anchor bits, content hash, differences of doc ids, text hash, start, strings.
-_KINDS = {"h": "<u4", "c": "<u8", "d": "<i8", "f": "<i8", "p": "<i4", "w": "<i2"}
+_KINDS = {"h": "<u4", "c": "<u8", "d": "<i8", "f": "<i8", "p": "<i4", "w": "<i4"}
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -186,7 +186,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
                     rows["d"].append(_small(d[part]))
                     rows["f"].append(f[part].tobytes())
                     rows["p"].append(p[part].astype("<i4").tobytes())
-                    rows["w"].append(w[part].astype("<i2").tobytes())
+                    rows["w"].append(w[part].astype("<i4").tobytes())
                     rows["h"].append(b"" if done else h[part].astype("<u4").tobytes())
                     rows["c"].append(b"" if done else c[part].tobytes())
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int32()), ("done", pa.bool_()), *[(k, pa.binary()) for k in _KINDS]]))

@@ -252,6 +252,13 @@ def test_cuts_under_one_id(spark):
     assert got == sorted([(1, 250, 0, 0), (1, 250, 0, 0), (2, 122, 120, 1), (None, 120, 0, 0), (3, 130, 130, 1)], key=str)
 
 
+def test_long_runs_of_one_period(spark):
+    texts = [(unit * (n // len(unit) + 1))[:n] for n in (40_000, 70_000, 100_000) for unit in ("z", "word ", "a short line of one text\n")]
+    rows = [(10 * k + i, f"{'ab'[i]}{k}" + t) for k, t in enumerate(texts) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.cut_table(df).collect())) == cuts_by_force(df.collect())
+
+
 # --- 8 ----------------------------------------------------------------------------------------------
 
 
