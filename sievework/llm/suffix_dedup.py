@@ -282,7 +282,7 @@ def cut_segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _may_match(contents: list[bytes]) -> np.ndarray:
-    """Contents of which the anchor with the bytes before it, or after it, is found in another content.
+    """Contents of which an anchor, at any of its places, is found in another content with the bytes before or after it.
 
     A string holds LENGTH - GRAM bytes beside its anchor, so it holds half of them on one side.
     """
@@ -298,17 +298,20 @@ def _may_match(contents: list[bytes]) -> np.ndarray:
     hit = h[place] == np.repeat(least, inner)
     at = place[hit]
     own = np.repeat(np.arange(len(n)), inner)[hit]
-    keep = np.bincount(own, minlength=len(n)) > 1  # an anchor that repeats itself
-    q = np.zeros(len(n), np.int64)
-    q[own] = at
+    keep = np.zeros(len(n), bool)
     for sign in (-1, 1):
         # grams at the anchor and at the far end of the half determine half + GRAM bytes together with one between
-        a, b = q + sign * half, q + sign * (half // 2)
-        ok = (a >= first) & (a + GRAM <= ends)
-        idx = np.flatnonzero(ok)
-        key = _mix(h[q[idx]] * _M1 + h[a[idx]]) * _M1 + h[b[idx]]
-        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-        keep[idx] |= count[back] > 1
+        a, b = at + sign * half, at + sign * (half // 2)
+        idx = np.flatnonzero((a >= first[own]) & (a + GRAM <= ends[own]))
+        if not len(idx):
+            continue
+        key = _mix(h[at[idx]] * _M1 + h[a[idx]]) * _M1 + h[b[idx]]
+        order = np.lexsort((own[idx], key))
+        key, of = key[order], own[idx[order]]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        runs = np.flatnonzero(new)
+        several = of[runs] != of[np.append(runs[1:], len(of)) - 1]
+        keep[of[several[np.cumsum(new) - 1]]] = True
     return keep
 
 

@@ -259,6 +259,19 @@ def test_long_runs_of_one_period(spark):
     assert sorted(map(tuple, suffix_dedup.cut_table(df).collect())) == cuts_by_force(df.collect())
 
 
+def test_anchors_that_repeat(spark):
+    """A+G+x+G+B and A+G+C: the common strings hold the first of two places of G."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    rows = []
+    for k in range(400):
+        a, g = some(rng.randint(34, 50)), some(16)
+        rows += [(2 * k, a + g + some(rng.randint(1, 15)) + g + some(60)), (2 * k + 1, a + g + some(60))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.cut_table(df).collect())) == cuts_by_force(df.collect())
+
+
 # --- 8 ----------------------------------------------------------------------------------------------
 
 
