@@ -1,17 +1,14 @@
-"""Column builders for text: normal form, cleaning steps and their counts, measures."""
+"""Column builders for text: normal form, folding, cleaning steps and their counts, measures."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# fixed values: tokens that stand for a missing cell, and the length under which a text is low in content
+# fixed values: tokens that stand for a missing cell, the length under which a text is low in content, list marks
 NULL_TOKENS = ("", "null", "n/a", "na")
 LOW_CONTENT = 20
+MARKS = "\u2022\u00b7\u25aa\u25e6\u2013\u2014-"
 
 CONTROL = r"[\x00-\x08\x0B-\x1F\x7F-\x9F]"
 LINE_TAIL = r"[ \t]+(?![^\n])"
@@ -19,14 +16,20 @@ BLANK_RUN = r"\n{3,}"
 ANY_SPACE = r"(?U)\s"
 
 
-def _composed(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v is None or unicodedata.is_normalized("NFC", v) else unicodedata.normalize("NFC", v))
+def _icu(kind: str, method: str, text: Column, flag: bool) -> Column:
+    """A static function of the Unicode library that Spark ships, so that text stays in the JVM."""
+    return F.reflect(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), F.coalesce(text, F.lit("")), F.lit(flag))
 
 
 def nfc(text: Column) -> Column:
-    """Unicode normal form C. Plain ASCII never meets Python."""
-    udf = F.pandas_udf(_composed, T.StringType())
-    return F.when(text.rlike(r"[^\x00-\x7F]"), udf(text)).otherwise(text)
+    """Unicode normal form C. Below U+0300 every text is in it."""
+    return F.when(text.rlike(r"[^\x00-\u02FF]"), _icu("text.Normalizer", "compose", text, False)).otherwise(text)
+
+
+def folded(text: Column) -> Column:
+    """Normal form C with full case folding, for comparisons."""
+    composed = nfc(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _icu("lang.UCharacter", "foldCase", composed, True)).otherwise(F.lower(text))
 
 
 def unix_lines(text: Column) -> Column:
@@ -34,25 +37,57 @@ def unix_lines(text: Column) -> Column:
 
 
 def clean_steps(text: Column) -> list[Column]:
-    """The text after each cleaning step: line ends, line tails, blank runs, control characters."""
-    a = unix_lines(text)
-    b = F.regexp_replace(a, LINE_TAIL, "")
-    c = F.regexp_replace(b, BLANK_RUN, "\n\n")
-    return [a, b, c, F.regexp_replace(c, CONTROL, "")]
+    """The text after each cleaning step: normal form, line ends, line tails, blank runs, control characters."""
+    composed = nfc(text)
+    lines = unix_lines(composed)
+    tails = F.regexp_replace(lines, LINE_TAIL, "")
+    runs = F.regexp_replace(tails, BLANK_RUN, "\n\n")
+    return [composed, lines, tails, runs, F.regexp_replace(runs, CONTROL, "")]
 
 
 def cleaned(text: Column) -> Column:
     return clean_steps(text)[-1]
 
 
+def clean_counts(text: Column) -> dict[str, Column]:
+    """How often each logged cleaning action applies: texts composed, lines trimmed, newlines and controls removed."""
+    composed, lines, tails, runs, done = clean_steps(text)
+    less = lambda x, y: (F.length(x) - F.length(y)).cast("bigint")
+    return {
+        "unicode_nfc": (composed != text).cast("bigint"),
+        "trim_trailing_whitespace": F.regexp_count(lines, F.lit(LINE_TAIL)).cast("bigint"),
+        "compress_excessive_blank_lines": less(tails, runs),
+        "remove_control_characters": less(runs, done),
+    }
+
+
+def actions(counts: dict[str, Column]) -> Column:
+    """The actions that apply, as an array of (type, count)."""
+    found = [F.when(n > 0, F.struct(F.lit(k).alias("type"), n.alias("count"))) for k, n in counts.items()]
+    return F.array_compact(F.array(*found))
+
+
+def extracted(text: Column) -> Column:
+    """The narrower normal form of extraction: Unix lines, composed, without C0 controls but newline and tab."""
+    return F.regexp_replace(nfc(unix_lines(text)), r"[\x00-\x08\x0B-\x1F]", "")
+
+
+def presentation(text: Column) -> Column:
+    """Lines without trailing space; a line that is only a list mark or number is joined with the next filled line."""
+    mark = rf"(?:[{MARKS}]|(?U:\d){{1,3}}[.)\u3001])"
+    lines = F.regexp_replace(unix_lines(text), r"(?U)[^\S\n]+(?![^\n])", "")
+    joined = F.regexp_replace(lines, rf"(?<![^\n])(?U:[^\S\n]*)({mark})\n(?U:\s*)(?=(?U:\S))", "$1 ")
+    return strip(joined)
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(F.regexp_replace(text, r"^(?U)\s+", ""), r"(?U)\s+\z", "")
 
 
 def cell(text: Column) -> Column:
-    """A normalised table cell: Unix lines, stripped, null for a token of absence."""
-    value = strip(unix_lines(text))
+    """A normalised table cell: composed, Unix lines, stripped, null for a token of absence."""
+    value = strip(unix_lines(nfc(text)))
     return F.when(F.lower(value).isin(*NULL_TOKENS), F.lit(None)).otherwise(value)
 
 

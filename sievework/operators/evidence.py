@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # fixed values: fields of each action and its bounds
 ACTIONS = {"search": {"query"}, "context": {"asset_ids"}, "sql": {"asset_ids", "sql"}, "final": {"findings"}}
-MAX_ASSETS, MAX_QUERY, MAX_STEPS = 8, 512, 6
+MAX_ASSETS, MAX_QUERY, MAX_STEPS, MAX_BLOCKS = 8, 512, 6, 500
 
 
 class ActionRefused(ValueError):
@@ -56,14 +56,26 @@ def ground_findings(findings: DataFrame, manifest: DataFrame) -> DataFrame:
     return g.select("finding", "n_cited", (F.col("all_known") & (F.col("n_cited") > 0) & ~F.col("status").eqNullSafe(F.lit("unconfirmed"))).alias("grounded"))
 
 
-def context_blocks(blocks: DataFrame, key: str, order: list[str], text: str, budget: int) -> DataFrame:
-    """The first blocks of each key within a budget of characters; the block that crosses it is cut."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))
-    rows = blocks.withColumn("__left", F.lit(budget) - used).where("__left > 0")
+def context_blocks(blocks: DataFrame, key: str, order: list[str], text: str, budget: int, most: int = MAX_BLOCKS) -> DataFrame:
+    """The first ``most`` blocks of each key within a budget of characters; the block that crosses it is cut."""
+    first = Window.partitionBy(key).orderBy(*order)
+    some = blocks.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most).drop("__r")
+    used = F.coalesce(F.sum(F.length(text)).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = some.withColumn("__left", F.lit(budget) - used).where("__left > 0")
     return rows.withColumn(text, F.col(text).substr(F.lit(1), F.col("__left").cast("int"))).drop("__left")
 
 
+def within_budget(rows: DataFrame, key: str, order: str, size: str, budget: int, most: int = MAX_BLOCKS) -> DataFrame:
+    """The first ``most`` rows of each key whose running sum of sizes in the order of a unique column stays within a budget, with ``used``.
+
+    Only ``most`` rows of a key and task are shuffled, however many rows a key has.
+    """
+    first = Window.partitionBy(key).orderBy(order)
+    some = rows.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most).drop("__r")
+    used = F.sum(size).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    return some.withColumn("used", used.cast("bigint")).where(F.col("used") <= budget)
+
+
 def table_facts(profile: DataFrame, asset: str) -> DataFrame:
     """(fact, text) from a column profile: shape, missing values, first numeric column."""
     shape = profile.agg(F.max("n").alias("rows"), F.count("*").alias("cols"), F.sum("n_null").alias("missing"), F.min(F.when(F.col("mean_value").isNotNull(), F.struct("column_name", "min_value", "max_value", "mean_value"))).alias("num"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.rules import iou, overlap_share
 
+# fixed values: thresholds of layout rules
+LINE_GAP, ROW_GAP, COLUMN_GAP, SHORT_BLOCK, GRID_LINES = 3.0, 4.0, 12.0, 40, 4
+LOW_TEXT, SCAN_SHARE, INSIDE_SHARE = 20, 0.35, 0.55
+WIDE_CELL, TALL_CELL, LONG_CELL, LONG_SHARE, LOW_CONFIDENCE = 1.6, 1.8, 160, 0.6, 0.65
+
 
 def reading_order(blocks: DataFrame, page: str, sequence: str) -> DataFrame:
     """Blocks (page, sequence, x0, y0, ...) with their zero-based place on the page; boxless ones come last."""
@@ -18,7 +23,7 @@ def join_lines(words: DataFrame, page: str, sequence: str, text: str = "text") -
     """Neighbouring words of one line become one text: (page, line, line_text)."""
     w = Window.partitionBy(page).orderBy(sequence)
     tall = F.least(F.col("y1") - F.col("y0"), F.lag(F.col("y1") - F.col("y0")).over(w))
-    near = F.abs(F.col("y0") - F.lag("y0").over(w)) <= F.greatest(F.lit(3.0), tall / 2)
+    near = F.abs(F.col("y0") - F.lag("y0").over(w)) <= F.greatest(F.lit(LINE_GAP), tall / 2)
     right = F.col("x0") >= F.lag("x0").over(w) - 2
     flags = words.withColumn("__new", F.when(F.coalesce(near & right, F.lit(False)), 0).otherwise(1))
     lined = flags.withColumn("line", F.sum("__new").over(w).cast("bigint"))
@@ -26,7 +31,7 @@ def join_lines(words: DataFrame, page: str, sequence: str, text: str = "text") -
     return lined.groupBy(page, "line").agg(F.array_join(parts, " ").alias("line_text"))
 
 
-def outside_tables(texts: DataFrame, tables: DataFrame, page: str, share: float = 0.55) -> DataFrame:
+def outside_tables(texts: DataFrame, tables: DataFrame, page: str, share: float = INSIDE_SHARE) -> DataFrame:
     """Texts of which less than ``share`` lies in any table box of their page."""
     box = [F.col(f"t.{c}") for c in ("x0", "y0", "x1", "y1")]
     other = [F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1")]
@@ -54,25 +59,207 @@ def row_bands(cells: DataFrame, sheet: str, row: str, value: str) -> DataFrame:
     return bands.select(sheet, F.row_number().over(order).cast("bigint").alias("band"), "first_row", "last_row")
 
 
+def regions(cells: DataFrame, sheet: str) -> DataFrame:
+    """Table regions of sheets from filled cells (sheet, row, col, value, kind): bands of rows, in them bands of columns.
+
+    (sheet, region, row_start, row_end, column_start, column_end, warnings, header), ends exclusive, places
+    zero-based. A band ends at a row or column without any value. Cells are dealt out by sheet; a sheet's rows and columns, not its
+    cells, are sorted in one task.
+    """
+    filled = cells.where(F.col("value").isNotNull() & (F.trim("value") != ""))
+    rows = filled.select(sheet, "row").distinct()
+    rows = rows.withColumn("i", F.col("row") - F.row_number().over(Window.partitionBy(sheet).orderBy("row")))
+    bands = rows.groupBy(sheet, "i").agg(F.min("row").alias("row_start"), (F.max("row") + 1).alias("row_end"))
+    placed = filled.join(rows, [sheet, "row"]).join(bands, [sheet, "i"])
+    cols = placed.select(sheet, "i", "col").distinct()
+    cols = cols.withColumn("j", F.col("col") - F.row_number().over(Window.partitionBy(sheet, "i").orderBy("col")))
+    placed = placed.join(cols, [sheet, "i", "col"])
+    text = F.col("kind") == "string"
+    # one row a line of the region first, so that no window holds its cells
+    lines = placed.groupBy(sheet, "i", "j", "row_start", "row_end", "row").agg(F.count("*").alias("n"), F.bool_and(text).alias("text"), F.min("col").alias("c0"), (F.max("col") + 1).alias("c1"))
+    first, second = F.col("row") == F.col("row_start"), F.col("row") == F.col("row_start") + 1
+    found = lines.groupBy(sheet, "i", "j", "row_start", "row_end").agg(
+        F.min("c0").alias("column_start"),
+        F.max("c1").alias("column_end"),
+        F.coalesce(F.max(F.when(first, F.col("n"))), F.lit(0)).alias("n_first"),
+        F.coalesce(F.max(F.when(~first, F.col("n"))), F.lit(0)).alias("n_later"),
+        F.coalesce(F.bool_and(F.when(first, F.col("text"))), F.lit(True)).alias("first_text"),
+        F.coalesce(F.bool_and(F.when(first | second, F.col("text"))), F.lit(True)).alias("two_text"),
+        F.coalesce(F.bool_or(F.when(~first & ~second, ~F.col("text"))), F.lit(False)).alias("later_other"),
+    )
+    title = (F.col("n_first") == 1) & (F.col("n_later") > 1)
+    double = (F.col("row_end") - F.col("row_start") >= 3) & F.col("two_text") & F.col("later_other")
+    several = F.col("__n") > 1
+    order = Window.partitionBy(sheet).orderBy("row_start", "column_start")
+    count = found.groupBy(sheet).agg(F.count("*").alias("__n"))
+    warned = F.array_compact(F.array(F.when(title, "possible_title_row"), F.when(title, "ambiguous_table_boundary"), F.when(double, "possible_multirow_header"), F.when(several, "multiple_table_regions")))
+    header = (F.col("n_first") >= 2) & F.col("first_text") & ~title & ~double
+    out = found.join(count, sheet)
+    return out.select(sheet, (F.row_number().over(order) - 1).cast("bigint").alias("region"), "row_start", "row_end", "column_start", "column_end", warned.alias("warnings"), header.alias("header"))
+
+
 def page_profile(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Pages from rows (keys, kind, chars, area, page_area): characters, image share, suspected scan."""
+    """Pages from rows (keys, kind, chars, effective, area, page_area[, width, height]): text, images, coverage, grid, scan.
+
+    Kinds: text, image, drawing. A drawing counts as a grid line if its smaller side is up to 2 and its larger 4 or more.
+    """
     image, text = F.col("kind") == "image", F.col("kind") == "text"
-    share = lambda c: F.least(F.lit(1.0), F.try_divide(F.sum(F.when(c, F.col("area")).otherwise(0.0)), F.max("page_area")))
-    g = blocks.groupBy(*keys).agg(F.sum(F.when(text, F.col("chars")).otherwise(0)).alias("chars"), F.count_if(image).alias("images"), F.round(share(image), 6).alias("image_share"), F.round(share(text), 6).alias("text_share"))
-    return g.withColumn("suspected_scan", (F.col("images") > 0) & (F.col("chars") < 20) & (F.col("image_share") >= 0.35))
+    share = lambda c: F.coalesce(F.least(F.lit(1.0), F.try_divide(F.sum(F.when(c, F.col("area")).otherwise(0.0)), F.max("page_area"))), F.lit(0.0))
+    grid = F.lit(False)
+    if "width" in blocks.columns:
+        grid = (F.col("kind") == "drawing") & (F.least("width", "height") <= 2) & (F.greatest("width", "height") >= 4)
+    effective = F.col("effective") if "effective" in blocks.columns else F.col("chars")
+    g = blocks.groupBy(*keys).agg(
+        F.sum(F.when(text, F.col("chars")).otherwise(0)).alias("chars"),
+        F.sum(F.when(text, effective).otherwise(0)).alias("effective"),
+        F.count_if(text).alias("blocks"),
+        F.count_if(image).alias("images"),
+        F.round(share(image), 6).alias("image_share"),
+        F.round(share(text), 6).alias("text_share"),
+        F.count_if(grid).alias("grid_lines"),
+    )
+    low = F.col("effective") < LOW_TEXT
+    return g.withColumn("native_text", F.col("effective") > 0).withColumn("suspected_scan", (F.col("images") > 0) & low & (F.col("image_share") >= SCAN_SHARE))
+
+
+def table_hints(blocks: DataFrame, keys: list[str], sequence: str) -> DataFrame:
+    """(keys, aligned, many_short) of pages from text blocks (keys, sequence, x0, y0, effective).
+
+    Blocks form a row if they are within 4 points below the row's first one; rows of three or more count. A page is
+    aligned if three places of its first such row come again within 12 points in later rows.
+    """
+    listed = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", sequence))).alias("b"), F.count("*").alias("n"), F.count_if(F.col("effective") <= SHORT_BLOCK).alias("short"))
+    # the rows of one page: a fold over its sorted blocks, a page's blocks being few
+    start = F.array().cast("array<struct<y:double,xs:array<double>>>")
+
+    def step(rows: Column, b: Column) -> Column:
+        last = F.element_at(rows, -1)
+        same = (F.size(rows) > 0) & (b["y0"] - last["y"] <= ROW_GAP)
+        grown = F.concat(F.slice(rows, 1, F.size(rows) - 1), F.array(F.struct(last["y"].alias("y"), F.concat(last["xs"], F.array(b["x0"])).alias("xs"))))
+        return F.when(same, grown).otherwise(F.concat(rows, F.array(F.struct(b["y0"].alias("y"), F.array(b["x0"]).alias("xs")))))
+
+    rows = F.filter(F.aggregate(F.transform("b", lambda b: F.struct(b["y0"].cast("double").alias("y0"), b["x0"].cast("double").alias("x0"))), start, step), lambda r: F.size(r["xs"]) >= 3)
+    page = listed.select(*keys, "n", "short", rows.alias("rows"))
+    later = F.flatten(F.transform(F.slice("rows", 2, F.greatest(F.lit(0), F.size("rows") - 1)), lambda r: r["xs"]))
+    again = F.size(F.filter(F.col("rows")[0]["xs"], lambda x: F.exists(later, lambda y: F.abs(x - y) <= COLUMN_GAP)))
+    aligned = (F.size("rows") >= 2) & (F.coalesce(again, F.lit(0)) >= 3)
+    out = page.select(*keys, "n", "short", F.coalesce(aligned, F.lit(False)).alias("aligned"))
+    return out.select(*keys, "aligned", (F.col("aligned") & (F.col("short") >= 8) & (F.col("short") / F.col("n") >= 0.7)).alias("many_short"))
 
 
 def document_class(pages: DataFrame, key: str) -> DataFrame:
-    """(key, pages, scanned, class): native_text, suspected_scanned, mixed or unknown."""
-    g = pages.groupBy(key).agg(F.count("*").alias("pages"), F.count_if(F.col("suspected_scan")).alias("scanned"), F.count_if(F.col("chars") >= 20).alias("native"))
-    kind = F.when((F.col("scanned") > 0) & (F.col("native") > 0), "mixed").when(F.col("scanned") == F.col("pages"), "suspected_scanned").when(F.col("native") > 0, "native_text").otherwise("unknown")
-    return g.select(key, "pages", "scanned", kind.alias("class"))
+    """(key, pages, scanned, native, class, reason) from page profiles with native_text and suspected_scan."""
+    g = pages.groupBy(key).agg(F.count("*").alias("pages"), F.count_if("suspected_scan").alias("scanned"), F.count_if("native_text").alias("native"))
+    scanned, native, n = F.col("scanned"), F.col("native"), F.col("pages")
+    rules = [
+        ((scanned > 0) & (native > 0), "mixed", "native_and_suspected_scanned_pages"),
+        ((scanned > 0) & (scanned * 2 >= n), "suspected_scanned", "most_pages_have_scanned_signal"),
+        (native == n, "native_text", "all_pages_have_native_text"),
+        (native > 0, "mixed", "text_and_blank_pages"),
+    ]
+    kind, reason = F.lit("unknown"), F.lit("no_native_text_and_no_scanned_consensus")
+    for condition, k, r in reversed(rules):
+        kind, reason = F.when(condition, k).otherwise(kind), F.when(condition, r).otherwise(reason)
+    return g.select(key, "pages", "scanned", "native", kind.alias("class"), reason.alias("reason"))
+
+
+def table_pages(pages: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Pages whose tables are looked for: hinted ones of native and mixed documents, all of unknown ones."""
+    rows = pages.join(classes.select(key, "class"), key)
+    return rows.where((F.col("class").isin("native_text", "mixed") & F.col("table_hint")) | (F.col("class") == "unknown"))
+
+
+def ocr_pages(pages: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Pages without native text to recognise, with the reason."""
+    rows = pages.join(classes.select(key, "class"), key).where(~F.col("native_text"))
+    wanted = F.col("suspected_scan") | F.col("class").isin("mixed", "suspected_scanned", "unknown")
+    return rows.where(wanted).withColumn("reason", F.when(F.col("suspected_scan"), "suspected_scanned_page").otherwise("mixed_page_without_native_text"))
+
+
+def vision_pages(pages: DataFrame) -> DataFrame:
+    """Pages for a vision model: suspected scans without any native text."""
+    return pages.where(F.col("suspected_scan") & ~F.col("native_text"))
+
+
+def layout_hint(tables: Column, chars: Column) -> Column:
+    """webpage_like, table_dominant, document or other."""
+    chars = F.coalesce(chars, F.lit(0))
+    return F.when((tables > 0) & (chars >= 250), "webpage_like").when(tables > 0, "table_dominant").when(chars > 0, "document").otherwise("other")
+
+
+def scaled(box: list[Column], image: tuple[Column, Column], page: tuple[Column, Column], rotation: Column) -> Column:
+    """A box in pixels as page points; null on rotated pages or without the image's size."""
+    known = (rotation == 0) & (image[0] > 0) & (image[1] > 0)
+    fx, fy = F.try_divide(page[0], image[0]), F.try_divide(page[1], image[1])
+    return F.when(known, F.struct(*[(v * f).alias(n) for v, f, n in zip(box, (fx, fy, fx, fy), ("x0", "y0", "x1", "y1"), strict=True)]))
+
+
+def table_flags(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None) -> DataFrame:
+    """(keys, flags) of recognised tables from cells (keys, row, col, value[, width, height]) and text blocks (keys, confidence).
+
+    Cells are all places of the rows as read, filled or not. Medians are exact, over one table's cells.
+    """
+    value = F.trim(F.coalesce("value", F.lit("")))
+    filled = F.length(value) > 0
+    lines = cells.groupBy(*keys, "row").agg(F.count("*").alias("w"), F.count_if(filled).alias("f"), F.count_if(filled & (F.length("value") >= LONG_CELL)).alias("long"))
+    g = lines.groupBy(*keys).agg(
+        F.count("*").alias("rows"),
+        F.max("w").alias("widest"),
+        F.min("w").alias("narrowest"),
+        F.sum("w").alias("cells"),
+        F.sum("f").alias("filled"),
+        F.sum("long").alias("long"),
+        F.coalesce(F.max(F.when(F.col("row") == 0, F.col("f"))), F.lit(0)).alias("head"),
+    )
+    merged = F.lit(False)
+    if "width" in cells.columns:
+        sizes = cells.where("width is not null").groupBy(*keys).agg(F.count("*").alias("boxes"), F.median("width").alias("mw"), F.max("width").alias("xw"), F.median("height").alias("mh"), F.max("height").alias("xh"))
+        g = g.join(sizes, keys, "left")
+        merged = (F.col("boxes") >= 4) & (((F.col("mw") > 0) & (F.col("xw") > F.col("mw") * WIDE_CELL)) | ((F.col("mh") > 0) & (F.col("xh") > F.col("mh") * TALL_CELL)))
+    unsure, unread = F.lit(False), F.lit(False)
+    if blocks is not None:
+        g = g.join(blocks.groupBy(*keys).agg(F.avg("confidence").alias("sure"), F.lit(True).alias("read")), keys, "left")
+        unsure, unread = F.col("sure") < LOW_CONFIDENCE, F.col("read").isNull()
+    flags = {
+        "suspicious_single_column": F.col("widest") <= 1,
+        "suspicious_single_row": F.col("rows") <= 1,
+        "possible_column_shift": F.col("widest") != F.col("narrowest"),
+        "severe_raggedness": (F.col("rows") >= 3) & (F.col("widest") >= 3) & (F.col("narrowest") <= F.greatest(F.lit(1), F.floor(F.col("widest") / 2))),
+        "sparse_ocr": (F.col("filled") < F.greatest(F.lit(2), F.floor((F.col("cells") + 1) / 2))) | unread,
+        "possible_table_structure_loss": (F.col("filled") > 0) & (F.col("long") >= LONG_SHARE * F.col("filled")),
+        "possible_header_loss": (F.col("head") == 0) & (F.col("filled") > 0),
+        "possible_merged_cells": merged,
+        "low_ocr_confidence": unsure,
+    }
+    return g.select(*keys, F.array_compact(F.array(*[F.when(c, k) for k, c in flags.items()])).alias("flags"))
+
+
+def native_table_flags(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, flags) of tables of native pages: single column or row, rows of differing width, merged cells."""
+    lines = cells.groupBy(*keys, "row").agg(F.count("*").alias("w"))
+    g = lines.groupBy(*keys).agg(F.count("*").alias("rows"), F.max("w").alias("widest"), F.min("w").alias("narrowest"))
+    sizes = cells.where("width is not null").groupBy(*keys).agg(F.count("*").alias("boxes"), F.median("width").alias("mw"), F.max("width").alias("xw"))
+    g = g.join(sizes, keys, "left")
+    flags = {
+        "suspicious_single_column": (F.col("widest") == 1) & (F.col("rows") >= 2),
+        "suspicious_single_row": (F.col("rows") == 1) & (F.col("widest") >= 2),
+        "possible_column_shift": F.col("widest") != F.col("narrowest"),
+        "possible_merged_cells": (F.col("boxes") >= 4) & (F.col("mw") > 0) & (F.col("xw") > F.col("mw") * WIDE_CELL),
+    }
+    return g.select(*keys, F.array_compact(F.array(*[F.when(c, k) for k, c in flags.items()])).alias("flags"))
+
+
+def vision_warnings(names: Column, rows: Column) -> Column:
+    """Warnings of a table that a model has read: equal names, no rows, blank names."""
+    low = F.transform(names, lambda n: F.lower(F.trim(F.coalesce(n, F.lit("")))))
+    some = F.filter(low, lambda n: F.length(n) > 0)
+    return F.array_compact(F.array(F.when(F.size(F.array_distinct(some)) < F.size(some), "duplicate_column_names"), F.when(rows == 0, "empty_table"), F.when(F.size(some) < F.size(low), "empty_column_header")))
 
 
 def drop_repeats(candidates: DataFrame, image: str, order: str, least_iou: float = 0.9, least_similarity: float = 0.92) -> DataFrame:
     """Candidates (image, order, x0..y1, text) without those that repeat an earlier kept one of their image.
 
-    Greedy by definition, so each image's candidates, which are few, go through one function.
+    Greedy by definition, so each image's candidates go through one function: some tens a picture, as a picture has few tables.
     """
     import pandas as pd
 

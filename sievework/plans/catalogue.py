@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sievework.functions import rules
 from sievework.functions import text as tx
 from sievework.functions.inference import infer_types
-from sievework.operators import catalog, chunking, evidence, history, layout, profiling, safe_sql, search
+from sievework.operators import chunking, evidence, history, layout, profiling, registry, safe_sql, search, tables
+from sievework.plans.fixture import frames
 from sievework.plans.oracles import ORACLES
 from sievework.sources import documents, sinks
 
@@ -29,7 +30,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _dirty(col):
-    """Texts as they come from files: Windows line ends, padded lines, blank runs, control characters."""
+    """Texts as they come from files: decomposed letters, Windows line ends, padded lines, blank runs, control characters."""
+    col = F.replace(col, F.lit("\u00e9"), F.lit("e\u0301"))
     return F.concat(F.lit(" \x07"), F.replace(col, F.lit("\n"), F.lit(" \t\r\n\r\n\r\n\n")), F.lit("\x0b\r\n"))
 
 
@@ -44,10 +46,29 @@ def text_clean_profile(spark, d):
 
 @_query
 def text_clean_actions(spark, d):
-    raw = _dirty(F.col("text"))
-    a, b, c, e = tx.clean_steps(raw)
-    less = lambda x, y: (F.length(x) - F.length(y)).cast("bigint")
-    return _t(spark, d, "documents").select("doc_id", less(raw, a).alias("line_ends"), less(a, b).alias("line_tails"), less(b, c).alias("blank_runs"), less(c, e).alias("controls"))
+    counts = tx.clean_counts(_dirty(F.col("text")))
+    listed = F.transform(tx.actions(counts), lambda a: F.concat_ws("=", a["type"], a["count"].cast("string")))
+    return _t(spark, d, "documents").select("doc_id", *[n.alias(k) for k, n in counts.items()], F.array_join(listed, " ").alias("actions"))
+
+
+@_query
+def text_extraction_normalize(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2(tx.extracted(_dirty(F.col("text"))), 256).alias("sha256"))
+
+
+@_query
+def presentation_text(spark, d):
+    """Every third line of a text is turned into a list mark of its own."""
+    marked = F.regexp_replace("text", r"\n([^\n]{1,6}) ", "\n- \n\n  $1 ")
+    return _t(spark, d, "documents").select("doc_id", F.sha2(tx.presentation(marked), 256).alias("sha256"))
+
+
+@_query
+def text_issue_rules(spark, d):
+    docs = frames(spark, d, "texts")["texts"].withColumn("confidence", F.when(F.col("asset_id").endswith("6"), 0.5))
+    rows = docs.withColumn("n", F.length(tx.strip(F.col("text"))))
+    issues = rules.text_issues(F.col("n"), F.col("extractor"), F.col("confidence"), F.col("page_number").isNotNull() | ~F.col("asset_id").endswith("1"))
+    return rows.withColumn("issues", issues).select("asset_id", F.array_join("issues", ",").alias("issues"), rules.text_issue_status(F.col("issues"), F.col("extractor")).alias("status"))
 
 
 @_query
@@ -71,6 +92,59 @@ def chunk_counts(spark, d):
     return chunking.chunks(_t(spark, d, "documents"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("end").alias("chars"))
 
 
+@_query
+def chunk_reassembly(spark, d):
+    """Chunks joined in their order are the text."""
+    found = chunking.chunks(_t(spark, d, "documents"), "doc_id")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "chunk_text"))), lambda x: x["chunk_text"])
+    return found.groupBy("doc_id").agg(F.sha2(F.array_join(parts, ""), 256).alias("text_sha256"))
+
+
+@_query
+def search_ranked(spark, d):
+    """Names, places and columns of tables and texts, and the chunks of texts, in one ranking."""
+    f = frames(spark, d, "files", "tables", "texts")
+    assets = registry.current_assets(f["tables"], f["texts"], f["files"])
+    assets = assets.select("asset_id", "asset_type", "file_id", F.col("base_quality").alias("quality_status"), "source_kind", "extractor", "source_format", F.col("fallback_name").alias("effective_display_name"), "source_file", "source_root", "sheet_name")
+    columns = _t(spark, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("asset_id"), F.array("p_name", "p_brand").alias("columns"), F.array("p_type").alias("samples"))
+    chunks = chunking.chunks(f["texts"].where("is_current"), "asset_id")
+    request = search.Request(" the  dir1 ", limit=50)
+    hits = search.ranked(assets.join(columns, "asset_id", "left"), chunks, request)
+    more = search.ranked(assets.join(columns, "asset_id", "left"), chunks, search.Request("Brand#1", asset_type="table"))
+    out = hits.withColumn("request", F.lit(1)).unionByName(more.withColumn("request", F.lit(2)))
+    return out.select("request", "asset_id", "asset_type", "chunk", "match_kind", "score", "start", F.sha2("snippet", 256).alias("snippet_sha256"), "place")
+
+
+@_query
+def search_ranked_page(spark, d):
+    """One page of the phrase ranking, with the total and the page's details."""
+    docs = frames(spark, d, "texts")["texts"].where("is_current")
+    assets = docs.select("asset_id", F.lit("text").alias("asset_type"), "file_id", F.lit("ready").alias("quality_status"), "source_kind", "extractor", F.lit("txt").alias("source_format"), F.col("asset_id").alias("effective_display_name"))
+    request = search.Request("of the", mode="phrase", limit=40, offset=7)
+    hits = search.ranked(assets, chunking.chunks(docs, "asset_id"), request)
+    page = search.result_page(hits, request, docs.select("asset_id", "page_number"))
+    return page.select("asset_id", "chunk", "score", "start", "page_number", "total")
+
+
+@_query
+def file_occurrences(spark, d):
+    blocks = frames(spark, d, "texts")["texts"].select("asset_id", F.col("page_number").alias("page"), F.col("sheet_name").alias("section"), F.lit(0).alias("block"), "text")
+    found = search.text_occurrences(blocks, "tion")
+    return found.select("asset_id", "page", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.sha2("snippet", 256).alias("snippet_sha256"), "occurrence")
+
+
+@_query
+def occurrence_places(spark, d):
+    blocks = frames(spark, d, "texts")["texts"].select("asset_id", F.col("page_number").alias("page"), F.col("sheet_name").alias("section"), F.lit(0).alias("block"), "text")
+    out = search.matched(search.text_occurrences(blocks, "ononon"))
+    return out.select("total", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.array_join("sections", ",").alias("sections"))
+
+
+@_query
+def cell_occurrences(spark, d):
+    return search.cell_occurrences(_t(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey", "a").select(F.col("row"), "column", "column_name", F.col("start").cast("bigint").alias("start"), "snippet")
+
+
 @_query
 def search_all_tokens(spark, d):
     chunks = chunking.chunks(_t(spark, d, "documents"), "doc_id")
@@ -87,8 +161,8 @@ def search_phrase_page(spark, d):
 @_query
 def search_best_field(spark, d):
     part = _t(spark, d, "part")
-    fields = part.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(float(w)).alias("weight"), F.col(c).alias("value")) for n, w, c in (("display", 120, "p_name"), ("column", 76, "p_brand"), ("sample", 42, "p_type"))])).alias("f")).select("p_partkey", "f.*")
-    return search.search_fields(fields, "p_partkey", "brand#1")
+    fields = part.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).alias("value")) for n, c in (("effective_display_name", "p_name"), ("column_name", "p_brand"), ("sample_value", "p_type"))])).alias("f")).select("p_partkey", "f.*")
+    return search.search_fields(fields, "p_partkey", "BRAND#1").select("p_partkey", "field", "kind", "score")
 
 
 @_query
@@ -134,7 +208,71 @@ def exact_duplicates_mark(spark, d):
 
 @_query
 def exact_duplicates_drop(spark, d):
-    return _t(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus").distinct()
+    """The first of equal rows in the order of the table."""
+    rows = _t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), "l_suppkey", "l_returnflag", "l_linestatus")
+    return tables.first_of_equals(rows, ["l_suppkey", "l_returnflag", "l_linestatus"], "place")
+
+
+def _dirty_table(spark, d):
+    """Customers as a text table: padded cells, tokens of absence, an empty column, empty rows, repeated rows."""
+    c = _t(spark, d, "customer")
+    k = F.col("c_custkey")
+    gone = k % 10 == 0
+    cell = lambda v: F.when(gone, F.when(k % 20 == 0, " ").otherwise("N/A")).otherwise(v)
+    rows = c.select(
+        k.alias("place"),
+        cell(F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit("\t"))).alias("a"),
+        cell((k % 7).cast("string")).alias("b"),
+        cell(F.lit("null")).alias("c"),
+        cell(F.concat(F.lit("2024/1/"), (k % 28 + 1).cast("string"))).alias("d"),
+        cell(F.lpad((k % 50).cast("string"), 4, "0")).alias("e"),
+        cell((F.col("c_acctbal") > 0).cast("string")).alias("f"),
+    )
+    return tables.clean_table(rows, [" Segment name ", "code", "nothing", "day", "CODE", None], "place")
+
+
+@_query
+def clean_table_actions(spark, d):
+    out = _dirty_table(spark, d)
+    rows = [(a["type"], a["count"]) for a in out.actions] + [("empty_rows_before", out.empty_rows_before), ("duplicate_rows", out.duplicate_rows)]
+    return spark.createDataFrame(rows, "type string, count bigint")
+
+
+@_query
+def clean_table_columns(spark, d):
+    rows = [(m["source_column_offset"], m["raw"], m["original"], m["normalized"], m["inferred_type"], ",".join(m["risk_reasons"])) for m in _dirty_table(spark, d).columns]
+    return spark.createDataFrame(rows, "place bigint, raw string, original string, normalized string, inferred string, risks string")
+
+
+@_query
+def clean_table_rows(spark, d):
+    return _dirty_table(spark, d).table
+
+
+@_query
+def column_rename_dedupe(spark, d):
+    names = _t(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").alias("place"), F.when(F.col("n_nationkey") % 4 == 0, " ").when(F.col("n_nationkey") % 4 == 1, " Name").otherwise("NAME").alias("name"))
+    return tables.numbered_names(names, ["n_regionkey"], "place", "name").select("n_regionkey", "place", "name_out", "duplicate_ordinal")
+
+
+@_query
+def table_preview(spark, d):
+    """The first rows and columns of a table, long cells cut."""
+    return tables.bounded(_t(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id", rows=20, chars=100)
+
+
+@_query
+def table_slice(spark, d):
+    return tables.slice_rows(_t(spark, d, "orders"), "o_orderkey", ["o_orderstatus", "o_totalprice"], 100, 50)
+
+
+@_query
+def matrix_types(spark, d):
+    """Types of sheet columns from the types of their cells."""
+    li = _t(spark, d, "lineitem")
+    kind = F.when(F.col("l_linenumber") % 4 == 0, "integer").when(F.col("l_linenumber") % 4 == 1, F.when(F.col("l_quantity") > 25, "float").otherwise("integer")).when(F.col("l_linenumber") % 4 == 2, "date").otherwise(F.when(F.col("l_quantity") > 40, "integer").otherwise("string"))
+    cells = li.select(F.col("l_suppkey").alias("sheet"), F.col("l_linenumber").cast("bigint").alias("col"), F.col("l_returnflag").alias("value"), kind.alias("kind"))
+    return tables.typed_matrix(cells, ["sheet"])
 
 
 @_query
@@ -142,11 +280,30 @@ def table_profile_lineitem(spark, d):
     return profiling.column_profile(_t(spark, d, "lineitem"), ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"])
 
 
+@_query
+def table_profile(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("text"))
+    return profiling.table_profile(rows)
+
+
+@_query
+def column_samples(spark, d):
+    out = profiling.sample_values(_t(spark, d, "part"), [F.col("p_partkey")], ["p_brand", "p_size"])
+    return out.select("column_name", F.array_join("sample_values", "|").alias("samples"))
+
+
+@_query
+def time_ranges(spark, d):
+    return profiling.time_range(_t(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("l_shipdate")), ["l_shipdate"])
+
+
 @_query
 def table_quality(spark, d):
-    g = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("rows"), F.round(F.count_if(F.col("l_discount") == 0) / F.count("*"), 6).alias("empty_ratio"), F.round(F.avg("l_tax") * 10, 6).alias("confidence"))
+    g = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.when(F.col("l_suppkey") % 6 == 0, 1).otherwise(F.count("*")).alias("rows"), F.round(F.count_if(F.col("l_discount") == 0) / F.count("*"), 6).alias("empty_ratio"), F.round(F.avg("l_tax") * 10, 6).alias("confidence"))
     review = F.col("l_suppkey") % 3 == 0
-    issues = rules.table_issues(F.col("rows"), F.lit(4), F.col("empty_ratio"), F.lit(0.6), review, F.col("l_suppkey") % 7 == 0, F.col("confidence"))
+    columns = F.col("l_suppkey") % 5
+    warnings = F.when(F.col("l_suppkey") % 4 == 0, F.array(F.lit("possible_title_row"), F.lit("ambiguous_table_boundary")))
+    issues = rules.table_issues(F.col("rows"), columns, F.col("empty_ratio"), F.lit(0.6), review, F.col("l_suppkey") % 7 == 0, F.col("confidence"), F.col("l_suppkey") % 11 > 0, warnings)
     out = g.withColumn("issues", issues).withColumn("status", rules.table_status(F.col("issues"), review))
     return out.select("l_suppkey", "rows", F.array_join("issues", ",").alias("issues"), "status", rules.trust(F.col("status"), review).alias("trust"))
 
@@ -243,24 +400,162 @@ def existing_keys(spark, d):
     return o.join(li, (F.col("o_orderkey") == F.col("l_orderkey")) & ((F.col("l_returnflag") == "R") | (F.col("l_shipdate") > F.col("o_orderdate"))), "left_semi").select("o_orderkey", "o_orderstatus")
 
 
-@_query
-def catalog_summary(spark, d):
-    return catalog.summary(catalog.view(_t(spark, d, "documents"), _t(spark, d, "orders"), _t(spark, d, "customer")))
+def _catalog(spark, d):
+    f = frames(spark, d)
+    assets = registry.current_assets(f["tables"], f["texts"], f["files"])
+    return f, assets, registry.view(assets, f["cleaning"], f["profiles"], f["issues"], f["semantic"], chunking.chunks(f["texts"], "asset_id"))
 
 
 @_query
 def catalog_view(spark, d):
-    return catalog.view(_t(spark, d, "documents"), _t(spark, d, "orders"), _t(spark, d, "customer"))
+    return _catalog(spark, d)[2]
+
+
+@_query
+def catalog_summary(spark, d):
+    f, _, catalog = _catalog(spark, d)
+    return registry.summary(catalog, f["files"], f["issues"])
 
 
 @_query
 def catalog_page(spark, d):
-    return catalog.list_page(catalog.view(_t(spark, d, "documents"), _t(spark, d, "orders"), _t(spark, d, "customer")), "SRC1", "ready", limit=100, offset=20)
+    page = registry.list_assets(_catalog(spark, d)[2], quality="ready", words="SUPPLIER", limit=100, offset=5)
+    return page.select("source_file", "asset_type", "asset_id", "display_name", "total", "has_next")
+
+
+@_query
+def catalog_empty_page(spark, d):
+    return registry.list_assets(_catalog(spark, d)[2], words="a_b%c", limit=10, offset=10**6).select("asset_id", "total", "has_next")
 
 
 @_query
 def file_rollup(spark, d):
-    return catalog.file_rollup(catalog.view(_t(spark, d, "documents"), _t(spark, d, "orders"), _t(spark, d, "customer")))
+    f, assets, _ = _catalog(spark, d)
+    return registry.file_rollup(f["files"], assets, f["cleaning"], f["issues"], f["semantic"], f["runs"])
+
+
+@_query
+def files_page(spark, d):
+    page = registry.list_files(file_rollup(spark, d), category="document", words="dir_/", limit=30, offset=2)
+    return page.select("file_id", "relative_path", "processing_status", "quality_status", "total", "has_next")
+
+
+@_query
+def processing_counts(spark, d):
+    f = frames(spark, d, "files", "runs")
+    return registry.processing_counts(f["files"], f["runs"])
+
+
+@_query
+def issue_page(spark, d):
+    f, _, catalog = _catalog(spark, d)
+    page = registry.list_issues(f["issues"], catalog, status="open", limit=60, offset=3)
+    return page.select("issue_id", "asset_id", "issue_type", "created", "display_name", "total")
+
+
+@_query
+def values_left_join_counts(spark, d):
+    """Visible issues of the assets on a page, given as literals."""
+    wanted = [("t2", "r101"), ("t4", None), ("x7", "r8"), ("x9", None), ("nothing", None)]
+    return registry.issue_counts_for(wanted, frames(spark, d, "issues")["issues"])
+
+
+@_query
+def correlated_chunk_count(spark, d):
+    """Texts and how many chunks each has, those without included."""
+    docs = _t(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 5 > 0, F.col("text")))
+    n = chunking.chunks(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+@_query
+def asset_details(spark, d):
+    f, _, catalog = _catalog(spark, d)
+    out = registry.asset_detail("t2", catalog, f["issues"], f["semantic"])
+    return out.select("asset_id", "display_name", "quality", F.array_join(F.transform("open_issues", lambda i: F.concat_ws(":", i["issue_type"], i["status"])), ",").alias("open_issues"), F.array_join("semantic_runs", ",").alias("semantic_runs"))
+
+
+@_query
+def issue_updates(spark, d):
+    """Issues after status events; states that are no states are ignored."""
+    issues = frames(spark, d, "issues")["issues"]
+    events = _t(spark, d, "events").where("event_id % 9 = 0").select(F.concat(F.lit("i"), (F.col("event_id") % 4000).cast("string")).alias("issue_id"), F.when(F.col("event_id") % 2 == 0, "resolved").when(F.col("event_id") % 5 == 0, "unheard").otherwise("accepted").alias("status"), F.col("event_id").alias("at"))
+    return registry.set_issue_status(events, issues).groupBy("issue_type", "status").agg(F.count("*").alias("n"))
+
+
+@_query
+def issue_upserts(spark, d):
+    before = frames(spark, d, "issues")["issues"]
+    found = before.where("substr(issue_id, 2) % 6 = 0").withColumn("status", F.lit("resolved")).unionByName(before.where("substr(issue_id, 2) % 50 = 0").withColumn("issue_id", F.concat(F.lit("n"), "issue_id")))
+    return registry.merged_issues(before, found).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_query
+def file_upserts(spark, d):
+    """Contents known before and a new batch: the first time seen stays, the newest values win."""
+    e = _t(spark, d, "events")
+    old = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("value").alias("size"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    new = e.where("event_id % 2 = 1 and user_id % 3 > 0").groupBy("user_id").agg(F.min("value").alias("size"), F.max("ts").alias("at"))
+    return history.upserted(old, new, "user_id", "at")
+
+
+@_query
+def missing_paths(spark, d):
+    files = frames(spark, d, "files")["files"].select(F.col("relative_path").alias("path"), "state")
+    seen = files.where("path like '%.csv' or path like '%.pdf'")
+    return history.missing_paths(files, seen, spark.createDataFrame([("dir3",), ("dir",)], "folder string")).select("path")
+
+
+@_query
+def runs_to_do(spark, d):
+    """Files whose content has no finished run of the plain-text route yet."""
+    f = frames(spark, d, "files", "runs")
+    files = f["files"].select("file_id", F.col("sha256").alias("content")).where("content is not null")
+    return history.to_do(files, f["runs"].where("route = 'text_plain'"), ["file_id", "content"])
+
+
+@_query
+def reusable_runs(spark, d):
+    """The newest finished run on each file's content."""
+    f = frames(spark, d, "files", "runs")
+    files = f["files"].select("file_id", F.col("sha256").alias("content"), "source_root")
+    return history.reusable(files, f["runs"], ["file_id", "content"], registry.newest_first()).select("file_id", "run_id", "route", "status")
+
+
+@_query
+def interrupted_runs(spark, d):
+    return history.reconciled(frames(spark, d, "runs")["runs"]).groupBy("route", "status").agg(F.count("*").alias("n"))
+
+
+@_query
+def root_snapshot(spark, d):
+    """Known files of one root, and its sums of rows and characters."""
+    f = frames(spark, d, "files", "tables", "texts")
+    assets = registry.current_assets(f["tables"], f["texts"], f["files"]).where("source_root = 'root1'")
+    return assets.groupBy("source_file").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+
+
+def _records(spark, d):
+    e = _t(spark, d, "events")
+    state = F.when(F.col("value") < 10, "queued").when(F.col("value") < 25, "running").when(F.col("value") < 70, "completed").when(F.col("value") < 90, "failed").otherwise("cancelled")
+    phase = F.when(F.col("event_id") % 3 == 0, "calling").when(F.col("event_id") % 3 == 1, "preparing")
+    return e.select((F.col("user_id") % 120).cast("string").alias("file_id"), state.alias("state"), F.when(state == "running", phase).alias("phase"), F.col("event_id").alias("at"), F.concat(F.lit("c"), F.when(F.col("event_id") % 4 == 0, "0").otherwise((F.col("user_id") % 120).cast("string"))).alias("content"))
+
+
+@_query
+def insight_statuses(spark, d):
+    files = frames(spark, d, "files")["files"].select("file_id", F.when(F.col("source_format") == "png", "no_evidence").otherwise("available").alias("evidence_status"))
+    return registry.insight_status(files, _records(spark, d))
+
+
+@_query
+def insight_queue(spark, d):
+    return registry.queue_counts(_records(spark, d))
+
+
+@_query
+def stale_insights(spark, d):
+    return registry.stale_records(_records(spark, d), frames(spark, d, "files")["files"]).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @_query
@@ -278,20 +573,30 @@ def format_counts(spark, d):
 
 @_query
 def page_types(spark, d):
-    start = F.lower(F.ltrim(F.substring("html", 1, 200)))
-    kind = F.when(start.startswith("<!doctype html") | start.startswith("<html"), "html").when(start.startswith("{"), "json").otherwise("text")
+    from sievework.sources.files import detected_type
+
+    kind = detected_type(F.col("url"), F.col("html").cast("binary"))
     return _t(spark, d, "pages").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
 
 
 @_query
 def benchmark_mentions(spark, d):
-    """Documents that hold the first eight words of an item, joined on those words."""
-    words = lambda c: F.split(F.lower(F.col(c)), r"\s+")
-    gram = lambda w, i: F.array_join(F.slice(w, i, 8), " ")
-    items = _t(spark, d, "benchmark").select("item_id", gram(words("text"), F.lit(1)).alias("g"), F.size(words("text")).alias("n")).where("n >= 8").select("item_id", "g")
-    docs = _t(spark, d, "documents").select("doc_id", words("text").alias("w")).where(F.size("w") >= 8)
-    grams = docs.select("doc_id", F.explode(F.transform(F.array("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: gram(w, i)))[0]).alias("g"))
-    return grams.join(items, "g").select("doc_id", "item_id").distinct()
+    """Documents that hold the words of an item: whole short items, or any eight neighbouring words of longer ones.
+
+    The items' word sequences are few and broadcast if they are; the documents' rows never meet in a shuffle then.
+    """
+    words = lambda c: F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda w: w != "")
+    items = _t(spark, d, "benchmark").select("item_id", words("text").alias("w")).where(F.size("w") > 0)
+    size = F.least(F.lit(8), F.size("w"))
+    starts = F.sequence(F.lit(1), F.size("w") - size + 1)
+    grams = items.select("item_id", size.alias("size"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, size), " "))).alias("g")).distinct()
+    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())
+    docs = _t(spark, d, "documents").select("doc_id", words("text").alias("w"))
+    of = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    found = docs.select("doc_id", F.explode(F.concat(*[of(n) for n in sizes])).alias("g")) if sizes else docs.select("doc_id", F.lit("").alias("g"))
+    few = grams.count() <= 200_000
+    side = grams.select("g", "item_id")
+    return found.join(F.broadcast(side) if few else side, "g").select("doc_id", "item_id").distinct()
 
 
 # --- SQL, evidence, layout --------------------------------------------------------------------------
@@ -324,9 +629,8 @@ def safe_sql_rejections(spark, d):
 
 @_query
 def budgeted_context(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.length("text")).over(w)
-    return _t(spark, d, "documents").select("source", "doc_id", used.alias("used")).where("used <= 12000")
+    out = evidence.within_budget(_t(spark, d, "documents").select("source", "doc_id", F.length("text").alias("size")), "source", "doc_id", "size", 12000)
+    return out.select("source", "doc_id", "used")
 
 
 @_query
@@ -338,9 +642,9 @@ def grounding_check(spark, d):
 
 
 def _boxes(spark, d):
-    e = _t(spark, d, "events").where("event_id % 10 = 0")
+    e = _t(spark, d, "events")
     x0, y0 = (F.col("event_id") * 7 % 97).cast("double"), (F.col("event_id") * 13 % 89).cast("double")
-    return e.select((F.col("user_id") % 50).alias("page"), F.col("event_id").alias("seq"), x0.alias("x0"), y0.alias("y0"), (x0 + 20).alias("x1"), (y0 + 10).alias("y1"))
+    return e.select(F.col("user_id").alias("page"), F.col("event_id").alias("seq"), x0.alias("x0"), y0.alias("y0"), (x0 + 20).alias("x1"), (y0 + 10).alias("y1"))
 
 
 @_query
@@ -351,7 +655,7 @@ def reading_order(spark, d):
 @_query
 def overlap_suppress(spark, d):
     b = _boxes(spark, d)
-    return layout.outside_tables(b.where("seq % 20 <> 0"), b.where("seq % 20 = 0"), "page").select("page", "seq")
+    return layout.outside_tables(b.where("seq % 10 <> 0"), b.where("seq % 10 = 0"), "page").select("page", "seq")
 
 
 @_query
@@ -365,16 +669,169 @@ def row_bands(spark, d):
     return layout.row_bands(cells, "sheet", "row", "value")
 
 
+@_query
+def table_regions(spark, d):
+    """Cells of sheets (one a supplier) with blank rows and columns between."""
+    li = _t(spark, d, "lineitem")
+    row, col = F.col("l_orderkey") % 29, F.col("l_partkey") % 11
+    there = (row % 6 != 5) & (col % 4 != 3) & ((row % 6 != 0) | (F.col("l_suppkey") % 3 > 0) | (col % 4 == 0))
+    cells = li.where(there).groupBy(F.col("l_suppkey").alias("sheet"), row.alias("row"), col.alias("col")).agg(F.max("l_returnflag").alias("value"))
+    kind = F.when((F.col("row") % 6 < 2) | (F.col("sheet") % 4 == 0), "string").otherwise("number")
+    found = layout.regions(cells.withColumn("kind", kind), "sheet")
+    return found.withColumn("warnings", F.array_join("warnings", ","))
+
+
+@_query
+def spatial_lines(spark, d):
+    return layout.join_lines(_boxes(spark, d).select("page", "seq", "x0", "y0", "x1", "y1", F.col("seq").cast("string").alias("text")), "page", "seq")
+
+
+def _page_blocks(spark, d):
+    kind = F.when(F.col("event_id") % 3 == 0, "image").when(F.col("event_id") % 5 == 0, "drawing").otherwise("text")
+    e = _t(spark, d, "events")
+    return e.select(F.col("user_id").alias("doc"), (F.col("event_id") % 7).alias("page"), kind.alias("kind"), (F.col("event_id") % 11).alias("chars"), (F.col("event_id") % 11 % 6).alias("effective"), F.col("value").alias("area"), F.lit(400.0).alias("page_area"), (F.col("event_id") % 4).cast("double").alias("width"), (F.col("event_id") % 9).cast("double").alias("height"))
+
+
 @_query
 def page_profiles(spark, d):
-    blocks = _t(spark, d, "events").select((F.col("user_id") % 40).alias("doc"), (F.col("event_id") % 7).alias("page"), F.when(F.col("event_id") % 3 == 0, "image").otherwise("text").alias("kind"), (F.col("event_id") % 11).alias("chars"), F.col("value").alias("area"), F.lit(5000.0).alias("page_area"))
-    return layout.page_profile(blocks.where("chars < 4"), ["doc", "page"])
+    return layout.page_profile(_page_blocks(spark, d), ["doc", "page"])
+
+
+@_query
+def page_table_hints(spark, d):
+    e = _t(spark, d, "events")
+    blocks = e.select(F.col("user_id").alias("doc"), (F.col("event_id") % 2).alias("page"), "event_id", (F.col("event_id") * 7 % 5 * 60).cast("double").alias("x0"), (F.col("event_id") * 13 % 31 * 6).cast("double").alias("y0"), (F.col("event_id") % 53).alias("effective"))
+    return layout.table_hints(blocks, ["doc", "page"], "event_id")
+
+
+def _hinted(spark, d):
+    pages = page_profiles(spark, d).withColumn("table_hint", F.col("grid_lines") >= layout.GRID_LINES)
+    return pages, layout.document_class(pages, "doc")
 
 
 @_query
 def document_classes(spark, d):
-    pages = page_profiles(spark, d)
-    return layout.document_class(pages, "doc")
+    return _hinted(spark, d)[1]
+
+
+@_query
+def table_pages(spark, d):
+    return layout.table_pages(*_hinted(spark, d), "doc").select("doc", "page", "class")
+
+
+@_query
+def ocr_pages(spark, d):
+    return layout.ocr_pages(*_hinted(spark, d), "doc").select("doc", "page", "reason")
+
+
+@_query
+def vision_pages(spark, d):
+    return layout.vision_pages(page_profiles(spark, d)).select("doc", "page")
+
+
+@_query
+def layout_hints(spark, d):
+    return page_profiles(spark, d).select("doc", "page", layout.layout_hint(F.col("grid_lines") % 2, F.col("effective") * 10).alias("hint"))
+
+
+def _read_cells(spark, d):
+    """Cells of recognised tables (one an order): rows of differing width, long and empty cells, sizes."""
+    li = _t(spark, d, "lineitem")
+    k = F.col("l_orderkey")
+    value = F.when(k % 4 == 0, F.repeat(F.lit("x"), 170)).when(F.col("l_quantity") > 30, " ").otherwise(F.col("l_returnflag"))
+    return li.select(k.alias("table_id"), (F.col("l_linenumber") % 3).cast("bigint").alias("row"), value.alias("value"), F.col("l_quantity").alias("width"), (F.col("l_tax") * 100 + 1).alias("height"))
+
+
+@_query
+def image_table_flags(spark, d):
+    blocks = _t(spark, d, "lineitem").where("l_orderkey % 9 > 0").select(F.col("l_orderkey").alias("table_id"), F.round(F.col("l_discount") * 10, 1).alias("confidence"))
+    return layout.table_flags(_read_cells(spark, d), ["table_id"], blocks).select("table_id", F.array_join("flags", ",").alias("flags"))
+
+
+@_query
+def native_table_flags(spark, d):
+    return layout.native_table_flags(_read_cells(spark, d), ["table_id"]).select("table_id", F.array_join("flags", ",").alias("flags"))
+
+
+@_query
+def scaled_boxes(spark, d):
+    box = layout.scaled([F.col(c) for c in ("x0", "y0", "x1", "y1")], (F.when(F.col("seq") % 5 > 0, 200.0), F.lit(100.0)), (F.lit(50.0), F.lit(25.0)), F.col("seq") % 4 * 90)
+    return _boxes(spark, d).select("seq", box.alias("b")).select("seq", "b.*")
+
+
+@_query
+def read_table_warnings(spark, d):
+    """Tables of a reading model: names, and how many rows came with them."""
+    names = F.array("n_name", F.when(F.col("n_nationkey") % 3 == 0, F.lower("n_name")).otherwise("x"), F.when(F.col("n_nationkey") % 4 == 0, F.lit(" ")).otherwise("y"))
+    warned = layout.vision_warnings(names, F.col("n_regionkey"))
+    return _t(spark, d, "nation").select("n_nationkey", F.array_join(warned, ",").alias("warnings"))
+
+
+# --- scores and samples -----------------------------------------------------------------------------
+
+
+def _scored(spark, d):
+    """Tables of orders on pages of customers; the found ones lack some and have other sizes and cells."""
+    o = _t(spark, d, "orders")
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("value"))
+    rows = li.groupBy("l_orderkey").agg(F.max("l_linenumber").cast("bigint").alias("rows"))
+    both = o.join(rows, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("page"), "rows", F.lit(1).cast("bigint").alias("columns"))
+    order = Window.partitionBy("page").orderBy("id")
+    expected = both.withColumn("idx", F.row_number().over(order).cast("bigint"))
+    found = expected.where("id % 7 > 0").withColumn("rows", F.when(F.col("id") % 5 == 0, F.col("rows") + 1).otherwise(F.col("rows"))).withColumn("idx", F.row_number().over(order).cast("bigint"))
+    cells = li.join(expected.select(F.col("id").alias("l_orderkey")), "l_orderkey").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") - 1).cast("bigint").alias("row"), F.lit(0).cast("bigint").alias("col"), "value")
+    other = cells.where("id % 7 > 0").withColumn("value", F.when(F.col("id") % 3 == 0, F.concat(F.col("value"), F.lit(" "))).when(F.col("id") % 11 == 0, F.lit("?")).otherwise(F.col("value")))
+    return expected, found, cells, other
+
+
+@_query
+def table_scores(spark, d):
+    """Expected tables with an index match the candidate of that index; others take the first free one of their page."""
+    expected, found, cells, other = _scored(spark, d)
+    expected = expected.withColumn("idx", F.when(F.col("page") % 2 == 0, F.col("idx")))
+    return profiling.table_scores(expected, found, cells, other)
+
+
+@_query
+def cell_overlaps(spark, d):
+    _, _, cells, other = _scored(spark, d)
+    return profiling.cell_overlap(cells, other, ["id"])
+
+
+@_query
+def half_sample(spark, d):
+    rows = _t(spark, d, "labels").select("doc_id", "quality")
+    return profiling.halves(rows, F.col("quality") == 1, [F.col("doc_id")], 20)
+
+
+@_query
+def rates(spark, d):
+    g = _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("files"), F.sum(F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("value"))).alias("bytes"), F.when(F.col("user_id") % 4 == 0, 0.0).otherwise(F.round(F.avg("value"), 3)).alias("seconds"))
+    return g.select("user_id", F.round(profiling.throughput(g, "files", "seconds"), 6).alias("files_s"), F.round(profiling.throughput(g, "bytes", "seconds"), 6).alias("bytes_s"))
+
+
+@_query
+def corpus_distribution(spark, d):
+    """Classes of documents with the sum, least and most of their pages, and the sorted sizes."""
+    classes = _hinted(spark, d)[1]
+    out = classes.groupBy("class").agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"), F.min("pages").alias("least"), F.max("pages").alias("most"), F.array_join(F.transform(F.array_sort(F.collect_list("pages")), lambda p: p.cast("string")), ",").alias("sizes"))
+    return out
+
+
+@_query
+def run_rollup(spark, d):
+    """The newest run of each file and route, summed up by route: time, first start, last finish."""
+    runs = frames(spark, d, "runs")["runs"]
+    last = history.latest_by(runs, ["file_id", "route"], registry.newest_first())
+    return last.groupBy("route").agg(F.count("*").alias("files"), F.min("started").alias("first_start"), F.max("finished").alias("last_finish"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+@_query
+def first_reuse(spark, d):
+    """Of each user's runs the first after the initial one that used something again, else the initial one."""
+    e = _t(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    pick = F.when((F.col("n") > 1) & (F.col("event_type") == "error"), 0).when(F.col("n") == 1, 1)
+    return history.latest_by(e.where(pick.isNotNull()), ["user_id"], [pick.asc(), F.asc("n")]).select("user_id", "event_id")
 
 
 @_query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import unicodedata
 import zipfile
 from xml.etree import ElementTree
 
@@ -85,10 +86,11 @@ def delimited(spark: SparkSession, root: str, delimiter: str = ",", glob: str =
                 except csv.Error:
                     out.append((path, "malformed", None, None))
                     continue
-                rows = [r for r in rows if r]
                 if not rows:
                     out.append((path, "empty_file", None, None))
-                elif any(len(r) != len(rows[0]) for r in rows):
+                elif not rows[0]:
+                    out.append((path, "no_header", None, None))
+                elif any(len(r) != len(rows[0]) for r in rows):  # a blank line between is a record without fields
                     out.append((path, "ragged", None, None))
                 else:
                     out += [(path, "ok", i, r) for i, r in enumerate(rows)]
@@ -108,11 +110,11 @@ def as_table(rows: DataFrame, path: str) -> DataFrame:
 
 
 def clean_names(header: list[str | None]) -> list[str]:
-    """Column names: stripped, white space to _, blanks numbered, repeats (of any case) marked."""
+    """Column names: composed, stripped, white space to _, blanks numbered, repeats (of any case) marked."""
     seen: dict[str, int] = {}
     out = []
     for i, raw in enumerate(header):
-        name = re.sub(r"\s+", "_", (raw or "").strip()).strip("_") or f"column_{i + 1:04d}"
+        name = re.sub(r"\s+", "_", unicodedata.normalize("NFC", str(raw or "")).strip()).strip("_") or f"column_{i + 1:04d}"
         seen[name.casefold()] = k = seen.get(name.casefold(), 0) + 1
         out.append(name if k == 1 else f"{name}__{k}")
     return out
