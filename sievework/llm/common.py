@@ -22,9 +22,15 @@ ARROW_BYTES = 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a session of one machine (``local[...]``) gets a temporary one if it is unset; a cluster's is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,6 +53,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores so that it differs from the taken names in any case of letters."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 #: Ids that a join may broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import map_batches
+from sievework.llm.common import fresh, map_batches
 
 WINDOW = 10
 #: Item text of one automaton.
@@ -210,11 +210,13 @@ def build_automata(benchmark: DataFrame, window: int = WINDOW, block_bytes: int
     return out
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` and ``hits``: struct of n_words, flat word spans and distinct item ids."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, name: str = "hits") -> DataFrame:
+    """All columns of ``docs`` and one more, ``name``: struct of n_words, flat word spans and distinct item ids."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"documents have a column {name}")
     spark = docs.sparkSession
     kind = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
-    df = docs.withColumn("hits", F.lit(None).cast(kind))
+    df = docs.withColumn(name, F.lit(None).cast(kind))
     out_schema = df.schema
     for automaton in build_automata(benchmark, window):
         shared = spark.sparkContext.broadcast(automaton)
@@ -224,7 +226,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
 
             def work(batch: pa.RecordBatch) -> pa.RecordBatch:
                 texts = batch.column("text").to_pylist()
-                before = batch.column("hits").to_pylist()
+                before = batch.column(name).to_pylist()
                 rows = []
                 for (n, spans, found), old in zip(scan_texts(automaton, texts), before, strict=True):
                     ids = {automaton.ids[k] for k in found} - {None}
@@ -233,9 +235,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
                         spans = _merge(spans + list(zip(flat[0::2], flat[1::2], strict=True)))
                         ids |= set(old["items"])
                     rows.append({"n_words": n, "spans": [x for s in spans for x in s], "items": sorted(ids)})
-                at = batch.schema.get_field_index("hits")
+                at = batch.schema.get_field_index(name)
                 kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-                return batch.set_column(at, pa.field("hits", kind), pa.array(rows, type=kind))
+                return batch.set_column(at, pa.field(name, kind), pa.array(rows, type=kind))
 
             return work
 
@@ -272,10 +274,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     """Cut the hit spans out of the texts; documents hit over more than ``max_coverage`` of their words go.
 
     Columns are those of ``docs``. Texts without a hit stay as they are, nulls included; ``n_chars``, if
-    there, is counted anew for cut texts.
+    there, is counted anew for cut texts. Columns of any name pass through.
     """
-    found = find_hits(docs, benchmark, window)
     names = docs.columns
+    mark = fresh("hits", names)
+    found = find_hits(docs, benchmark, window, mark)
     schema = docs.schema
 
     def make():
@@ -283,7 +286,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
             texts = batch.column("text").to_pylist()
             keep, out = [], []
             counts = batch.column("n_chars").to_pylist() if "n_chars" in names else None
-            for k, (text, h) in enumerate(zip(texts, batch.column("hits").to_pylist(), strict=True)):
+            for k, (text, h) in enumerate(zip(texts, batch.column(mark).to_pylist(), strict=True)):
                 flat = h["spans"]
                 hit = sum(flat[1::2]) - sum(flat[0::2])
                 keep.append(not hit or hit <= max_coverage * h["n_words"])
