@@ -23,7 +23,7 @@ contraction in DataFrame joins; no link, component or fingerprint comes to the d
 
 Edge cases: null, empty and blank texts have the empty set, are linked with nothing and kept; texts of
 fewer words than a shingle are one shingle; equal rows are linked; rows that share a doc_id are separate
-documents of that id; a document with a null doc_id joins the component of those with its very set, but
+documents of that id (``one_of_each`` keeps one row of a component in any case); a document with a null doc_id joins the component of those with its very set, but
 links no others, is never the smallest, and isn't kept unless its set is empty. Shingles are compared by 64-bit hashes of their words.
 """
 
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import AT_TASK_END, map_batches, release, sized, slices, small_batches, store
+from sievework.llm.common import AT_TASK_END, fresh, map_batches, release, sized, slices, small_batches, store
 
 SIMILARITY = 0.8
 SKETCH = 96
@@ -164,7 +164,7 @@ def _branch(rows: DataFrame) -> DataFrame:
             line = np.arange(len(v))
             out, keys = [], []
             for k in (1, 2):
-                pick = _mix(node + np.uint64(k) * _MIX)
+                pick = _mix(node + np.uint64(k * int(_MIX) & (1 << 64) - 1))
                 at = (pick % np.uint64(SKETCH - first)).astype(np.int64) + first
                 child = _mix(node ^ _mix(grid[line, at].astype(np.uint64) + (at.astype(np.uint64) + np.uint64(1) << np.uint64(32))))
                 # 1 / SIMILARITY - 1 of the nodes select a second coordinate
@@ -483,8 +483,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return map_batches(rows, "v binary, text string", make)
 
 
-def components(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document; ``size`` words make a shingle."""
+def found_components(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, v) of every document, and (v, rep, comp) of every set: its smallest doc_id and its component."""
     found = store(profiles(docs, size), "near-profiles")
     vertices = store(
         found.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
@@ -533,7 +533,15 @@ def components(docs: DataFrame, size: int) -> DataFrame:
             links = links_of_groups(members.join(open_ends, "v", "left_semi"), texts_for(open_ends), size)
             labels = contracted(labels, store(links, "near-links"))
         release(docs.sparkSession)
-    groups = vertices.join(labels, "v", "left").select("v", "rep", F.coalesce("comp", "v").alias("comp"))
+    return found.select("doc_id", "n_shingles", "v"), vertices.join(labels, "v", "left").select("v", "rep", F.coalesce("comp", "v").alias("comp"))
+
+
+def components(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document; ``size`` words make a shingle."""
+    return _named(*found_components(docs, size))
+
+
+def _named(found: DataFrame, groups: DataFrame) -> DataFrame:
     smallest = groups.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = groups.join(smallest, "comp").select("v", "component_id")
     out = found.select("doc_id", "n_shingles", "v").join(named, "v", "left")
@@ -542,7 +550,44 @@ def components(docs: DataFrame, size: int) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
+def with_set(docs: DataFrame, size: int, name: str) -> DataFrame:
+    """``docs`` and the digest of each row's set, null if it is empty."""
+    schema = docs.withColumn(name, F.lit(None).cast("binary")).schema
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
+            v = [hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(v, pa.binary())], names=[*batch.schema.names, name])
+
+        return work
+
+    return map_batches(docs, schema, make)
+
+
 def one_of_each(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` without the documents that aren't the first of their component; all columns."""
-    gone = components(docs, size).where("not kept").select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(sized(store(gone, "near-removed")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with exactly one row of each component, and all rows whose set is empty; all columns.
+
+    The row that stays has the component's smallest doc_id (a null one only if there is no other), then the
+    smallest set; of equal such rows any one stays. Rows that share an id, or have none, are told apart by their sets.
+    """
+    found, groups = found_components(docs, size)
+    groups = store(groups, "near-groups")
+    named = _named(found, groups)
+    ids = store(named.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(~F.col("kept")).alias("gone")).where("gone or n > 1 or doc_id is null"), "near-removed")
+    unclear = ids.where("n > 1 or doc_id is null")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    clear = docs.join(sized(ids.select("doc_id")), "doc_id", "left_anti").select(*names)
+    if unclear.isEmpty():
+        return clear
+    v = fresh("set", docs.columns)
+    shared = sized(store(unclear.where("doc_id is not null").select("doc_id"), "near-unclear"))
+    rest = docs.join(shared, "doc_id", "left_semi").select(*names).unionByName(docs.where("doc_id is null"))
+    rest = with_set(rest, size, v)
+    order = F.struct(F.col("rep").isNull().alias("late"), F.col("rep").alias("id"), F.col("v").alias("set"))
+    a, b = (fresh(x, rest.columns) for x in ("first_id", "first_set"))
+    first = groups.groupBy("comp").agg(F.min(order).alias("w")).select(F.col("w.id").alias(a), F.col("w.set").alias(b))
+    chosen = rest.join(first, (F.col(v) == F.col(b)) & F.col("doc_id").eqNullSafe(F.col(a)), "left_semi").dropDuplicates(["doc_id", v])
+    blank = rest.where(F.col(v).isNull())
+    # null ids never match the anti-join
+    return clear.where("doc_id is not null").unionByName(blank.select(*names)).unionByName(chosen.select(*names))
