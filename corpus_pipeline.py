@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import bpe, decontam, near_dups, pseudonyms, quality_qda
 from sievework.llm.common import store
-from sievework.llm.registry import vocabulary
+from sievework.llm.registry import pseudonym_key, vocabulary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(docs)
+    return pseudonyms.pseudonymise(docs, pseudonym_key(spark))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

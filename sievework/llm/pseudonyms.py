@@ -4,10 +4,10 @@ Personal values found in a text are validated and replaced by keyed permutations
 their own format, so that equal values get equal pseudonyms in every document and two values of a kind
 never get the same one:
 
-* card numbers (13 to 19 digits that pass the Luhn test): all digits but the last are permuted, the last
-  is the new check digit; other bare numbers of 9 to 19 digits are permuted as plain digits;
-* phone numbers with separators: their digits are permuted, signs and spaces stay, and so does the
-  country code behind a plus sign;
+* card numbers (13 to 19 digits, bare or in fours, that pass the Luhn test): all digits but the last are
+  permuted, the last is the new check digit; other bare numbers stay;
+* phone numbers: their digits are permuted, signs and spaces stay, and so does the country code behind a
+  plus sign;
 * IPv4 addresses whose parts are 0 to 255: permuted within the 32 bits, again four parts of 0 to 255;
 * dates (ISO order or day, month, year with one separator, 1900 to 2099) that exist: permuted within the
   existing dates of those two centuries, in the same layout;
@@ -20,8 +20,13 @@ The Feistel network alternates two halves over ``ROUNDS`` rounds with a keyed SH
 result is a projection of the scan: no shuffle, no state, the same in every executor.
 
 Edge cases: null text stays null and counts 0; empty text stays empty; values that fail validation (a
-date such as 2021-02-30, an address part of 300) stay as they are; overlapping candidates go to the
-leftmost, then to the kind named first in ``KINDS``. Further columns pass through.
+date such as 2021-02-30, an address part of 300, a number that fails the Luhn test) stay as they are; overlapping candidates go to the
+leftmost, then to the kind named first in ``KINDS``. Further columns of any name pass through. A text is
+scanned in time in proportion to its length, whatever it holds: runs are tried from their start only, and
+no part of the pattern gives back what it has read.
+
+The key is a parameter without a default. Whoever has it can undo the pseudonyms, and Spark writes it into
+plans and event logs like any literal, so those need the protection that the key has.
 """
 
 from __future__ import annotations
@@ -29,19 +34,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm.common import fresh
+
 ROUNDS = 8
-KEY = "sievework-pseudonyms-v1"
 
 #: One alternative for each kind, tried in this order at every position.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?:(?i)\b(?:key|token|secret|password)\b[ \t]*[=:][ \t]*)[\"']?[0-9A-Fa-f]{16,}[\"']?",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "secret": r"(?:(?i)\b(?:key|token|secret|password)\b[ \t]*+[=:][ \t]*+)[\"']?+[0-9A-Fa-f]{16,}+[\"']?+",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
-    "number": r"(?<![0-9A-Za-z])(?:[0-9]{9,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z])",
+    "number": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+# fixed values: country codes of one and two digits (ITU E.164); the others have three
+COUNTRY = r"^\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 DATE_FIRST, DATE_DAYS = "1900-01-01", 73049
 #: Sides of the date domain's Feistel square, which has a few more cells than there are days.
 DATE_SIDES = (271, 270)
@@ -109,13 +117,14 @@ def _number(s: Column, key: str) -> Column:
     def by_digits(d: Column) -> Column:
         body = d.substr(F.lit(1), F.length(d) - 1)
         card = _let(_digits(body, "card", key), lambda p: F.concat(p, F.pmod(-_luhn_sum(p, 0), F.lit(10)).cast("string")))
-        return F.when(luhn_valid(d), card).otherwise(_digits(d, "number", key))
+        return F.when(luhn_valid(d), card).otherwise(d)
 
     return _let(F.regexp_replace(s, "[^0-9]", ""), lambda d: _fill(s, by_digits(d)))
 
 
 def _phone(s: Column, key: str) -> Column:
-    prefix = F.regexp_extract(s, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    marked = F.regexp_extract(s, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    prefix = F.when(F.length(marked) > 0, marked).otherwise(F.regexp_extract(s, COUNTRY, 0))
     rest = s.substr(F.length(prefix) + 1, F.length(s))
     return F.concat(prefix, _let(rest, lambda r: _fill(r, _digits(F.regexp_replace(r, "[^0-9]", ""), "phone", key))))
 
@@ -166,7 +175,7 @@ def _by_class(s: Column, tag: str, alphabet: str, key: str) -> Column:
     """Permutes each character within its class: a Feistel network on the two halves of the string.
 
     In each of four rounds the characters of one half are shifted within their class by keyed hashes of
-    the other half; characters of no class stay.
+    the other half's digest; characters of no class stay.
     """
     classes = {"hex": ("0123456789abcdef",), "upper_hex": ("0123456789ABCDEF",), "word": ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")}[alphabet]
 
@@ -187,7 +196,11 @@ def _by_class(s: Column, tag: str, alphabet: str, key: str) -> Column:
     def step(x: Column, i: Column) -> Column:
         even = i % 2 == 0
         own = i.cast("string")
-        return F.struct(F.when(even, shift(x["a"], x["b"], own)).otherwise(x["a"]).alias("a"), F.when(even, x["b"]).otherwise(shift(x["b"], x["a"], own)).alias("b"))
+        other = F.sha2(F.when(even, x["b"]).otherwise(x["a"]), 256)
+        return _let(
+            other,
+            lambda h: F.struct(F.when(even, shift(x["a"], h, own)).otherwise(x["a"]).alias("a"), F.when(even, x["b"]).otherwise(shift(x["b"], h, own)).alias("b")),
+        )
 
     return _let(F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, step), lambda x: F.concat(x["a"], x["b"]))
 
@@ -218,7 +231,7 @@ def kind_of(s: Column) -> Column:
     return out
 
 
-def pseudonym(s: Column, key: str = KEY) -> Column:
+def pseudonym(s: Column, key: str) -> Column:
     """The replacement of one found value."""
     make = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "phone": _phone}
     return _let(
@@ -232,7 +245,7 @@ def pseudonym(s: Column, key: str = KEY) -> Column:
     )
 
 
-def replaced(text: Column, key: str = KEY) -> Column:
+def replaced(text: Column, key: str) -> Column:
     """``text`` with the pseudonyms in place, and the number of values that changed."""
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
@@ -252,17 +265,18 @@ def replaced(text: Column, key: str = KEY) -> Column:
     return F.when(likely, _let(found, lambda hits: F.when(F.size(hits) > 0, swap(hits)).otherwise(plain))).otherwise(plain)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with pseudonymised texts, same columns; ``n_chars``, if there, is counted anew."""
-    inner = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], replaced(F.col("text"), key).alias("__pii"))
-    out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.col("__pii.text")}
+    name = fresh("pii", docs.columns)
+    inner = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], replaced(F.col("text"), key).alias(name))
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.col(f"{name}.text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out["n_chars"] = F.when(F.col("__pii.n") > 0, F.length(F.col("__pii.text")).cast(kind)).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(F.col(f"{name}.n") > 0, F.length(F.col(f"{name}.text")).cast(kind)).otherwise(F.col("n_chars"))
     return inner.select(*[v.alias(c) for c, v in out.items()])
 
 
-def pseudonym_table(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonym_table(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text and n_replaced for every document."""
     inner = docs.select("doc_id", replaced(F.col("text"), key).alias("r"))
     return inner.select("doc_id", F.col("r.text").alias("text"), F.col("r.n").alias("n_replaced"))

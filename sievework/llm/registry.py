@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sievework.llm import bpe, decontam, html_crf, langid, near_dups, pseudonyms, quality_qda, rans, suffix_dedup, weak_supervision
 from sievework.llm.oracles import ORACLES
 
-__all__ = ["ORACLES", "QUERIES", "vocabulary"]
+__all__ = ["ORACLES", "QUERIES", "pseudonym_key", "vocabulary"]
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's ``spark.sievework.pseudonymKey``; the public demonstration key if it is unset."""
+    return spark.conf.get("spark.sievework.pseudonymKey", None) or "demonstration-key-not-secret"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,7 +57,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonym_table(_table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonym_table(_table(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
