@@ -8,10 +8,13 @@ layouts with semantic tags or only with classes, menus, headers, footers, sideba
 and reader comments around an article. The field has some tens of weights and goes with the task.
 
 Text inside a block has character references decoded and white space (breaks included) turned into one
-space; blocks are joined by two newlines. Scripts, styles, templates, titles and controls are no text at all.
+space; blocks are joined by two newlines. Scripts, styles, templates, titles and form controls are no text at
+all; formulas, drawings' labels and fallback text are text like any other.
 
 Edge cases: null, empty and textless pages give an empty text; unclosed and stray tags follow the usual implied
-ends; markup without tags is one block; a page is read whole, whatever its length; equal rows each give a row.
+ends; markup without tags is one block; a page is read whole, in time in proportion to its length, whatever the
+markup (from the first tag with an unclosed quote on, quotes in tags count for nothing); equal rows each give a row;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +35,18 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style template title textarea select button noscript iframe object svg math".split())
+SILENT = frozenset("script style template title textarea select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the value is ended by a start tag of the key.
-IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _CLOSERS = BLOCKS - {"label", "legend", "caption", "summary"}
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.S,
-)
+#: What an element ends stays within the innermost of these.
+_WALLS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table")}
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+#: What ends a tag, or opens an attribute's quoted value.
+_STOP = re.compile(r">|=\s*([\"'])")
+_END = {t: re.compile(rf"</{t}(?![a-zA-Z0-9:-])", re.I) for t in SILENT}
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: Groups of words in class, id and role.
@@ -98,86 +103,127 @@ def _groups(attributes: str) -> frozenset[str]:
 
 
 class Block:
-    __slots__ = ("text", "tags", "words", "linked")
+    """A run of text: the innermost block element, the tags and word groups of all its ancestors, characters in links."""
+
+    __slots__ = ("text", "last", "tags", "words", "linked")
+
+    def __init__(self, text: str, last: str, tags: frozenset[str], words: frozenset[str], linked: int):
+        self.text, self.last, self.tags, self.words, self.linked = text, last, tags, words, linked
 
-    def __init__(self, text: str, tags: tuple[str, ...], words: frozenset[str], linked: int):
-        self.text, self.tags, self.words, self.linked = text, tags, words, linked
+
+def _tokens(page: str):
+    """Text as (None, text), tags as (name, attributes) with a slash before the name of an end tag."""
+    at, text, n = 0, 0, len(page)
+    last = page.rfind(">")
+    strict = True
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        if page.startswith("<!--", at):
+            yield None, page[text:at]
+            end = page.find("-->", at + 4)
+            at = text = end + 3 if end >= 0 else n
+            continue
+        if at > last:
+            break
+        m = _NAME.match(page, at + 1)
+        if not m:
+            if page.startswith(("<!", "<?"), at):
+                yield None, page[text:at]
+                at = text = page.find(">", at) + 1
+            else:
+                at += 1
+            continue
+        end = m.end()
+        while strict:
+            stop = _STOP.search(page, end)
+            if stop and not stop[1]:
+                end = stop.start()
+                break
+            close = page.find(stop[1], stop.end()) if stop else -1
+            if close < 0:
+                strict = False  # a quote without its partner: this tag and the next ones end at the first >
+                end = m.end()
+            else:
+                end = close + 1
+        if not strict:
+            end = page.find(">", end)
+        yield None, page[text:at]
+        name = m[0].lower()
+        yield name, page[m.end() : end]
+        at = text = end + 1
+        if name in SILENT and page[end - 1] != "/":
+            e = _END[name].search(page, at)
+            if not e:
+                text = n
+                break
+            close = page.find(">", e.end())
+            at = text = close + 1 if close >= 0 else n
+    yield None, page[text:]
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    none: frozenset[str] = frozenset()
+    # open blocks: tag, and the tags and word groups from the outermost on; where each tag is open
+    stack: list[tuple[str, frozenset[str], frozenset[str]]] = [("", none, none)]
+    where: dict[str, list[int]] = {}
     parts: list[str] = []
-    page = page or ""
-    linked, in_link, at = 0, False, 0
+    linked, in_link = 0, False
 
     def end_block():
-        nonlocal linked, in_link
+        nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                words: frozenset[str] = frozenset()
-                for _, g in stack:
-                    words |= g
-                out.append(Block(text, tuple(t for t, _ in stack), words, linked))
+                out.append(Block(text, *stack[-1], linked))
             parts.clear()
         linked = 0
 
-    def add(raw: str):
-        nonlocal linked
-        if raw:
-            text = html.unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if in_link:
-                linked += len(text.strip())
-
-    n = len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+    def innermost(tags) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
+    def close_from(k: int):
+        while len(stack) > k:
+            where[stack.pop()[0]].pop()
+
+    for tag, raw in _tokens(page or ""):
+        if tag is None:
+            if raw:
+                text = html.unescape(raw) if "&" in raw else raw
+                parts.append(text)
+                if in_link:
+                    linked += len(text.strip())
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if tag in SILENT:
-            if not closing and not attributes.endswith("/"):
-                e = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = e.end() if e else n
+        closing = tag[0] == "/"
+        tag = tag.lstrip("/")
+        if tag in SILENT or tag == "br":
             parts.append(" ")
         elif tag == "a":
             in_link = not closing
-        elif tag == "br":
-            parts.append(" ")
         elif tag == "hr":
             end_block()
         elif tag in BLOCKS:
             end_block()
             in_link = False
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if tag == "p" and stack[k][0] != "p":
-                        break
-            else:
-                if stack and stack[-1][0] == "p" and tag in _CLOSERS:
-                    stack.pop()
-                ends = IMPLIED.get(tag)
-                if ends:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] in ends:
-                            del stack[k:]
-                            break
-                        if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "menu") or (tag != "tr" and stack[k][0] == "tr"):
-                            break
-                if tag not in VOID and not attributes.endswith("/"):
-                    stack.append((tag, _groups(attributes) if attributes else frozenset()))
+                k = innermost((tag,))
+                if k and (tag != "p" or stack[-1][0] == "p"):
+                    close_from(k)
+                continue
+            if stack[-1][0] == "p" and tag in _CLOSERS:
+                close_from(len(stack) - 1)
+            if tag in IMPLIED:
+                k = innermost(IMPLIED[tag])
+                if k > innermost(_WALLS[tag]):
+                    close_from(k)
+            if tag not in VOID and not raw.endswith("/"):
+                _, tags, words = stack[-1]
+                own = _groups(raw) if raw else none
+                where.setdefault(tag, []).append(len(stack))
+                stack.append((tag, tags if tag in tags else tags | {tag}, words if own <= words else words | own))
     end_block()
     return out
 
@@ -187,15 +233,15 @@ def features(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), len(FEATURES)))
     n, headed = len(blocks), False
     for k, b in enumerate(blocks):
-        tags, size = set(b.tags), len(b.text)
+        tags, size = b.tags, len(b.text)
         names = ["bias"]
         names += [f"in_{t}" for t in TAGS if t in tags]
         names += [f"word_{g}" for g in b.words]
         if "comment" in b.words and "article" in tags:
             names.append("comment_inside_article")
-        if b.tags and b.tags[-1] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if b.last in ("h1", "h2", "h3", "h4", "h5", "h6"):
             names.append("heading")
-            if b.tags[-1] == "h1" and not headed:
+            if b.last == "h1" and not headed:
                 names.append("first_heading")
                 headed = True
         if not tags & {"p", "li", "td", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "dd"}:
@@ -333,17 +379,23 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[int]]]:
         body = [f"<h{rng.choice('1112')}>{mark}{words(2, 9).capitalize()}</h1>"] if rng.random() < 0.9 else []
         for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 14])):
             r = rng.random()
-            body.append(
-                para()
-                if r < 0.8
-                else f"<h2>{mark}{words(1, 6)}</h2>"
-                if r < 0.87
-                else "<ul>" + "".join(f"<li>{mark}{sentence(2, 14)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
-                if r < 0.93
-                else f"<blockquote>{para(4, 30)}</blockquote>"
-                if r < 0.97
-                else f"<table><tr><td>{mark}{words(1, 3)}</td><td>{mark}{words(1, 3)}</td></tr></table>"
-            )
+            if r < 0.7:
+                body.append(para())
+            elif r < 0.77:
+                body.append(f"<h{rng.choice('23')}>{mark}{words(1, 6)}</h2>")
+            elif r < 0.83:
+                body.append("<ul>" + "".join(f"<li>{mark}{sentence(2, 14)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+            elif r < 0.86:
+                body.append(f"<blockquote>{para(4, 30)}</blockquote>")
+            elif r < 0.88:
+                body.append(f"<table><tr><td>{mark}{words(1, 3)}</td><td>{mark}{words(1, 3)}</td></tr></table>")
+            elif r < 0.9:
+                body.append(f"<figure><figcaption>{mark}{sentence(2, 12)}</figcaption></figure>")
+            elif r < 0.92:
+                body.append(rng.choice([f"<pre>{mark}{words(2, 20)}</pre>", f"<dl><dt>{mark}{words(1, 3)}<dd>{mark}{sentence(2, 12)}</dl>"]))
+            else:  # text of its own, or in a plain box
+                text = mark + " ".join(sentence(2, 14) for _ in range(rng.randint(1, 4)))
+                body.append(rng.choice([f"<div>{text}</div>", f"<section>{text}</section>", f"{text}<hr>", f"<div>{mark}{words(1, 4)}</div>"]))
         for kind in ("ad", "share", "aside", "comments", "notice", "form"):
             if rng.random() < 0.12:
                 body.insert(rng.randint(1, len(body)) if kind != "comments" else len(body), other(kind))
