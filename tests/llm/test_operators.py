@@ -1,9 +1,13 @@
 """The training-data operators against brute force, round trips and held-out accuracy, with edge cases."""
 
 import collections
+import datetime
 import hashlib
+import html.parser
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -70,6 +74,14 @@ def test_spans_are_cut(spark):
     assert got == {1: ("w " * 30 + "() end", 66), 3: (None, None)}
 
 
+def test_spans_are_cut_beside_clashing_columns(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j", "x")], "item_id long, text string, doc_id string")
+    df = spark.createDataFrame([(1, "w " * 30 + "a b c d e f g h i j", "keep", 7)], "doc_id long, text string, hits string, HITS_ long")
+    out = decontam.remove_spans(df, bench)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "w " * 30, "keep", 7)]
+    assert decontam.remove_spans(df.limit(0), bench).count() == 0
+
+
 # --- 2, 5, 7 ----------------------------------------------------------------------------------------
 
 
@@ -120,14 +132,70 @@ def test_phrases_against_search(docs, rows):
     for text in [r.text or "" for r in rows if len(r.text or "") < 900][:12] + ["ЖЖ abc", "x" * 50]:
         t = langid.normalised(text)
         for name, n in zip(lang.names, lang.phrases([lang.symbols(text)])[0], strict=True):
-            i = count = 0
-            while i < len(t):
-                k = 1
-                while i + k <= len(t) and t[i : i + k] in whole[name]:
-                    k += 1
-                i += max(1, k - 1)
-                count += 1
-            assert count == n
+            assert phrases_by_force(t, whole[name]) == n
+
+
+def phrases_by_force(t, whole):
+    i = count = 0
+    while i < len(t):
+        k = 1
+        while i + k <= len(t) and t[i : i + k] in whole:
+            k += 1
+        i += max(1, k - 1)
+        count += 1
+    return count
+
+
+@pytest.mark.parametrize("block", [3, 16, 50])
+def test_phrases_across_blocks(monkeypatch, block):
+    """Blocks give the phrases of the whole text, also where they never fall into step, with rare characters too."""
+    rng = random.Random(block)
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "COLUMNS", 3)
+    some = lambda n, pool="abcdeé ж中": "".join(rng.choice(pool) for _ in range(n))
+    samples = {"p": ["ab" * 40 + some(60)], "q": [some(200)], "r": [some(90, "xyz ")]}
+    lang = langid.Languages(samples)
+    lang.prepare()
+    texts = [some(rng.randint(0, 400)) for _ in range(40)] + ["ab" * 300, "a" * 333, "xyz " * 70, "é", ""]
+    got = lang.phrases([lang.symbols(t) for t in texts])
+    for t, row in zip(texts, got, strict=True):
+        for name, n in zip(lang.names, row, strict=True):
+            assert phrases_by_force(langid.normalised(t), langid.normalised(samples[name][0])) == n
+
+
+def test_languages_of_any_length_and_script(spark):
+    """Short labelled texts, and scripts of many characters, are learned."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    short = docs.withColumn("text", F.substring("text", 1, 250))
+    got = langid.identify(short).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'").collect()
+    assert len(got) > 150 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.9
+    french = docs.withColumn("text", F.when(F.col("lang") == "fr", F.substring("text", 1, 290)).otherwise(F.col("text")))
+    got = langid.identify(french).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang = 'fr'").collect()
+    assert sum(r.lang_pred == "fr" for r in got) / len(got) > 0.9
+    rng = random.Random(9)
+    rows = []
+    for k, first in enumerate((0x4E00, 0x5E00)):
+        weights = [1 / (i + 1) for i in range(3000)]
+        rows += [(10**6 + 1000 * k + i, "".join(chr(c) for c in rng.choices(range(first, first + 3000), weights, k=rng.randint(40, 900))), f"x{k}") for i in range(150)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    table = docs.select("doc_id", "text", "lang").union(made)
+    got = langid.identify(table).join(made.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 40 and all(r.lang == r.lang_pred for r in got)
+    long = spark.createDataFrame([(1, "uno dos tres " * 9000, "es"), (2, "un deux trois " * 9000, "fr"), (3, "deux trois un", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(long).collect()}[3] == "fr"
+
+
+def test_languages_in_groups_give_the_same(spark, docs, monkeypatch):
+    want = sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs.withColumn("least", F.lit("clash"))).collect())
+    monkeypatch.setattr(langid, "TABLE_BYTES", 1)
+    assert len(langid.groups(langid.sample(docs))) > 1
+    assert sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs).collect()) == want
+
+
+def test_ties_between_languages(spark):
+    rows = [(1, "same text here", "b"), (2, "same text here", "a"), (7, "same text", None), (7, "same text", None)]
+    got = langid.identify(spark.createDataFrame([(i + 10 * k, t, x) for k in range(5) for i, t, x in rows], "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} == {"a"} and len(got) == 20
 
 
 def test_languages(spark, docs, empty):
@@ -281,8 +349,9 @@ def luhn(s):
 
 
 def test_pseudonyms(spark):
-    texts = ["4111111111111111", "4111111111111111 and 4111 1111 1111 1111", "+1 (974) 555-3436", "97.51.17.173 300.1.1.1", "2021-02-28 2021-02-30 31.12.1999", 'token = "908038b7daaf91e730d2f64001c5abcd"', "und.34@mail7.example.com", None, "", "plain 5 words", "1234567890123456"]
-    got = [r.text for r in pseudonyms.pseudonym_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    key = "k1"
+    texts = ["4111111111111111", "4111111111111111 and 4111 1111 1111 1111", "+1 (974) 555-3436", "97.51.17.173 300.1.1.1", "2021-02-28 2021-02-30 31.12.1999", 'token = "908038b7daaf91e730d2f64001c5abcd"', "und.34@mail7.example.com", None, "", "plain 5 words", "1234567890123456", "call +4915112345678 now", "+35312345678"]
+    got = [r.text for r in pseudonyms.pseudonym_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key).orderBy("doc_id").collect()]
     assert luhn(got[0]) and got[0] != texts[0] and got[1].startswith(got[0])
     assert got[1].split(" and ")[1].replace(" ", "") == got[0] and got[1][25] == " "
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[2]) and got[2] != texts[2]
@@ -292,7 +361,92 @@ def test_pseudonyms(spark):
     assert re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", days[0]) and days[1] == "2021-02-30" and re.fullmatch(r"\d\d\.\d\d\.(19|20)\d\d", days[2])
     assert re.fullmatch(r'token = "[0-9a-f]{32}"', got[5]) and got[5] != texts[5]
     assert re.fullmatch(r"[a-z]{3}\.\d\d@[a-z]{4}\d\.example\.com", got[6]) and got[6] != texts[6]
-    assert got[7:10] == [None, "", "plain 5 words"] and len(got[10]) == 16
+    assert got[7:11] == [None, "", "plain 5 words", "1234567890123456"]
+    assert re.fullmatch(r"call \+49\d{11} now", got[11]) and got[11] != texts[11]
+    assert re.fullmatch(r"\+353\d{8}", got[12]) and got[12] != texts[12]
+
+
+def _prf(key, tag, half):
+    return int(hashlib.sha256(f"{key}|{tag}|{half}".encode()).hexdigest()[:15], 16)
+
+
+def _feistel(a, b, size_a, size_b, tag, key):
+    for i in range(8):
+        if i % 2 == 0:
+            a = (a + _prf(key, f"{tag}:{i}", b) % size_a) % size_a
+        else:
+            b = (b + _prf(key, f"{tag}:{i}", a) % size_b) % size_b
+    return a, b
+
+
+def _digits(s, tag, key):
+    n = len(s) // 2
+    a, b = _feistel(int(s[:n]), int(s[n:]), 10**n, 10 ** (len(s) - n), f"{tag}:{len(s)}", key)
+    return f"{a:0{n}d}{b:0{len(s) - n}d}"
+
+
+def _classes(s, tag, key, groups):
+    half = len(s) // 2
+    parts = [s[:half], s[half:]]
+    for r in range(4):
+        own, digest = parts[r % 2], hashlib.sha256(parts[1 - r % 2].encode()).hexdigest()
+        new = ""
+        for i, c in enumerate(own):
+            k = _prf(key, f"{tag}:{r}:{i}", digest)
+            new += next((g[(g.index(c) + k) % len(g)] for g in groups if c in g), c)
+        parts[r % 2] = new
+    return "".join(parts)
+
+
+def test_pseudonyms_against_a_second_network(spark):
+    """The same Feistel network written in Python."""
+    rng = random.Random(12)
+    key, groups = "second", ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    rows = []
+    for _ in range(60):
+        body = str(rng.randint(10**14, 10**15 - 1))
+        card = next(body + d for d in "0123456789" if luhn(body + d))
+        new = _digits(card[:-1], "card", key)
+        rows.append((card, next(new + d for d in "0123456789" if luhn(new + d))))
+        ip = [rng.randint(0, 255) for _ in range(4)]
+        a, b = _feistel(ip[0] * 256 + ip[1], ip[2] * 256 + ip[3], 65536, 65536, "ip", key)
+        rows.append((".".join(map(str, ip)), f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"))
+        digits = str(rng.randint(10**9, 10**10 - 1))
+        new = _digits(digits, "phone", key)
+        rows.append((f"+1 ({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"+1 ({new[:3]}) {new[3:6]}-{new[6:]}"))
+        local, host = "".join(rng.choices("abcXYZ019._", k=rng.randint(1, 12))), "".join(rng.choices("abz-9", k=rng.randint(1, 9)))
+        rows.append((f"{local}@{host}.example.org", f"{_classes(local, 'email', key, groups)}@{_classes(host, 'host', key, groups)}.example.org"))
+        secret = "".join(rng.choices("0123456789abcdef", k=32)) + "a"
+        rows.append((f"token: {secret}", f"token: {_classes(secret, 'secret', key, ('0123456789abcdef',))}"))
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049))
+        n = (day - datetime.date(1900, 1, 1)).days
+        while True:
+            a, b = _feistel(n // 270, n % 270, 271, 270, "date", key)
+            n = a * 270 + b
+            if n < 73049:
+                break
+        rows.append((day.strftime("%d.%m.%Y"), (datetime.date(1900, 1, 1) + datetime.timedelta(n)).strftime("%d.%m.%Y")))
+    df = spark.createDataFrame([(i, f"see {a} there") for i, (a, _) in enumerate(rows)], "doc_id long, text string")
+    got = [r.text for r in pseudonyms.pseudonym_table(df, key).orderBy("doc_id").collect()]
+    assert got == [f"see {b} there" for _, b in rows]
+
+
+def test_pseudonyms_of_hostile_texts(spark):
+    """Long runs and hosts of many labels: linear time, no recursion."""
+    n = 1_000_000
+    texts = ["a" * n, "x@" + "a." * 100_000 + "com", "1" * n, "key" + " " * n, "key=" * (n // 4), "a@" * (n // 2), "1.2." * (n // 4), "12 " * (n // 3), "+1 " * (n // 3), "z" * 20_000 + "@host.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r.doc_id: (r.text, r.n_replaced) for r in pseudonyms.pseudonym_table(df, "k").collect()}
+    assert time.time() - began < 60
+    assert got[0] == (texts[0], 0) and got[1][1] == 1 and len(got[1][0]) == len(texts[1]) and got[2] == (texts[2], 0) and got[9][1] == 1
+
+
+def test_pseudonyms_beside_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "1.2.3.4", "a", 7)], "doc_id long, text string, pii string, n_chars long")
+    out = pseudonyms.pseudonymise(df, "k")
+    row = out.first()
+    assert out.columns == df.columns and row.pii == "a" and row.n_chars == len(row.text) and row.text != "1.2.3.4"
 
 
 def test_permutations_are_one_to_one(spark):
@@ -306,8 +460,8 @@ def test_permutations_are_one_to_one(spark):
 
 
 def test_pseudonymised_documents(docs, empty):
-    out = pseudonyms.pseudonymise(docs)
-    assert out.columns == docs.columns and out.count() == docs.count() and pseudonyms.pseudonymise(empty).count() == 0
+    out = pseudonyms.pseudonymise(docs, "k")
+    assert out.columns == docs.columns and len(out.collect()) == docs.count() and pseudonyms.pseudonymise(empty, "k").count() == 0
     nodes = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in nodes and "Arrow" not in nodes
 
@@ -336,6 +490,99 @@ def test_pages(spark):
     assert got[2] == got[3] == got[4] == ("", 0)
 
 
+def test_pages_of_the_table(spark, tmp_path):
+    """Every page of the smallest table against its article, cut by the library's parser."""
+
+    class Article(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.blocks, self.inside = [], False
+
+        def handle_starttag(self, tag, _):
+            self.inside = self.inside or tag == "article"
+            if tag in ("article", "h1", "h2", "p", "li"):
+                self.blocks.append("")
+            elif tag == "br":
+                self.handle_data(" ")
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        a = Article()
+        a.feed(r.html)
+        want[r.page_id] = "\n\n".join(t for t in (" ".join(b.split()) for b in a.blocks) if t)
+    again = pages.union(pages).withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(-1))
+    got = html_crf.extracted(again).collect()
+    assert len(got) == 2 * len(want) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+    assert html_crf.extracted(pages.limit(0)).count() == 0
+
+
+def test_nothing_of_an_article_is_dropped(spark):
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>Formulas of the year</h1><p>The sum <math><mi>x</mi>+<mi>y</mi></math> is shown here, and it is long enough.</p><noscript><p>A picture of the sum, told in words for all who read.</p></noscript><svg><text>Axis of time</text></svg><p>And so it ends, with a last sentence.</p></article></body></html>"
+    text = html_crf.main_text(page, html_crf.trained())
+    assert all(x in text for x in ("The sum x+y is shown", "told in words", "Axis of time", "it ends")) and "Home" not in text
+
+
+def test_hostile_pages_take_linear_time():
+    n = 50_000
+    pages = ["<a " * n, '<a "' * n, '<a x=">"' * n + 'x="', "<div>a" * n, "<ul>" + "<div>" * n + "<li></li>" * n, "<div>" * n + "</section>" * n, "<!-- " * n, "<script></script" * n, "<script>" * n, "<a " + "= " * n + ">", "&amp" * n, "<" * n, "<p>" * n, "<td>" * n]
+    began = time.time()
+    for p in pages:
+        html_crf.features(html_crf.leaf_blocks(p))
+    assert time.time() - began < 60
+
+
+def test_best_labels_by_force():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 9):
+        field = html_crf.Field(rng.normal(size=(2, 4)), rng.normal(size=(2, 2)))
+        x = rng.integers(0, 2, (n, 4)).astype(float)
+
+        def total(y, x=x, field=field):
+            s = x @ field.weights.T
+            return sum(s[t, k] for t, k in enumerate(y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False))
+
+        best = max(itertools.product((0, 1), repeat=n), key=total)
+        assert field.decode(x).tolist() == list(best)
+    tied = html_crf.Field(np.zeros((2, 4)), np.zeros((2, 2)))
+    assert tied.decode(np.ones((4, 4))).tolist() == [0, 0, 0, 0]
+
+
+def test_training_climbs_the_likelihood(monkeypatch):
+    """The trained field beats all single changes of its weights on the penalised likelihood, counted by force."""
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(html_crf, "FEATURES", ("a", "b", "c"))
+    pages = [(rng.integers(0, 2, (n, 3)).astype(float), rng.integers(0, 2, n)) for n in (1, 3, 4, 6) for _ in range(6)]
+
+    def value(w, m):
+        out = 0.0
+        for x, y in pages:
+            s = x @ w.T
+            of = lambda z, s=s: sum(s[t, k] for t, k in enumerate(z)) + sum(m[a, b] for a, b in zip(z, z[1:], strict=False))
+            out += of(y.tolist()) - np.log(sum(np.exp(of(z)) for z in itertools.product((0, 1), repeat=len(y))))
+        return out / len(pages) - 0.05 * ((w**2).sum() + (m**2).sum()) / 2
+
+    field = html_crf.train(pages, rounds=400, penalty=0.05)
+    top = value(field.weights, field.moves)
+    for k in range(field.weights.size):
+        for step in (-0.2, 0.2):
+            w = field.weights.copy()
+            w.flat[k] += step
+            assert value(w, field.moves) < top
+    for k in range(4):
+        for step in (-0.2, 0.2):
+            m = field.moves.copy()
+            m.flat[k] += step
+            assert value(field.weights, m) < top
+
+
 # --- 10 ---------------------------------------------------------------------------------------------
 
 
@@ -402,6 +649,19 @@ def test_isolated_pairs_in_large_nodes(spark, monkeypatch):
     assert sorted(map(tuple, near_dups.components(df, 4).collect())) == want
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Shared and null ids, equal rows and clashing names: one row of a component stays, and all without words."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, b), (5, a), (5, b), (6, a + " end"), (7, c), (7, c), (None, c), (None, d), (None, d), (8, None), (8, ""), (None, " "), (9, "x y"), (9, "X y")]
+    df = spark.createDataFrame([(i, t, k, "s", 1.5) for k, (i, t) in enumerate(rows)], "doc_id long, text string, v long, set string, component_id double")
+    out = near_dups.one_of_each(df, 5)
+    assert out.columns == df.columns
+    kept = sorted((r.v for r in out.collect()))
+    assert [k for k in kept if k not in (4, 5, 7, 8, 12, 13)] == [0, 1, 9, 10, 11]
+    assert sum(k in (4, 5) for k in kept) == sum(k in (7, 8) for k in kept) == sum(k in (12, 13) for k in kept) == 1
+    assert near_dups.one_of_each(df.limit(0), 5).count() == 0
+
+
 def test_products_count_as_merges_do():
     rng = np.random.default_rng(4)
     a, b = ([np.unique(rng.integers(0, 6000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(n)] for n in (5, 7))
@@ -412,14 +672,65 @@ def test_products_count_as_merges_do():
 # --- pipeline ---------------------------------------------------------------------------------------
 
 
+def quality_by_force(docs, labels):
+    """doc_ids that the classifier keeps, from its own scores of single documents."""
+    return {r.doc_id for r in quality_qda.score_table(docs, labels).where("predicted = 1").collect()}
+
+
 def test_pipeline(spark):
+    """Each stage against brute force or another tool on what the one before it kept."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    n = docs.count()
+    found = {"documents": docs}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF).cache()
-        assert 0.5 * n < out.count() <= n, name
-        assert name == "encode" or out.columns == docs.columns
-        docs, n = out, out.count()
-    assert docs.count() == corpus_pipeline.run(spark, SF).count()
+        docs = found[name] = stage(spark, docs, SF).cache()
+        assert name == "encode" or docs.columns == found["documents"].columns
+    by_id = {k: {r.doc_id: r.text for r in v.collect()} for k, v in found.items() if k != "encode"}
+    assert by_id["quality"] == {k: by_id["documents"][k] for k in quality_by_force(found["documents"], spark.read.parquet(f"{SF}/labels.parquet"))}
+    rows = sorted(found["quality"].collect(), key=lambda r: r.doc_id)
+    kept = [i for i, _, _, k in components_by_force(rows, 5) if k]
+    assert by_id["near_dups"] == {i: by_id["quality"][i] for i in kept}
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    left = {}
+    for i, t in by_id["near_dups"].items():
+        n, hit, *_ = hits_by_force(t, items)
+        if hit <= 0.5 * n:
+            left[i] = n - hit
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    assert {i: len(find(t.translate(LOWER))) for i, t in by_id["decontaminate"].items()} == left
+    same = {i: t for i, t in by_id["decontaminate"].items() if not re.search("[0-9@]", t)}
+    assert by_id["pseudonyms"].keys() == by_id["decontaminate"].keys() and all(by_id["pseudonyms"][i] == t for i, t in same.items())
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    for r in found["encode"].collect():
+        ids = library.encode(by_id["pseudonyms"][r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
+    assert docs.count() == corpus_pipeline.run(spark, SF).count() == len(by_id["pseudonyms"])
+
+
+def test_pipeline_edges(spark, docs, empty):
+    """Null, empty, long and equal texts, shared ids, clashing names and an empty table go through every stage."""
+    import corpus_pipeline
+
+    wide = docs.withColumn("hits", F.lit(1)).withColumn("v", F.lit("x")).withColumn("pii", F.lit(2.5))
+    for table in (wide, empty):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, SF).cache()
+            assert name == "encode" or out.columns == now.columns
+            assert out.count() <= now.count()
+            now = out
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from sievework.llm import common
+
+    class Unset:
+        sparkContext = type("c", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: {})})
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Unset())
