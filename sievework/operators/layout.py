@@ -19,6 +19,18 @@ def reading_order(blocks: DataFrame, page: str, sequence: str) -> DataFrame:
     return blocks.withColumn("place", (F.row_number().over(w) - 1).cast("bigint"))
 
 
+def sheet_order(tables: DataFrame, file: str) -> DataFrame:
+    """Tables of workbooks with their place: by sheet, then by the region's first row and column, name and id."""
+    w = Window.partitionBy(file).orderBy(F.col("sheet_index").asc_nulls_last(), F.col("row_start").asc_nulls_last(), F.col("column_start").asc_nulls_last(), F.col("name").asc_nulls_last(), "id")
+    return tables.withColumn("place", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+def document_order(parts: DataFrame, file: str) -> DataFrame:
+    """Paragraphs and tables of a document with their place; at one place text comes before tables."""
+    w = Window.partitionBy(file).orderBy(F.col("document_order").asc_nulls_last(), F.col("kind") == "table", "id")
+    return parts.withColumn("place", (F.row_number().over(w) - 1).cast("bigint"))
+
+
 def join_lines(words: DataFrame, page: str, sequence: str, text: str = "text") -> DataFrame:
     """Neighbouring words of one line become one text: (page, line, line_text)."""
     w = Window.partitionBy(page).orderBy(sequence)

@@ -277,3 +277,10 @@ def cell_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     same = a.alias("a").join(b.alias("b"), [*keys, "row", "col"]).where(F.col("a.value").eqNullSafe(F.col("b.value"))).groupBy(*keys).agg(F.count("*").alias("overlap"))
     sizes = area(a, "x").join(area(b, "y"), keys, "full_outer").select(*keys, F.greatest("x", "y").cast("bigint").alias("cells"))
     return sizes.join(same, keys, "left").select(*keys, F.coalesce("overlap", F.lit(0)).alias("overlap"), "cells")
+
+
+def page_consistency(native: DataFrame, image: DataFrame) -> DataFrame:
+    """(page, count_equal, shapes_equal) of tables (page, ordinal, rows, columns) seen natively and on pictures, paired in order."""
+    sides = [t.select("page", "ordinal", F.struct("rows", "columns").alias(k)) for t, k in ((native, "a"), (image, "b"))]
+    both = sides[0].join(sides[1], ["page", "ordinal"], "full_outer")
+    return both.groupBy("page").agg((F.count("a") == F.count("b")).alias("count_equal"), F.count_if(F.col("a") == F.col("b")).alias("shapes_equal"))

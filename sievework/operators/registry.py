@@ -127,12 +127,16 @@ def summary(catalog: DataFrame, files: DataFrame, issues: DataFrame) -> DataFram
     return f.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(i))  # three rows
 
 
-def route_status(files: DataFrame, runs: DataFrame) -> DataFrame:
-    """(file_id, status) of present files: from the newest run of each route on the file's content, pictures from either of theirs."""
+def route_status(files: DataFrame, runs: DataFrame, prefer_vision: bool = False) -> DataFrame:
+    """(file_id, status) of present files: from the newest run of each route on the file's content.
+
+    A picture has the status of the newest run of its two routes; with ``prefer_vision`` that of the vision route if it has any.
+    """
     here = files.where("state = 'present'").select("file_id", F.col("sha256").alias("content"), "support", "source_format")
     own = runs.join(here.select("file_id", "content"), ["file_id", "content"], "left_semi")
     by_route = latest_by(own, ["file_id", "content", "route"], newest_first())
-    picture = latest_by(own.where(F.col("route").isin(*IMAGE_ROUTES)), ["file_id", "content"], newest_first()).select("file_id", F.col("status").alias("image"))
+    first = [(F.col("route") == "vision_llm").desc()] if prefer_vision else []
+    picture = latest_by(own.where(F.col("route").isin(*IMAGE_ROUTES)), ["file_id", "content"], first + newest_first()).select("file_id", F.col("status").alias("image"))
     names = {"structured_native": "structured", "pdf_native_text": "pdf", "ocr_rapidocr": "ocr", "text_plain": "plain", "docx_native": "docx"}
     wide = by_route.groupBy("file_id").pivot("route", list(names)).agg(F.max("status")).withColumnsRenamed(names)
     rows = here.join(wide, "file_id", "left").join(picture, "file_id", "left")
@@ -154,10 +158,10 @@ def route_status(files: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.select("file_id", status.alias("status"))
 
 
-def processing_counts(files: DataFrame, runs: DataFrame) -> DataFrame:
+def processing_counts(files: DataFrame, runs: DataFrame, prefer_vision: bool = False) -> DataFrame:
     """One row: files processed, failed, deferred and finished either way; unsupported ones count nowhere."""
     s = F.col("status")
-    out = route_status(files, runs).agg(F.count_if(s.isin(*DONE)).alias("processed"), F.count_if(s == "failed").alias("failed"), F.count_if(s.isNull() | ~s.isin(*DONE, "failed", "unsupported")).alias("deferred"))
+    out = route_status(files, runs, prefer_vision).agg(F.count_if(s.isin(*DONE)).alias("processed"), F.count_if(s == "failed").alias("failed"), F.count_if(s.isNull() | ~s.isin(*DONE, "failed", "unsupported")).alias("deferred"))
     return out.withColumn("terminal", F.col("processed") + F.col("failed"))
 
 
@@ -184,7 +188,7 @@ def file_rollup(files: DataFrame, assets: DataFrame, cleaning: DataFrame, issues
     quality = F.when(n("unusable") > 0, "unusable").when(n("needs_review") > 0, "needs_review").when(n("ready") > 0, "ready").otherwise("not_assessed")
     evidence = F.when(supported & empty, "no_evidence").when(supported & (n("good") > 0), "available").otherwise("not_assessed")
     return out.select(
-        "file_id", "filename", "relative_path", "source_format", "support", "state", n("tables").alias("tables"), n("texts").alias("texts"),
+        "file_id", "filename", "relative_path", "source_format", "support", "state", "sha256", n("tables").alias("tables"), n("texts").alias("texts"),
         F.when(n("paged") > 0, n("paged")).when(n("unpaged") > 0, 1).otherwise(0).cast("bigint").alias("text_pages"),
         n("issues").alias("issues"), processing.alias("processing_status"), quality.alias("quality_status"), evidence.alias("evidence_status"), F.when(n("enriched") > 0, "enriched").otherwise("pending").alias("semantic_status"),
     )
@@ -320,3 +324,36 @@ def stale_records(records: DataFrame, files: DataFrame) -> DataFrame:
     changed = ~F.col("content").eqNullSafe(F.col("__now"))
     state = F.when((F.col("state") == "queued") & changed, "cancelled").when(F.col("state") == "running", "queued").otherwise(F.col("state"))
     return rows.withColumn("state", state).drop("__now")
+
+
+def insight_preview(rollup: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: files ready for insight, those with a finished record of their content, those being worked on, and what is left."""
+    last = latest_by(records, ["file_id", "content"], [F.desc("at"), F.asc("state")]).select("file_id", F.col("content").alias("sha256"), F.col("state").alias("record"))
+    ready = rollup.where("processing_status = 'ready' and sha256 is not null").join(last, ["file_id", "sha256"], "left")
+    out = ready.agg(F.count("*").alias("ready"), F.count_if(F.col("record") == "completed").alias("cached"), F.count_if(F.col("record").isin("queued", "running")).alias("active"))
+    return out.withColumn("pending", F.col("ready") - F.col("cached") - F.col("active"))
+
+
+def file_detail(file_id: str, rollup: DataFrame, texts: DataFrame, tables: DataFrame, budget: int = 12_000) -> DataFrame:
+    """(file_id, processing_status, kind, asset_id, page_number, text): a file's children; texts by page share one budget of characters."""
+    from sievework.operators.evidence import context_blocks
+
+    one = rollup.where(F.col("file_id") == file_id).select("file_id", "processing_status")
+    own = texts.where((F.col("file_id") == file_id) & F.col("is_current")).select("file_id", "asset_id", "page_number", "text")
+    own = own.withColumn("page_order", F.coalesce("page_number", F.lit(2**40)))
+    shown = context_blocks(own, "file_id", ["page_order", "asset_id"], "text", budget)
+    t = tables.where((F.col("file_id") == file_id) & F.col("is_current")).select("file_id", F.lit("table").alias("kind"), "asset_id", "page_number", F.lit(None).cast("string").alias("text"))
+    children = shown.select("file_id", F.lit("text").alias("kind"), "asset_id", "page_number", "text").unionByName(t)
+    return one.join(children, "file_id", "left")
+
+
+def reprocess_refusal(row_state: Column, relative_path: Column, known: Column, now: Column) -> Column:
+    """Why one file may not be processed again: gone, outside of its root, or with other content than is registered; else null."""
+    outside = relative_path.rlike(r"^(?:/|[A-Za-z]:)") | relative_path.rlike(r"(?:^|/)\.\.(?:/|$)")
+    return F.when(row_state != "present", "missing").when(outside, "outside_root").when(~known.eqNullSafe(now), "content_changed")
+
+
+def counts(assets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: tables, texts and chunks that search sees."""
+    a = assets.agg(F.count_if(F.col("asset_type") == "table").alias("tables"), F.count_if(F.col("asset_type") == "text").alias("texts"))
+    return a.crossJoin(F.broadcast(chunks.agg(F.count("*").alias("chunks"))))  # two rows

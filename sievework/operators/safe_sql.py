@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+import math
 import threading
 import uuid
 
-from pyspark.errors import ParseException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import ParseException
+from pyspark.sql import DataFrame, Row, SparkSession
 
 # fixed values: limits of a request
 MAX_BYTES, MAX_RELATIONS, MAX_INPUT_ROWS, MAX_ROWS, TIMEOUT_S = 32 * 1024, 8, 50_000, 500, 10.0
+MAX_ID, MAX_CELL, MAX_RESPONSE = 160, 10_000, 2 * 1024 * 1024
 
 #: Parsed nodes that only read; everything else is refused.
 PLANS = frozenset(
@@ -102,20 +106,106 @@ def validate(spark: SparkSession, sql: str, relations: set[str]) -> str:
     return text
 
 
+def selected(ids: list[str], assets: DataFrame) -> list:
+    """Rows (asset_id, trust, ...) of the requested tables in the order of the request: one to eight, known, confirmed."""
+    if not isinstance(ids, list) or not ids:
+        raise SqlRefused("assets_required")
+    if len(ids) > MAX_RELATIONS:
+        raise SqlRefused("too_many_assets")
+    wanted = [i.strip() if isinstance(i, str) else "" for i in ids]
+    if any(not i or len(i) > MAX_ID for i in wanted):
+        raise SqlRefused("invalid_asset_id")
+    if len(set(wanted)) < len(wanted):
+        raise SqlRefused("duplicate_asset_id")
+    found = {r.asset_id: r for r in assets.where(assets.asset_id.isin(wanted)).collect()}
+    if any(i not in found for i in wanted):
+        raise SqlRefused("table_asset_not_found")
+    if any(found[i].trust != "confirmed" for i in wanted):
+        raise SqlRefused("table_asset_not_trusted")
+    return [found[i] for i in wanted]
+
+
+def schema(relations: dict[str, DataFrame]) -> dict:
+    """Names and types of the relations, and the limits of a request."""
+    return {
+        "relations": [{"alias": a, "columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema]} for a, df in relations.items()],
+        "limits": {"relations": MAX_RELATIONS, "input_rows": MAX_INPUT_ROWS, "rows": MAX_ROWS, "sql_bytes": MAX_BYTES, "response_bytes": MAX_RESPONSE, "timeout_s": TIMEOUT_S},
+    }
+
+
 def query(relations: dict[str, DataFrame], sql: str) -> DataFrame:
-    """The checked statement over named frames; it can name no other relation."""
+    """The checked statement over named frames; it can name no other relation.
+
+    The names live in a session of their own: views of the caller are neither seen nor replaced, and statements of
+    two callers don't meet. Files can't be named as relations there.
+    """
     if not 1 <= len(relations) <= MAX_RELATIONS:
         raise SqlRefused("invalid_selection")
-    spark = next(iter(relations.values())).sparkSession
-    text = validate(spark, sql, set(relations))
+    caller = next(iter(relations.values())).sparkSession
+    text = validate(caller, sql, set(relations))
+    own = caller.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
+        own.conf.set(key, caller.conf.get(key))
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
     for name, df in relations.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text)
+        plan = own._jsparkSession  # a frame's plan is bound to no session's names
+        jdf = caller._jvm.org.apache.spark.sql.classic.Dataset.ofRows(plan, df._jdf.queryExecution().analyzed())
+        jdf.createOrReplaceTempView(name)
+    return own.sql(text)
+
+
+def json_safe(value, depth: int = 0):
+    """A cell as JSON has it: long strings cut, dates in ISO form, decimals as text, bytes as hexadecimals, no NaN."""
+    if depth > 4:
+        return "[nested value omitted]"
+    if isinstance(value, str):
+        return value if len(value) <= MAX_CELL else value[:MAX_CELL] + "\u2026"
+    if value is None or isinstance(value, bool | int):
+        return value
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    if isinstance(value, datetime.date | datetime.datetime):
+        return value.isoformat()
+    if isinstance(value, bytes | bytearray):
+        return bytes(value[:MAX_CELL]).hex()
+    if isinstance(value, Row):
+        value = value.asDict()
+    if isinstance(value, dict):
+        return {str(k): json_safe(v, depth + 1) for k, v in list(value.items())[:100]}
+    if isinstance(value, list | tuple):
+        return [json_safe(v, depth + 1) for v in value[:100]]
+    return str(value)
+
+
+def response(rows: list, more: bool, most: int = MAX_RESPONSE) -> dict:
+    """Rows for a caller within a number of bytes; the last ones go first, and a single row that is too large is refused."""
+    shown = [json_safe(r) for r in rows]
+    sizes = [len(json.dumps(r, ensure_ascii=False).encode()) + 1 for r in shown]
+    total, keep = 2, 0
+    for size in sizes:
+        if total + size > most:
+            break
+        total += size
+        keep += 1
+    if shown and not keep:
+        raise SqlRefused("query_response_too_large")
+    return {"rows": shown[:keep], "truncated": more or keep < len(shown)}
+
+
+def within(relations: dict[str, DataFrame], most: int, counts: dict[str, int | None] | None = None) -> bool:
+    """The relations hold ``most`` rows at most together. Known counts are taken; other relations are read only until it is decided."""
+    left = most
+    for name, df in relations.items():
+        n = (counts or {}).get(name)
+        left -= n if n is not None else df.limit(left + 1).count()
+        if left < 0:
+            return False
+    return True
 
 
-def execute(relations: dict[str, DataFrame], sql: str, max_rows: int = MAX_ROWS, timeout_s: float = TIMEOUT_S, max_input_rows: int | None = MAX_INPUT_ROWS) -> tuple[list, bool]:
+def execute(relations: dict[str, DataFrame], sql: str, max_rows: int = MAX_ROWS, timeout_s: float = TIMEOUT_S, max_input_rows: int | None = MAX_INPUT_ROWS, counts: dict[str, int | None] | None = None) -> tuple[list, bool]:
     """Rows and whether more were cut off; input rows and seconds are bounded."""
-    if max_input_rows is not None and sum(df.count() for df in relations.values()) > max_input_rows:
+    if max_input_rows is not None and not within(relations, max_input_rows, counts):
         raise SqlRefused("input_rows_too_large")
     df = query(relations, sql)
     sc = df.sparkSession.sparkContext
@@ -132,8 +222,6 @@ def execute(relations: dict[str, DataFrame], sql: str, max_rows: int = MAX_ROWS,
     timer.start()
     try:
         rows = df.limit(max_rows + 1).collect()
-    except PySparkException as e:
-        raise SqlRefused("query_timeout" if fired.is_set() else "query_failed", str(e)[:200]) from None
     except Exception as e:  # py4j wraps a cancelled job
         raise SqlRefused("query_timeout" if fired.is_set() else "query_failed", str(e)[:200]) from None
     finally:

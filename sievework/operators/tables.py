@@ -141,3 +141,17 @@ def numbered_names(names: DataFrame, keys: list[str], place: str, name: str) ->
     rows = names.withColumn("__base", base).withColumn("__low", tx.folded(F.col("__base"))).withColumn("duplicate_ordinal", F.row_number().over(w).cast("bigint"))
     out = F.when(F.col("duplicate_ordinal") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("__"), F.col("duplicate_ordinal").cast("string")))
     return rows.withColumn("name_out", out).drop("__base", "__low")
+
+
+def with_headers(df: DataFrame, columns: list[dict]) -> DataFrame:
+    """A preview under the original headers of a cleaning's mapping; equal ones are numbered."""
+    from collections import Counter
+
+    original = {c["normalized"]: str(c["original"] or c["normalized"]) for c in columns}
+    seen: Counter[str] = Counter()
+    names = []
+    for c in df.columns:
+        name = original.get(c, c)
+        seen[name.lower()] += 1
+        names.append(name if seen[name.lower()] == 1 else f"{name} ({seen[name.lower()]})")
+    return df.toDF(*names)

@@ -895,5 +895,204 @@ def finding_grounds(spark, d):
     return evidence.ground_findings(found, known)
 
 
+@_query
+def text_excerpts(spark, d):
+    """Long texts as three windows of bytes, as a model sees them."""
+    return _t(spark, d, "documents").select("doc_id", F.sha2(documents.excerpt(F.col("text"), 900), 256).alias("sha256"))
+
+
+@_query
+def safe_paths(spark, d):
+    raw = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("/abs/"), "s_name")).when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("C:\\x\\"), "s_name")).otherwise(F.concat(F.lit(" dir\\"), "s_name"))
+    return _t(spark, d, "supplier").select("s_suppkey", evidence.safe_path(raw).alias("path"))
+
+
+@_query
+def safe_metadata(spark, d):
+    """Metadata without the keys of secrets and places."""
+    m = F.create_map(*[x for k in ("API-Key", "k", "workspaceRoot", "token_count", "pathology", "Path") for x in (F.lit(k), F.col("n_name"))])
+    return _t(spark, d, "nation").select("n_nationkey", F.array_join(F.array_sort(F.map_keys(evidence.without_secrets(m))), ",").alias("keys"))
+
+
+@_query
+def evidence_snapshot(spark, d):
+    """Evidence that findings cite first, then the rest, each once, 128 at most."""
+    o = _t(spark, d, "orders").where("o_custkey < 40")
+    findings = o.select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("place"), F.array(F.concat(F.lit("e"), (F.col("o_orderkey") % 90).cast("string")), F.lit("unknown")).alias("evidence_ids"))
+    manifest = o.select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("place"), F.concat(F.lit("e"), (F.col("o_orderkey") % 300).cast("string")).alias("evidence_id"), F.col("o_orderstatus").alias("value"))
+    return evidence.snapshot(findings, manifest)
+
+
+@_query
+def citations_outside(spark, d):
+    """Citations that are not among the allowed ones."""
+    e = _t(spark, d, "events")
+    cited = e.select(F.concat(F.lit("t"), (F.col("event_id") % 300).cast("string")).alias("asset_id"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 4).alias("page_number"), F.when(F.col("event_id") % 2 == 0, "").alias("sheet_name")).distinct()
+    allowed = _t(spark, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("asset_id"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_partkey") % 4).alias("page_number"), F.lit(None).cast("string").alias("sheet_name"))
+    return evidence.checked_citations(cited, allowed).select("asset_id", "page_number", F.coalesce("sheet_name", F.lit("-")).alias("sheet"))
+
+
+@_query
+def insight_contexts(spark, d):
+    f = frames(spark, d, "tables", "texts")
+    texts = f["texts"].select("file_id", F.concat(F.lit("0"), "asset_id").alias("place"), "text")
+    tables_ = f["tables"].select("file_id", F.concat(F.lit("1"), "asset_id").alias("place"), F.concat(F.lit("rows "), F.col("rows").cast("string")).alias("text"), rules.candidate(F.col("source_kind"), F.col("extractor")).alias("candidate"))
+    out = evidence.insight_context(texts, tables_, 6000)
+    return out.select("file_id", "place", F.sha2("text", 256).alias("sha256"))
+
+
+@_query
+def files_selected(spark, d):
+    f = frames(spark, d, "files")["files"]
+    every = evidence.selected_files(f, condition=F.col("source_format") != "png").select("file_id", F.lit("all").alias("how"))
+    return every.unionByName(evidence.selected_files(f, ids=["3", "17", "5", "3", "none"]).select("file_id", F.lit("ids").alias("how")))
+
+
+@_query
+def evidence_collected(spark, d):
+    f = frames(spark, d, "tables", "texts")
+    insights = _t(spark, d, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_suppkey").cast("string").alias("file_id"), F.col("s_name").alias("text"))
+    texts = f["texts"].where("page_number is null").select("file_id", "asset_id", F.sha2("text", 256).alias("text"))
+    tables_ = f["tables"].select("file_id", "asset_id", F.col("quality").alias("text"), (~rules.candidate(F.col("source_kind"), F.col("extractor"))).alias("trusted"))
+    return evidence.collected_evidence(insights, texts, tables_)
+
+
+@_query
+def read_page_texts(spark, d):
+    """Pages put together from recognised blocks, in reading order."""
+    from sievework.operators import semantic
+
+    b = _boxes(spark, d)
+    blocks = b.select(F.lit("f").alias("path"), "page", F.col("seq").alias("block"), F.col("seq").cast("string").alias("text"), "x0", "y0", "x1", "y1", F.when(F.col("seq") % 3 > 0, F.col("x0") / 100).alias("confidence"), F.when(F.col("seq") % 7 > 0, "ok").otherwise("failed").alias("status"))
+    return semantic.page_texts(blocks).select("page", F.sha2("text", 256).alias("sha256"), "confidence", "chars", "quality")
+
+
+@_query
+def processing_policies(spark, d):
+    from sievework.sources import files
+
+    kinds = ("pdf", "jpeg", "png", "xlsx", "docx", "pptx", "zip", "ole_compound", "delimited_text", "plain_text", "html", "unknown", "odd")
+    ends = (".pdf", ".xlsx", ".docx", ".csv", ".tsv", ".xls", ".doc", ".txt", ".md", ".bin")
+    rows = spark.createDataFrame([(k, e) for k in kinds for e in ends], "detected string, ext string")
+    return rows.withColumn("p", files.policy(F.col("detected"), F.col("ext"))).select("detected", "ext", "p.support", "p.source_format", "p.reason", F.concat_ws("", *[F.when(F.col(f"p.{c}"), "x").otherwise("-") for c in ("attempt_table", "attempt_text", "may_ocr", "may_vision")]).alias("tried"))
+
+
+@_query
+def content_health(spark, d):
+    from sievework.sources import files
+
+    dirt = F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("\x01"), 40)).when(F.col("doc_id") % 3 == 1, F.lit("\ufffd\u200b\t")).otherwise("")
+    cells = _t(spark, d, "documents").select(F.col("lang").alias("sheet"), (F.col("doc_id") % 50).alias("part"), F.concat(dirt, F.substring("text", 1, 300)).alias("value"))
+    return files.content_health(cells, ["sheet", "part"])
+
+
+@_query
+def files_excluded(spark, d):
+    from sievework.sources import files
+
+    rows = frames(spark, d, "files")["files"]
+    return rows.where(~files.excluded(F.col("relative_path"), ["dir[12]/*", "*.p?g", ""])).select("file_id")
+
+
+@_query
+def files_without_packages(spark, d):
+    """Paths below an unpacked office package are left out."""
+    from sievework.sources import files
+
+    rows = _t(spark, d, "supplier").select(F.concat(F.lit("d"), (F.col("s_suppkey") % 3).cast("string"), F.when(F.col("s_suppkey") % 5 == 0, "/[Content_Types].xml").when(F.col("s_suppkey") % 5 == 1, F.concat(F.lit("/xl/"), "s_name")).otherwise(F.concat(F.lit("x/"), "s_name"))).alias("path")).distinct()
+    return files.without_packages(rows.where("path not like 'd1/xl/%'"))
+
+
+@_query
+def newest_records(spark, d):
+    return evidence.newest(_t(spark, d, "events").select("event_id", "ts"), "ts", "event_id")
+
+
+@_query
+def stable_ids(spark, d):
+    return _t(spark, d, "nation").select("n_nationkey", sinks.stable_id("tbl_", "n_regionkey", "n_name").alias("id"))
+
+
+@_query
+def sheet_orders(spark, d):
+    p = _t(spark, d, "part")
+    rows = p.select((F.col("p_partkey") % 50).alias("file"), F.when(F.col("p_size") % 6 > 0, F.col("p_size") % 3).alias("sheet_index"), (F.col("p_size") % 4).alias("row_start"), F.when(F.col("p_size") % 5 > 0, F.col("p_size") % 2).alias("column_start"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("id"))
+    return layout.sheet_order(rows, "file").select("file", "id", "place")
+
+
+@_query
+def document_orders(spark, d):
+    e = _t(spark, d, "events").select("user_id", F.when(F.col("event_id") % 9 > 0, F.col("event_id") % 20).alias("document_order"), F.when(F.col("event_type") == "view", "table").otherwise("text").alias("kind"), F.col("event_id").alias("id"))
+    return layout.document_order(e, "user_id").select("user_id", "id", "place")
+
+
+@_query
+def processing_counts_fallback(spark, d):
+    f = frames(spark, d, "files", "runs")
+    return registry.processing_counts(f["files"], f["runs"], prefer_vision=True)
+
+
+@_query
+def insight_preview(spark, d):
+    return registry.insight_preview(file_rollup(spark, d), _records(spark, d))
+
+
+@_query
+def file_details(spark, d):
+    f = frames(spark, d, "tables", "texts")
+    out = registry.file_detail("3", file_rollup(spark, d), f["texts"], f["tables"])
+    return out.select("file_id", "processing_status", "kind", "asset_id", "page_number", F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query
+def reprocess_checks(spark, d):
+    f = frames(spark, d, "files")["files"]
+    path = F.when(F.col("file_id").endswith("7"), F.concat(F.lit("../"), "relative_path")).otherwise(F.col("relative_path"))
+    now = F.when(F.col("file_id").endswith("4"), "other").otherwise(F.col("sha256"))
+    return f.select("file_id", registry.reprocess_refusal(F.col("state"), path, F.col("sha256"), now).alias("refusal"))
+
+
+@_query
+def search_counts(spark, d):
+    f = frames(spark, d, "files", "tables", "texts")
+    return registry.counts(registry.current_assets(f["tables"], f["texts"], f["files"]), chunking.chunks(f["texts"], "asset_id"))
+
+
+@_query
+def asset_selection(spark, d):
+    """Tables for a statement: in the order of the request, refused if one is unknown or unconfirmed."""
+    t = frames(spark, d, "tables")["tables"]
+    status = F.when(F.col("quality") == "pass", "ready").when(F.col("quality") == "fail", "unusable").otherwise("needs_review")
+    assets = t.select("asset_id", rules.trust(status, rules.candidate(F.col("source_kind"), F.col("extractor"))).alias("trust"))
+    good = [r.asset_id for r in assets.where("trust = 'confirmed'").orderBy(F.desc("asset_id")).limit(3).collect()]
+    out = []
+    for ids in (good, good[:1] * 2, ["t0"], ["none"], [], ["x" * 161], [f"t{i}" for i in range(9)]):
+        try:
+            out.append(",".join(r.asset_id for r in safe_sql.selected(ids, assets)))
+        except safe_sql.SqlRefused as e:
+            out.append(e.code)
+    return spark.createDataFrame(list(enumerate(out)), "request bigint, answer string")
+
+
+@_query
+def page_consistency(spark, d):
+    expected, found, _, _ = _scored(spark, d)
+    cols = lambda t: t.select("page", F.col("idx").alias("ordinal"), "rows", "columns")
+    return profiling.page_consistency(cols(expected), cols(found))
+
+
+@_query
+def task_progress(spark, d):
+    from sievework.streaming import ingest
+
+    return _t(spark, d, "nation").select("n_nationkey", F.round(ingest.progress(F.col("n_nationkey"), F.col("n_regionkey") * 5), 6).alias("progress"))
+
+
+@_query
+def layout_upgrade(spark, d):
+    """Rows of an older layout with the columns that came later."""
+    return sinks.upgraded(_t(spark, d, "region"), 1, {"r_source": (2, "string", "native"), "r_rank": (3, "bigint", 0), "r_name": (2, "string", "x")}, 3)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality_by_lang(spark, sf_dir)

@@ -73,7 +73,7 @@ ROLLUP = (
       count(*) FILTER (asset_type = 'text' AND page_number IS NULL) AS unpaged, bool_or(q = 'unusable') AS bad, bool_or(q = 'needs_review') AS unsure, bool_or(q = 'ready') AS good,
       count(*) FILTER ((asset_type = 'text' AND chars > 0) OR (asset_type = 'table' AND q = 'ready' AND NOT {IS_CANDIDATE})) AS usable, sum(n_issues)::BIGINT AS issues, bool_or(described) AS described FROM per_asset GROUP BY 1)""",
     f"""per_route AS (SELECT file_id, count(*) FILTER (status IN ('successful', 'partial')) AS ok, count(*) FILTER (status = 'failed') AS failed, count(*) AS n FROM (SELECT * FROM runs {NEWEST.format('file_id, route')}) GROUP BY 1)""",
-    """rollup AS (SELECT f.file_id, filename, relative_path, source_format, support, state, coalesce(a.tables, 0) AS tables, coalesce(a.texts, 0) AS texts,
+    """rollup AS (SELECT f.file_id, filename, relative_path, source_format, support, state, sha256, coalesce(a.tables, 0) AS tables, coalesce(a.texts, 0) AS texts,
       CASE WHEN paged > 0 THEN paged WHEN unpaged > 0 THEN 1 ELSE 0 END::BIGINT AS text_pages, coalesce(a.issues, 0) AS issues,
       CASE WHEN support <> 'supported' THEN 'unsupported' WHEN ok > 0 AND coalesce(usable, 0) = 0 THEN 'no_evidence' WHEN ok > 0 THEN 'ready' WHEN failed > 0 THEN 'failed' WHEN n IS NULL THEN 'not_processed' ELSE 'processing' END AS processing_status,
       CASE WHEN bad THEN 'unusable' WHEN unsure THEN 'needs_review' WHEN good THEN 'ready' ELSE 'not_assessed' END AS quality_status,
@@ -367,7 +367,9 @@ ORACLES: dict[str, str] = {
       count(*) FILTER (state = 'running' AND p = 1) AS running_preparing, count(*) FILTER (state = 'running' AND p = 0) AS running_calling, 0::BIGINT AS running_saving, count(*) AS total FROM l""",
     "stale_insights": RECORDS.replace("WITH r", statements("files") + ", r", 1)
     + " SELECT CASE WHEN r.state = 'queued' AND content IS DISTINCT FROM f.sha256 THEN 'cancelled' WHEN r.state = 'running' THEN 'queued' ELSE r.state END AS state, count(*) AS n FROM r LEFT JOIN files f ON f.file_id = r.file_id GROUP BY 1",
-    "page_types": r"SELECT CASE WHEN starts_with(s, '<!doctype html') OR starts_with(s, '<html') THEN 'html' WHEN starts_with(s, '<?xml') THEN 'xml' WHEN starts_with(s, '{') OR starts_with(s, '[') THEN 'json' ELSE 'txt' END AS kind, count(*) AS n, sum(length(html))::BIGINT AS chars FROM (SELECT html, lower(ltrim(html)) AS s FROM pages) GROUP BY 1",
+    "page_types": """
+      SELECT CASE WHEN starts_with(s, '<!doctype html') OR starts_with(s, '<html') OR starts_with(s, '<head') OR starts_with(s, '<body') OR contains(s[1:4096], '<html') THEN 'html' WHEN starts_with(s, '<?xml') THEN 'xml' ELSE 'plain_text' END AS kind, count(*) AS n, sum(length(html))::BIGINT AS chars
+      FROM (SELECT html, lower(ltrim(html, ' ' || chr(9) || chr(10) || chr(13))) AS s FROM pages) GROUP BY 1""",
     "benchmark_mentions": r"""
       WITH w AS (SELECT item_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
       i AS (SELECT DISTINCT item_id, least(8, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(8, len(w)) + 2), lambda k: w[k:k + least(8, len(w)) - 1])) AS g FROM w WHERE len(w) > 0),
@@ -437,4 +439,70 @@ ORACLES: dict[str, str] = {
     "first_reuse": """
       WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
       SELECT user_id, coalesce(min_by(event_id, n) FILTER (n > 1 AND event_type = 'error'), min_by(event_id, n)) AS event_id FROM n GROUP BY 1""",
+    "text_excerpts": r"""
+      WITH b AS (SELECT doc_id, text, encode(text) AS r, strlen(text) AS n FROM documents),
+      p AS (SELECT *, [0, greatest(0, (n - 600) // 2), greatest(0, n - 600)] AS pos FROM b),
+      h AS (SELECT *, list_transform(pos, lambda a: hex(r)[2 * a + 1:2 * a + 1200]) AS w FROM p),
+      c AS (SELECT *, list_transform(w, lambda x: regexp_replace(regexp_replace(x, '^([89AB][0-9A-F])+', ''), '(C[2-9A-F]|D[0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-4]([89AB][0-9A-F]){0,2})$', '')) AS v FROM h)
+      SELECT doc_id, sha256(CASE WHEN n <= 3600 THEN text[1:900] ELSE array_to_string(list_transform(v, lambda x: decode(unhex(x))), E'\n...[deterministic excerpt boundary]...\n')[1:900] END) AS sha256 FROM c""",
+    "safe_paths": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 >= 2 THEN 'dir/' || s_name END AS path FROM supplier",
+    "safe_metadata": "SELECT n_nationkey, 'k,pathology' AS keys FROM nation",
+    "evidence_snapshot": """
+      WITH o AS (SELECT o_custkey AS run, o_orderkey AS place, o_orderstatus AS v FROM orders WHERE o_custkey < 40),
+      m AS (SELECT run, place, 'e' || (place % 300) AS id, v FROM o), c AS (SELECT run, place, 'e' || (place % 90) AS id FROM o),
+      k AS (SELECT id, min({'t': t, 'r': run, 'p': place}) AS k FROM (SELECT 0 AS t, run, place, id FROM c UNION ALL SELECT 1, run, place, id FROM m) GROUP BY 1),
+      j AS (SELECT k.id, k.k, (SELECT v FROM m WHERE m.id = k.id ORDER BY run, place LIMIT 1) AS v FROM k WHERE k.id IN (SELECT id FROM m))
+      SELECT id AS evidence_id, v AS value, row_number() OVER (ORDER BY k, id) AS place FROM j QUALIFY place <= 128""",
+    "citations_outside": """
+      WITH c AS (SELECT DISTINCT 't' || (event_id % 300) AS a, CASE WHEN event_id % 3 > 0 THEN event_id % 4 END AS p, CASE WHEN event_id % 2 = 0 THEN '' END AS s FROM events),
+      w AS (SELECT 't' || p_partkey AS a, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 4 END AS p FROM part)
+      SELECT a AS asset_id, p AS page_number, coalesce(s, '-') AS sheet FROM c WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.a = c.a AND w.p IS NOT DISTINCT FROM c.p)""",
+    "insight_contexts": statements("tables", "texts")
+    + f""", b AS (SELECT file_id, '0' || asset_id AS place, text FROM texts UNION ALL SELECT file_id, '1' || asset_id, CASE WHEN {IS_CANDIDATE} THEN '[a candidate table; its cells are not confirmed]' ELSE 'rows ' || "rows" END FROM tables),
+      u AS (SELECT *, 6000 - coalesce(sum(length(text)) OVER (PARTITION BY file_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room, row_number() OVER (PARTITION BY file_id ORDER BY place) AS r FROM b)
+      SELECT file_id, place, sha256(text[1:room::BIGINT]) AS sha256 FROM u WHERE room > 0 AND r <= 500""",
+    "files_selected": statements("files") + "SELECT file_id, 'all' AS how FROM (SELECT * FROM files WHERE state = 'present' AND source_format <> 'png' ORDER BY relative_path, file_id LIMIT 1024) UNION ALL SELECT file_id, 'ids' FROM files WHERE state = 'present' AND file_id IN ('3', '17', '5')",
+    "evidence_collected": statements("tables", "texts")
+    + f""", r AS (SELECT 0 AS t, s_suppkey::VARCHAR AS file_id, 'file_insight' AS kind, NULL AS asset_id, s_name AS text FROM supplier WHERE s_suppkey % 4 = 0
+      UNION ALL SELECT 1, file_id, 'text', asset_id, sha256(text) FROM texts WHERE page_number IS NULL UNION ALL SELECT CASE WHEN {IS_CANDIDATE} THEN 3 ELSE 2 END, file_id, CASE WHEN {IS_CANDIDATE} THEN 'table_candidate' ELSE 'table' END, asset_id, CASE WHEN NOT {IS_CANDIDATE} THEN quality END FROM tables)
+      SELECT file_id, kind, asset_id, text, row_number() OVER (ORDER BY t, file_id, coalesce(asset_id, '')) AS place FROM r QUALIFY place <= 128""",
+    "read_page_texts": BOXES + """SELECT page, sha256(string_agg(seq::VARCHAR, E'\\n\\n' ORDER BY y0, x0, seq)) AS sha256, round(avg(CASE WHEN seq % 3 > 0 THEN x0 / 100 END), 6) AS confidence, length(string_agg(seq::VARCHAR, E'\\n\\n')) AS chars, 'needs_review' AS quality FROM boxes WHERE seq % 7 > 0 GROUP BY 1""",
+    "processing_policies": """
+      WITH m AS (SELECT d, e FROM (SELECT unnest(['pdf', 'jpeg', 'png', 'xlsx', 'docx', 'pptx', 'zip', 'ole_compound', 'delimited_text', 'plain_text', 'html', 'unknown', 'odd']) AS d), (SELECT unnest(['.pdf', '.xlsx', '.docx', '.csv', '.tsv', '.xls', '.doc', '.txt', '.md', '.bin']) AS e)),
+      f AS (SELECT *, CASE WHEN d IN ('pdf', 'jpeg', 'png') THEN d WHEN e = '.xlsx' AND d IN ('xlsx', 'zip', 'unknown') THEN 'xlsx' WHEN e = '.docx' AND d IN ('docx', 'zip', 'unknown', 'plain_text') THEN 'docx' WHEN d = 'pptx' THEN NULL
+        WHEN e IN ('.csv', '.tsv') AND d IN ('delimited_text', 'plain_text', 'unknown') THEN e[2:] WHEN e = '.xls' AND d IN ('ole_compound', 'unknown', 'plain_text', 'zip') THEN 'xls' WHEN e = '.txt' AND d = 'plain_text' THEN 'txt' END AS f FROM m)
+      SELECT d AS detected, e AS ext, CASE WHEN f IS NULL THEN 'unsupported' ELSE 'supported' END AS support, f AS source_format,
+        CASE WHEN f IN ('pdf', 'jpeg', 'png', 'docx') THEN 'supported_' || f || '_table_and_text' WHEN f = 'txt' THEN 'supported_txt_text' WHEN f IS NOT NULL THEN 'supported_' || f || '_table' WHEN d = 'pptx' THEN 'deferred_pptx'
+          WHEN d = 'ole_compound' THEN CASE e WHEN '.doc' THEN 'deferred_doc' ELSE 'unsupported_ambiguous_ole_container' END WHEN d = 'plain_text' THEN CASE e WHEN '.md' THEN 'unsupported_business_format' ELSE 'unsupported_plain_text_extension' END
+          WHEN d IN ('zip', 'html', 'unknown') THEN 'unsupported_business_format' ELSE 'unsupported_unknown_type' END AS reason,
+        CASE WHEN f IN ('pdf', 'jpeg', 'png') THEN 'xxxx' WHEN f = 'docx' THEN 'xx--' WHEN f = 'txt' THEN '-x--' WHEN f IS NULL THEN '----' ELSE 'x---' END AS tried FROM f""",
+    "content_health": """
+      WITH c AS (SELECT lang AS sheet, doc_id % 50 AS part, doc_id % 3 AS k, least(300, length(text)) AS n, length(text[1:300]) - length(replace(text[1:300], chr(10), '')) AS nl FROM documents),
+      g AS (SELECT sheet, part, count(*) AS n_values, sum(n + CASE k WHEN 0 THEN 40 WHEN 1 THEN 3 ELSE 0 END)::BIGINT AS chars, sum(nl + CASE k WHEN 0 THEN 40 WHEN 1 THEN 1 ELSE 0 END)::BIGINT AS controls, sum(CASE k WHEN 0 THEN 40 WHEN 1 THEN 1 ELSE 0 END)::BIGINT AS unprintable, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END)::BIGINT AS replacement FROM c GROUP BY 1, 2)
+      SELECT *, round((controls + unprintable + replacement) / chars, 4) AS bad_ratio, controls < 0.01 * chars AND (controls + unprintable + replacement) / chars < 0.15 AS valid FROM g""",
+    "files_excluded": statements("files") + "SELECT file_id FROM files WHERE relative_path NOT LIKE 'dir1/%' AND relative_path NOT LIKE 'dir2/%' AND relative_path NOT LIKE '%.png'",
+    "files_without_packages": """
+      WITH p AS (SELECT DISTINCT 'd' || (s_suppkey % 3) || CASE s_suppkey % 5 WHEN 0 THEN '/[Content_Types].xml' WHEN 1 THEN '/xl/' || s_name ELSE 'x/' || s_name END AS path FROM supplier)
+      SELECT path FROM p WHERE path NOT LIKE 'd1/xl/%' AND NOT (path[1:3] IN ('d0/', 'd2/') AND EXISTS (SELECT 1 FROM p z WHERE z.path = p.path[1:3] || '[Content_Types].xml') AND EXISTS (SELECT 1 FROM p z WHERE starts_with(z.path, p.path[1:3] || 'xl/')))""",
+    "newest_records": "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "stable_ids": """SELECT n_nationkey, 'tbl_' || sha256('{"n_regionkey":' || n_regionkey || ',"n_name":"' || n_name || '"}')[1:32] AS id FROM nation""",
+    "sheet_orders": """SELECT p_partkey % 50 AS file, p_partkey AS id, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY CASE WHEN p_size % 6 > 0 THEN p_size % 3 END NULLS LAST, p_size % 4, CASE WHEN p_size % 5 > 0 THEN p_size % 2 END NULLS LAST, p_brand, p_partkey) - 1 AS place FROM part""",
+    "document_orders": "SELECT user_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 9 > 0 THEN event_id % 20 END NULLS LAST, event_type = 'view', event_id) - 1 AS place FROM events",
+    "insight_preview": registry(*ROLLUP, RECORDS.replace("WITH r AS", "rec AS", 1).split("\nl AS")[0].rstrip().rstrip(","))
+    + """, lr AS (SELECT file_id, content, state FROM rec QUALIFY row_number() OVER (PARTITION BY file_id, content ORDER BY t0 DESC) = 1)
+      SELECT count(*) AS ready, count(*) FILTER (lr.state = 'completed') AS cached, count(*) FILTER (lr.state IN ('queued', 'running')) AS active, count(*) - count(*) FILTER (lr.state IN ('completed', 'queued', 'running')) AS pending
+      FROM rollup f LEFT JOIN lr ON lr.file_id = f.file_id AND lr.content = f.sha256 WHERE processing_status = 'ready' AND sha256 IS NOT NULL""",
+    "file_details": registry(*ROLLUP)
+    + """, b AS (SELECT asset_id, page_number, text, 12000 - coalesce(sum(length(text)) OVER (ORDER BY page_number NULLS LAST, asset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM texts WHERE file_id = '3' AND is_current),
+      k AS (SELECT 'text' AS kind, asset_id, page_number, sha256(text[1:room::BIGINT]) AS text_sha256 FROM b WHERE room > 0 UNION ALL SELECT 'table', asset_id, page_number, NULL FROM tables WHERE file_id = '3' AND is_current)
+      SELECT file_id, processing_status, kind, asset_id, page_number, text_sha256 FROM (SELECT file_id, processing_status FROM rollup WHERE file_id = '3') LEFT JOIN k ON true""",
+    "reprocess_checks": statements("files") + "SELECT file_id, CASE WHEN state <> 'present' THEN 'missing' WHEN file_id LIKE '%7' THEN 'outside_root' WHEN file_id LIKE '%4' THEN 'content_changed' END AS refusal FROM files",
+    "search_counts": registry(VIEW[0], names=("files", "tables", "texts", "cleaning", "issues", "semantic")) + "SELECT count(*) FILTER (asset_type = 'table') AS tables, count(*) FILTER (asset_type = 'text') AS texts, (SELECT count(*) FROM chunks) AS chunks FROM assets",
+    "asset_selection": statements("tables")
+    + f""", g AS (SELECT asset_id FROM tables WHERE quality = 'pass' AND NOT {IS_CANDIDATE} ORDER BY asset_id DESC LIMIT 3)
+      SELECT 0::BIGINT AS request, string_agg(asset_id, ',' ORDER BY asset_id DESC) AS answer FROM g UNION ALL SELECT * FROM (VALUES (1, 'duplicate_asset_id'), (2, 'table_asset_not_trusted'), (3, 'table_asset_not_found'), (4, 'assets_required'), (5, 'invalid_asset_id'), (6, 'too_many_assets'))""",
+    "page_consistency": SCORED + "SELECT page, count(*) = count(f) AS count_equal, count(*) FILTER (en = fn) AS shapes_equal FROM (SELECT e.page, p.* FROM p JOIN e ON e.id = p.e) GROUP BY 1",
+    "task_progress": "SELECT n_nationkey, round(CASE WHEN n_regionkey = 0 THEN 1.0 ELSE least(1.0, n_nationkey / (n_regionkey * 5)) END, 6) AS progress FROM nation",
+    "layout_upgrade": "SELECT *, 'native' AS r_source, 0::BIGINT AS r_rank FROM region",
 }
+ORACLES["processing_counts_fallback"] = ORACLES["processing_counts"].replace("pic AS (SELECT * FROM own WHERE route IN ('ocr_rapidocr', 'vision_llm') QUALIFY row_number() OVER (PARTITION BY file_id, content ORDER BY ", "pic AS (SELECT * FROM own WHERE route IN ('ocr_rapidocr', 'vision_llm') QUALIFY row_number() OVER (PARTITION BY file_id, content ORDER BY route = 'vision_llm' DESC, ")

@@ -98,7 +98,7 @@ def test_delimited_files(spark, tmp_path):
     got = files.as_table(rows, path)
     assert got.columns == ["x", "X__2", "y"] and tuple(got.first()) == ("1", "a, b", "2")
     kinds = {r.path.rsplit("/", 1)[1]: (r.detected, r.route) for r in files.inventory(spark, str(tmp_path)).collect()}
-    assert kinds["a.csv"] == ("csv", "table") and kinds["c.csv"][0] == "binary"
+    assert kinds["a.csv"] == ("delimited_text", "table") and kinds["c.csv"] == ("unknown", "table")
 
 
 def test_workbooks(spark, tmp_path):
