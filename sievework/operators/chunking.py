@@ -8,37 +8,25 @@ from pyspark.sql import functions as F
 SIZE = 2000
 
 
-def chunk_spans(text: Column, size: int = SIZE) -> Column:
-    """Array of half-open (start, end): windows of ``size``, cut after the last newline of their second half."""
+def pattern(size: int) -> str:
+    """One chunk: the rest if it fits, else up to the last newline of the window's second half, else the whole window."""
     half = size // 2
-    n = F.length(text)
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(state: Column, _: Column) -> Column:
-        start = state["at"]
-        stop = F.least(start + size, n)
-        # the last newline at or after the middle, counted from the window's end
-        tail = F.reverse(text.substr(start + half + 1, F.lit(size - half)))
-        back = F.locate("\n", tail)
-        cut = F.when((start + size < n) & (back > 0), start + size - back + 1).otherwise(stop)
-        more = start < n
-        return F.struct(
-            F.when(more, cut).otherwise(start).alias("at"),
-            F.when(more, F.concat(state["spans"], F.array(F.struct(start.alias("start"), cut.alias("end"))))).otherwise(state["spans"]).alias("spans"),
-        )
-
-    # every chunk but the last has more than half the size
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / half).cast("int")))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+    return rf"(?s).{{1,{size}}}\z|.{{{half},{size - 1}}}\n|.{{{size}}}"
+
+
+def chunk_parts(text: Column, size: int = SIZE) -> Column:
+    """Array of (start, end, chunk_text): windows of ``size``, cut after the last newline of their second half; half-open, from 0."""
+    parts = F.regexp_extract_all(text, F.lit(pattern(size)), F.lit(0))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,chunk_text:string>>").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        end = s["at"] + F.length(p)
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), end.alias("end"), p.alias("chunk_text")))).alias("out"))
+
+    return F.aggregate(parts, start, step, lambda s: s["out"])
 
 
 def chunks(df: DataFrame, key: str, text: str = "text", size: int = SIZE) -> DataFrame:
     """(key, chunk, start, end, chunk_text) of every text; texts without characters have no chunk."""
-    spans = df.where(F.length(text) > 0).select(key, text, F.posexplode(chunk_spans(F.col(text), size)).alias("chunk", "span"))
-    return spans.select(
-        key,
-        F.col("chunk").cast("bigint").alias("chunk"),
-        F.col("span.start").cast("bigint").alias("start"),
-        F.col("span.end").cast("bigint").alias("end"),
-        F.col(text).substr(F.col("span.start") + 1, F.col("span.end") - F.col("span.start")).alias("chunk_text"),
-    )
+    found = df.where(F.length(text) > 0).select(key, F.posexplode(chunk_parts(F.col(text), size)).alias("chunk", "part"))
+    return found.select(key, F.col("chunk").cast("bigint").alias("chunk"), "part.start", "part.end", "part.chunk_text")

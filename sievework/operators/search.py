@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import rules
 from sievework.functions.text import folded, nfc
+from sievework.operators.chunking import chunks
 
 # fixed values: weight of a field, factor of a match kind, points off for quality, bounds of a request
 WEIGHTS = {
@@ -151,16 +152,25 @@ def search_fields(fields: DataFrame, asset: str, query: str, mode: str = "all")
     return hits.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def search_chunks(chunks: DataFrame, asset: str, query: str, mode: str = "all", per_asset: int = PER_ASSET) -> DataFrame:
+def search_chunks(cut: DataFrame, asset: str, query: str, mode: str = "all", per_asset: int = PER_ASSET) -> DataFrame:
     """The best ``per_asset`` chunks of each asset: (asset, chunk, kind, score, start, snippet, place)."""
-    hits = _chunk_hits(chunks, asset, query, mode).withColumn("score", F.lit(float(WEIGHTS["text_phrase" if mode == "phrase" else "text_token"])))
+    hits = _chunk_hits(cut, asset, query, mode).withColumn("score", F.lit(float(WEIGHTS["text_phrase" if mode == "phrase" else "text_token"])))
     w = Window.partitionBy(asset).orderBy(F.desc("score"), "chunk")
     placed = hits.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= per_asset)
     return with_snippets(placed, "chunk_text", query, mode).drop("chunk_text")
 
 
-def _chunk_hits(chunks: DataFrame, asset: str, query: str, mode: str) -> DataFrame:
-    low = chunks.withColumn("__low", folded(F.col("chunk_text")))
+def chunks_of(docs: DataFrame, key: str, query: str, mode: str = "all") -> DataFrame:
+    """Chunks of the texts that hold all terms: a text without one has no hit, so it isn't cut."""
+    terms = [t for t in dict.fromkeys(_terms(query, mode)) if t]
+    if not terms:
+        return chunks(docs.limit(0), key)
+    low = folded(F.col("text"))
+    return chunks(docs.where(reduce(lambda a, b: a & b, [low.contains(t) for t in terms])), key)
+
+
+def _chunk_hits(cut: DataFrame, asset: str, query: str, mode: str) -> DataFrame:
+    low = cut.withColumn("__low", folded(F.col("chunk_text")))
     return low.withColumn("kind", match_kind(F.col("__low"), query, mode)).where("kind is not null").drop("__low")
 
 
@@ -171,7 +181,7 @@ def with_snippets(hits: DataFrame, value: str, query: str, mode: str) -> DataFra
     return low.withColumn("snippet", snippet(F.col("__nfc"), F.col("start"))).drop("__low", "__nfc")
 
 
-def ranked(assets: DataFrame, chunks: DataFrame | None, request: Request) -> DataFrame:
+def ranked(assets: DataFrame, cut: DataFrame | None, request: Request) -> DataFrame:
     """All hits of a request in the best three of each asset: the best field of an asset, and its chunks.
 
     (asset_id, asset_type, chunk, match_kind, score, start, snippet, result_id, place). Chunks are (asset_id, chunk,
@@ -190,9 +200,9 @@ def ranked(assets: DataFrame, chunks: DataFrame | None, request: Request) -> Dat
     meta = search_fields(metadata_fields(found), "asset_id", q, mode)
     meta = meta.select("asset_id", F.lit(None).cast("string").alias("chunk"), F.concat_ws("_", "field", suffix).alias("match_kind"), "score", F.concat(F.col("label"), F.lit(": "), F.col("value")).alias("body"))
     hits = meta.join(light, "asset_id")
-    if chunks is not None and request.asset_type != "table":
+    if cut is not None and request.asset_type != "table":
         kind = F.lit("text_phrase") if mode == "phrase" else F.lit("text_token") if len(q.split()) != 1 else F.concat(F.lit("text_"), F.col("kind"))
-        own = _chunk_hits(chunks, "asset_id", q, mode)
+        own = _chunk_hits(cut, "asset_id", q, mode)
         base = F.lit(float(WEIGHTS["text_phrase" if mode == "phrase" else "text_token"]))
         own = own.select("asset_id", F.col("chunk").cast("string").alias("chunk"), kind.alias("match_kind"), base.alias("score"), F.col("chunk_text").alias("body"))
         hits = hits.unionByName(own.join(light.where("asset_type = 'text'"), "asset_id"))

@@ -107,8 +107,8 @@ def search_ranked(spark, d):
     assets = registry.current_assets(f["tables"], f["texts"], f["files"])
     assets = assets.select("asset_id", "asset_type", "file_id", F.col("base_quality").alias("quality_status"), "source_kind", "extractor", "source_format", F.col("fallback_name").alias("effective_display_name"), "source_file", "source_root", "sheet_name")
     columns = _t(spark, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("asset_id"), F.array("p_name", "p_brand").alias("columns"), F.array("p_type").alias("samples"))
-    chunks = chunking.chunks(f["texts"].where("is_current"), "asset_id")
     request = search.Request(" the  dir1 ", limit=50)
+    chunks = search.chunks_of(f["texts"].where("is_current"), "asset_id", request.query)
     hits = search.ranked(assets.join(columns, "asset_id", "left"), chunks, request)
     more = search.ranked(assets.join(columns, "asset_id", "left"), chunks, search.Request("Brand#1", asset_type="table"))
     out = hits.withColumn("request", F.lit(1)).unionByName(more.withColumn("request", F.lit(2)))
@@ -121,7 +121,7 @@ def search_ranked_page(spark, d):
     docs = frames(spark, d, "texts")["texts"].where("is_current")
     assets = docs.select("asset_id", F.lit("text").alias("asset_type"), "file_id", F.lit("ready").alias("quality_status"), "source_kind", "extractor", F.lit("txt").alias("source_format"), F.col("asset_id").alias("effective_display_name"))
     request = search.Request("of the", mode="phrase", limit=40, offset=7)
-    hits = search.ranked(assets, chunking.chunks(docs, "asset_id"), request)
+    hits = search.ranked(assets, search.chunks_of(docs, "asset_id", request.query, request.mode), request)
     page = search.result_page(hits, request, docs.select("asset_id", "page_number"))
     return page.select("asset_id", "chunk", "score", "start", "page_number", "total")
 
@@ -147,13 +147,13 @@ def cell_occurrences(spark, d):
 
 @_query
 def search_all_tokens(spark, d):
-    chunks = chunking.chunks(_t(spark, d, "documents"), "doc_id")
+    chunks = search.chunks_of(_t(spark, d, "documents"), "doc_id", "the that")
     return search.search_chunks(chunks, "doc_id", "the that").select("doc_id", "chunk", "kind", "score", "start", "place", F.sha2("snippet", 256).alias("snippet_sha256"))
 
 
 @_query
 def search_phrase_page(spark, d):
-    chunks = chunking.chunks(_t(spark, d, "documents"), "doc_id")
+    chunks = search.chunks_of(_t(spark, d, "documents"), "doc_id", "of the", "phrase")
     hits = search.search_chunks(chunks, "doc_id", "of the", mode="phrase")
     return search.page(hits, "doc_id", limit=50, offset=10).select("doc_id", "chunk", "kind", "score", "start")
 
@@ -167,7 +167,7 @@ def search_best_field(spark, d):
 
 @_query
 def search_total_after_cap(spark, d):
-    chunks = chunking.chunks(_t(spark, d, "documents"), "doc_id")
+    chunks = search.chunks_of(_t(spark, d, "documents"), "doc_id", "and")
     hits = search.search_chunks(chunks, "doc_id", "and")
     return hits.agg(F.count("*").alias("total"), F.count_distinct("doc_id").alias("assets"))
 
