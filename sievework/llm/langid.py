@@ -40,6 +40,8 @@ from sievework.llm.common import held_out, map_batches, slices, store
 
 #: Bound of a language's labelled sample, and the lengths that are taken first.
 SAMPLE_CHARS, SAMPLE_DOCS, PREFERRED = 24_000, 400, (300, 3000)
+#: Parts that a language's rows are dealt into before the sample is taken.
+PARTS = 32
 BLOCK = 2048
 #: Characters of a language that have columns of their own in its table.
 COLUMNS = 63
@@ -244,7 +246,12 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
     rank = F.when(n.between(short, long), 0).otherwise(F.when(n < short, short - n).otherwise(n))
     keyed = rows.select("lang", "doc_id", n.alias("n"), rank.alias("rank"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("f"))
     order = [F.col(c) for c in ("rank", "h", "doc_id", "f")]
-    first = keyed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= SAMPLE_DOCS)
+    # in parts first: the last window has PARTS x SAMPLE_DOCS rows of a language at most, however many tasks there are
+    def ranked(df: DataFrame, *keys: str) -> DataFrame:
+        return df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= SAMPLE_DOCS)
+
+    parts = ranked(keyed.withColumn("part", F.pmod(F.xxhash64("f", "h"), F.lit(PARTS))), "lang", "part").drop("r", "part")
+    first = ranked(parts, "lang")
     first = first.groupBy("lang", "doc_id", "f", "n").agg(F.min("r").alias("r"))  # equal rows count once
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     picked = store(first.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).select("lang", "doc_id", "f", "r"), "lang-sample")
