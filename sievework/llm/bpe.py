@@ -8,7 +8,7 @@ refreshed. Words of more than ``LONG`` bytes use the same merges with a heap, so
 white space takes n log n steps.
 
 White-space separated pieces are independent, so each task keeps a dictionary of the pieces it has
-seen, emptied at ``CACHE`` entries. Decoding joins the token strings with a space, as the library does for
+seen, emptied at ``CACHE`` entries or ``CACHE_CHARS`` characters and when the task ends. Decoding joins the token strings with a space, as the library does for
 a vocabulary without a decoder.
 
 Edge cases: null text counts as empty; empty or blank text has no tokens and decodes to the empty string;
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from sievework.llm.common import AT_TASK_END, UNICODE_SPACE, map_batches
 
 LONG = 400
-CACHE = 200_000
+CACHE, CACHE_CHARS = 200_000, 20_000_000
 _NONE = 1 << 62
 _PIECES = re.compile(f"[^{UNICODE_SPACE}]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -70,8 +70,11 @@ class WordCoder:
         self.ids: dict[str, str] = _Pieces(self)
         self.texts: dict[str, str] = {}
         self.seen: dict[str, list[int]] = {}
+        self.held = 0
+        self.marks = {t[0] for t in self.special}
 
     def forget(self) -> None:
+        self.held = 0
         self.ids.clear()
         self.texts.clear()
         self.seen.clear()
@@ -140,9 +143,9 @@ class WordCoder:
 
     def joined(self, text: str) -> tuple[str, str]:
         """Ids and token strings of a text, each joined by a space."""
-        if len(self.ids) > CACHE:
+        if len(self.ids) > CACHE or self.held > CACHE_CHARS:
             self.forget()
-        parts = self.cut.split(text) if self.cut and "<" in text else [text]
+        parts = self.cut.split(text) if self.cut and any(m in text for m in self.marks) else [text]
         ids, tokens = [], []
         for k, part in enumerate(parts):
             if k % 2:
@@ -172,6 +175,7 @@ class _Pieces(dict):
         self.coder = coder
 
     def __missing__(self, piece: str) -> str:
+        self.coder.held += len(piece)
         ids = self.coder.piece(piece)
         out = self[piece] = " ".join(map(str, ids))
         self.coder.texts[piece] = self.coder.decode(ids)

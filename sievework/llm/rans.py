@@ -12,8 +12,10 @@ depend on nothing but the table, so they can be decoded in parallel; ``doc_ids``
 documents. The table is a dataset beside it with a row for each id. Segments carry the number of their range
 partition; the ids before a partition are summed over partitions (one number for each).
 
+The vocabulary's words must not depend on where a piece stands: one that puts a space before every text is refused.
+
 Edge cases: null and empty texts are one end id; a null doc_id sorts first; equal doc_ids stay
-neighbours in text order; no documents give no rows; a checksum that differs on reading raises.
+neighbours in the order of their ids' bytes; no documents give no rows; a checksum that differs on reading raises.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ LANES = 64
 BLOCK = 16384
 #: Ids of a segment; one longer document makes a longer segment.
 SEGMENT = 1 << 20
-#: Pieces of text whose ids a worker remembers.
-CACHE = 1_500_000
+#: Pieces of text whose ids a worker remembers, and their characters and ids together; beyond either it starts anew.
+CACHE, CACHE_SIZE = 1_500_000, 40_000_000
 #: Bytes of token ids (two each) for one range partition.
 PARTITION_BYTES = 48_000_000
 _LOW = np.uint64(1 << 31)
@@ -68,13 +70,15 @@ class PieceTokens:
         self.whole = self.library.normalizer is not None or any("<" not in t for t in self.special)
         with open(path, encoding="utf-8") as f:
             how = json.load(f)["pre_tokenizer"] or {}
-        self.plain = how.get("type") == "ByteLevel" and how.get("use_regex") and not how.get("add_prefix_space")
+        if any(k.get("add_prefix_space") or k.get("type") == "Metaspace" for k in (how, *how.get("pretokenizers", ()))):
+            raise ValueError(f"{path}: a space is put before every piece")
+        self.plain = how.get("type") == "ByteLevel" and how.get("use_regex")
         self._clear()
 
     def _clear(self):
         self.head, self.tail = _Index(self, ""), _Index(self, " ")
         self.words: dict[str, array] = {}
-        self.pool, self.offsets = array("I"), array("q", [0])
+        self.pool, self.offsets, self.held = array("I"), array("q", [0]), 0
 
     def split(self, piece: str) -> list[str]:
         """The library's words of a piece in byte letters; plain words with a full stop or comma need no pattern."""
@@ -103,7 +107,7 @@ class PieceTokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.offsets) > CACHE:
+        if len(self.offsets) > CACHE or self.held + len(self.pool) > CACHE_SIZE:
             self._clear()
         at, sizes = array("i"), []
         head, tail = self.head, self.tail.__getitem__
@@ -141,6 +145,7 @@ class _Index(dict):
     def __missing__(self, piece: str) -> int:
         owner = self.owner
         at = self[piece] = len(owner.offsets) - 1
+        owner.held += len(piece)
         owner.pool.extend(owner.ids_of(self.before + piece))
         owner.offsets.append(len(owner.pool))
         return at

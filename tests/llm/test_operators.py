@@ -662,6 +662,45 @@ def test_one_row_of_each_component_stays(spark):
     assert near_dups.one_of_each(df.limit(0), 5).count() == 0
 
 
+def test_all_pairs_of_a_large_node_are_found(spark):
+    """1,300 texts around one passage (similarity under 0.7976) with 120 pairs of 0.84, at the operator's own constants."""
+    rng = random.Random(11)
+    own = lambda n: " ".join(f"y{rng.randrange(10**12)}" for _ in range(n))
+    passage = " ".join(f"w{i}" for i in range(200))
+    texts = [(i, f"{passage} {own(25)}") for i in range(1060)]
+    for k in range(120):
+        more = f"{passage} {own(7)}"
+        texts += [(4000 + 2 * k + i, f"{more} {own(18)}") for i in range(2)]
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dups.components(spark.createDataFrame(texts, "doc_id long, text string"), 4).collect()}
+    want = {i: (i, True) for i in range(1060)} | {4000 + 2 * k + i: (4000 + 2 * k, i == 0) for k in range(120) for i in range(2)}
+    assert got == want
+
+
+def test_long_pieces_are_not_kept(monkeypatch):
+    """Caches are bounded by characters, and results don't depend on them."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh", k=3000)) + " tail." for _ in range(8)] + ["one two"] * 3
+    path = vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(rans, "CACHE_SIZE", 4000)
+    tokens = rans.PieceTokens(path)
+    for t in texts:
+        assert tokens.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+        assert tokens.held <= 8000
+    path = vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 4000)
+    code = bpe.WordCoder(path)
+    for t in texts:
+        assert code.encode(t) == library.encode(t, add_special_tokens=False).ids
+        assert code.held <= 8000
+
+
 def test_products_count_as_merges_do():
     rng = np.random.default_rng(4)
     a, b = ([np.unique(rng.integers(0, 6000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(n)] for n in (5, 7))
