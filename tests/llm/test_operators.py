@@ -92,6 +92,36 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_quality_against_densities(spark):
+    """Scores from single rows, inverses and determinants, without sums, factors or tasks."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {r.doc_id: np.array(quality_qda.statistics(r.text)) for r in docs.collect()}
+    learn = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    x = {k: np.array([rows[i] for i, y in learn.items() if y == k and i in rows]) for k in (0, 1)}
+    cov = {k: np.cov(v.T, bias=True) for k, v in x.items()}
+    n = {k: len(v) for k, v in x.items()}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    a, b = quality_qda.SHRINK_POOLED, quality_qda.SHRINK_IDENTITY
+    shrunk = {k: (1 - b) * ((1 - a) * cov[k] + a * pooled) + b * np.diag(np.diag(pooled) + 1e-4) for k in (0, 1)}
+
+    def density(v, k):
+        d = v - x[k].mean(axis=0)
+        return -0.5 * (d @ np.linalg.solve(shrunk[k], d) + np.linalg.slogdet(shrunk[k])[1])
+
+    for r in quality_qda.score_table(docs, labels).collect():
+        odds = (density(rows[r.doc_id], 1) - density(rows[r.doc_id], 0)) / quality_qda.TEMPERATURE + np.log(n[1] / n[0])
+        want = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.3)
+
+
+def test_quality_beside_clashing_columns(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    wide = docs.withColumn("x", F.lit("clash")).withColumn("score", F.lit(-1))
+    out = quality_qda.keep_good(wide, labels)
+    assert out.columns == wide.columns and {r.x for r in out.collect()} <= {"clash"}
+    assert quality_qda.score_table(wide, labels).count() == docs.count()
+
+
 def test_quality_edges(spark, docs, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality_qda.score_table(docs, labels)
@@ -117,6 +147,30 @@ def test_rule_counts(docs, rows):
         assert want in got[r.doc_id]
 
 
+def test_estimates_by_rows(spark):
+    """Expectation and maximisation over single documents and products of likelihoods, without patterns or odds."""
+    w = weak_supervision
+    voted = w.votes(w.statistics(spark.read.parquet(f"{SF}/documents.parquet").withColumn("kept", F.lit("clash")).select("doc_id", "text"))).cache()
+    rows = voted.collect()
+    v = np.array([[r[f"vote_{x}"] for x in w.RULES] for r in rows])
+    share, acc = w.PRIOR, np.full(len(w.RULES), w.START)
+
+    def good_of():
+        like = lambda up, down: np.prod(np.where(v > 0, up, np.where(v < 0, down, 1.0)), axis=1)
+        g, b = share * like(acc, 1 - acc), (1 - share) * like(1 - acc, acc)
+        return g / (g + b)
+
+    for _ in range(w.ROUNDS):
+        g = good_of()[:, None]
+        share = (g.sum() + w.SMOOTHING * w.PRIOR) / (len(v) + w.SMOOTHING)
+        right = np.where(v > 0, g, np.where(v < 0, 1 - g, 0)).sum(axis=0)
+        acc = np.clip((right + w.SMOOTHING * w.START) / ((v != 0).sum(axis=0) + w.SMOOTHING), w.LOWEST, w.HIGHEST)
+    want = dict(zip([r.doc_id for r in rows], good_of(), strict=True))
+    for r in w.judged(voted).collect():
+        assert abs(r.posterior - want[r.doc_id]) < 1e-6
+        assert r.kept == (not r.base_failed and r.posterior >= w.KEEP_AT)
+
+
 def test_rule_verdicts(spark, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = weak_supervision.verdicts(docs).join(labels, "doc_id").where("not base_failed").collect()
