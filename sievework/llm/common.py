@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import is_remote
 
 #: Documents are handed to Python in slices of at most so many characters (a longer one goes alone).
 SLICE_CHARS = 4_000_000
@@ -46,7 +47,12 @@ def store(df: DataFrame, name: str, *partitions: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are stored and whose plans are gone."""
+    """Let Spark delete the shuffle files of steps whose results are stored and whose plans are gone.
+
+    Only that frees the executors' disks before Spark's own cleaner runs; a session without a JVM of its own skips it.
+    """
+    if is_remote():
+        return
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
