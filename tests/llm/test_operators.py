@@ -717,17 +717,17 @@ def test_one_row_of_each_component_stays(spark):
 
 
 def test_all_pairs_of_a_large_node_are_found(spark):
-    """1,300 texts around one passage (similarity under 0.7976) with 120 pairs of 0.84, at the operator's own constants."""
+    """640 texts around one passage (similarity under 0.7976) with 40 pairs of 0.84, at the operator's own constants."""
     rng = random.Random(11)
     own = lambda n: " ".join(f"y{rng.randrange(10**12)}" for _ in range(n))
     passage = " ".join(f"w{i}" for i in range(200))
-    texts = [(i, f"{passage} {own(25)}") for i in range(1060)]
-    for k in range(120):
+    texts = [(i, f"{passage} {own(25)}") for i in range(560)]
+    for k in range(40):
         more = f"{passage} {own(7)}"
         texts += [(4000 + 2 * k + i, f"{more} {own(18)}") for i in range(2)]
     rng.shuffle(texts)
     got = {r.doc_id: (r.component_id, r.kept) for r in near_dups.components(spark.createDataFrame(texts, "doc_id long, text string"), 4).collect()}
-    want = {i: (i, True) for i in range(1060)} | {4000 + 2 * k + i: (4000 + 2 * k, i == 0) for k in range(120) for i in range(2)}
+    want = {i: (i, True) for i in range(560)} | {4000 + 2 * k + i: (4000 + 2 * k, i == 0) for k in range(40) for i in range(2)}
     assert got == want
 
 
@@ -770,16 +770,24 @@ def quality_by_force(docs, labels):
     return {r.doc_id for r in quality_qda.score_table(docs, labels).where("predicted = 1").collect()}
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, monkeypatch):
     """Each stage against brute force or another tool on what the one before it kept."""
     import corpus_pipeline
     from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    found = {"documents": docs}
-    for name, stage in corpus_pipeline.STAGES:
-        docs = found[name] = stage(spark, docs, SF).cache()
-        assert name == "encode" or docs.columns == found["documents"].columns
+    found = {}
+
+    def seen(before, stage):
+        def run(spark, docs, sf_dir):
+            found[before] = docs
+            return stage(spark, docs, sf_dir)
+
+        return run
+
+    names = ["documents", *(name for name, _ in corpus_pipeline.STAGES)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, seen(before, stage)) for before, (name, stage) in zip(names, corpus_pipeline.STAGES, strict=False)])
+    found["encode"] = corpus_pipeline.run(spark, SF).cache()
+    assert all(v.columns == found["documents"].columns for k, v in found.items() if k != "encode")
     by_id = {k: {r.doc_id: r.text for r in v.collect()} for k, v in found.items() if k != "encode"}
     assert by_id["quality"] == {k: by_id["documents"][k] for k in quality_by_force(found["documents"], spark.read.parquet(f"{SF}/labels.parquet"))}
     rows = sorted(found["quality"].collect(), key=lambda r: r.doc_id)
@@ -801,7 +809,7 @@ def test_pipeline(spark):
     for r in found["encode"].collect():
         ids = library.encode(by_id["pseudonyms"][r.doc_id], add_special_tokens=False).ids
         assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
-    assert docs.count() == corpus_pipeline.run(spark, SF).count() == len(by_id["pseudonyms"])
+    assert found["encode"].count() == len(by_id["pseudonyms"])
 
 
 def test_pipeline_edges(spark, docs, empty):
