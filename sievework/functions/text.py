@@ -32,6 +32,14 @@ def folded(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), _icu("lang.UCharacter", "foldCase", composed, True)).otherwise(F.lower(text))
 
 
+def unfolded(composed: Column, place: Column) -> Column:
+    """Zero-based place in a composed text of a place in its folded form, where one letter may have become several."""
+    step = lambda s, c: F.struct((s["at"] + F.length(folded(c))).alias("at"), (s["n"] + F.when(s["at"] + F.length(folded(c)) <= place, 1).otherwise(0)).alias("n"))
+    letters = F.regexp_extract_all(composed, F.lit("(?s)."), F.lit(0))
+    counted = F.aggregate(letters, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), step, lambda s: s["n"])
+    return F.when(F.length(folded(composed)) == F.length(composed), place).otherwise(counted).cast("bigint")
+
+
 def unix_lines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import rules
-from sievework.functions.text import folded, nfc
+from sievework.functions.text import folded, nfc, unfolded
 from sievework.operators.chunking import chunks
 
 # fixed values: weight of a field, factor of a match kind, points off for quality, bounds of a request
@@ -175,9 +175,9 @@ def _chunk_hits(cut: DataFrame, asset: str, query: str, mode: str) -> DataFrame:
 
 
 def with_snippets(hits: DataFrame, value: str, query: str, mode: str) -> DataFrame:
-    """Hits with ``start`` and ``snippet``; taken after the limit of an asset or a page, since they are long."""
+    """Hits with ``start``, a place in the composed value, and ``snippet``; taken after the limit of an asset or a page, since they are long."""
     low = hits.withColumn("__low", folded(F.col(value)))
-    low = low.withColumn("start", first_start(F.col("__low"), query, mode)).withColumn("__nfc", nfc(F.col(value)))
+    low = low.withColumn("__nfc", nfc(F.col(value))).withColumn("start", unfolded(F.col("__nfc"), first_start(F.col("__low"), query, mode)))
     return low.withColumn("snippet", snippet(F.col("__nfc"), F.col("start"))).drop("__low", "__nfc")
 
 

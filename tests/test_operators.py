@@ -1,6 +1,7 @@
 """Edge cases of the research-data operators."""
 
 import io
+import unicodedata
 import zipfile
 
 import pytest
@@ -152,6 +153,18 @@ def test_search_requests(spark):
     assert search.ranked(assets, None, search.Request(" ")).count() == 0
 
 
+def test_snippets_start_where_the_text_does(spark):
+    from sievework.operators import search
+
+    text = "Stra\u00dfe \ufb01n \U0001d11e " + "x " * 200 + "the " + "y " * 300
+    cases = ((text, "the", text.index("the")), ("\u00df\u00df stra\u00dfe", "strasse", 3), ("a\u0301 the", "the", 2), ("\u00dft", "st", 0), ("\u00dft", "\u00df", 0))
+    for value, query, start in cases:
+        hit = search.with_snippets(spark.createDataFrame([(value,)], "v string"), "v", query, "all").first()
+        composed = unicodedata.normalize("NFC", value)
+        begin = max(0, min(len(composed), max(0, start - 166) + 500) - 500)
+        assert hit.start == start and hit.snippet.strip("\u2026") == composed[begin : begin + 500]
+
+
 def test_occurrences_do_not_overlap(spark):
     from sievework.operators import search
 
