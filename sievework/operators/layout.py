@@ -19,6 +19,13 @@ def reading_order(blocks: DataFrame, page: str, sequence: str) -> DataFrame:
     return blocks.withColumn("place", (F.row_number().over(w) - 1).cast("bigint"))
 
 
+def mean_in_order(value: Column, *order: Column) -> Column:
+    """The mean of a group's values that aren't null, added up in an order, so that it is the same however rows are dealt out."""
+    row = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.cast("double").alias("v"))
+    rows = F.array_sort(F.collect_list(F.when(value.isNotNull(), row)))
+    return F.try_divide(F.aggregate(rows, F.lit(0.0), lambda s, x: s + x["v"]), F.size(rows))
+
+
 def sheet_order(tables: DataFrame, file: str) -> DataFrame:
     """Tables of workbooks with their place: by sheet, then by the region's first row and column, name and id."""
     w = Window.partitionBy(file).orderBy(F.col("sheet_index").asc_nulls_last(), F.col("row_start").asc_nulls_last(), F.col("column_start").asc_nulls_last(), F.col("name").asc_nulls_last(), "id")
@@ -207,9 +214,9 @@ def scaled(box: list[Column], image: tuple[Column, Column], page: tuple[Column,
 
 
 def table_flags(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None) -> DataFrame:
-    """(keys, flags) of recognised tables from cells (keys, row, col, value[, width, height]) and text blocks (keys, confidence).
+    """(keys, flags) of recognised tables from cells (keys, row, col, value[, width, height]) and text blocks (keys, confidence[, place]).
 
-    Cells are all places of the rows as read, filled or not. Medians are exact, over one table's cells.
+    Confidences are added up in order of ``place``, if it is there. Cells are all places of the rows as read, filled or not. Medians are exact, over one table's cells.
     """
     value = F.trim(F.coalesce("value", F.lit("")))
     filled = F.length(value) > 0
@@ -230,7 +237,8 @@ def table_flags(cells: DataFrame, keys: list[str], blocks: DataFrame | None = No
         merged = (F.col("boxes") >= 4) & (((F.col("mw") > 0) & (F.col("xw") > F.col("mw") * WIDE_CELL)) | ((F.col("mh") > 0) & (F.col("xh") > F.col("mh") * TALL_CELL)))
     unsure, unread = F.lit(False), F.lit(False)
     if blocks is not None:
-        g = g.join(blocks.groupBy(*keys).agg(F.avg("confidence").alias("sure"), F.lit(True).alias("read")), keys, "left")
+        mean = mean_in_order(F.col("confidence"), F.col("place")) if "place" in blocks.columns else F.avg("confidence")
+        g = g.join(blocks.groupBy(*keys).agg(mean.alias("sure"), F.lit(True).alias("read")), keys, "left")
         unsure, unread = F.col("sure") < LOW_CONFIDENCE, F.col("read").isNull()
     flags = {
         "suspicious_single_column": F.col("widest") <= 1,

@@ -323,12 +323,15 @@ def read_pages(files: DataFrame, reader: Reader) -> DataFrame:
 
 
 def page_texts(blocks: DataFrame) -> DataFrame:
-    """(path, page, text, chars, confidence, quality) of read pages: blocks in reading order, the mean of known confidences."""
-    from sievework.operators.layout import reading_order
+    """(path, page, text, chars, confidence, quality) of read pages: blocks in reading order, the mean of known confidences.
+
+    Confidences are added up in order of ``block`` and rounded half up as binary numbers.
+    """
+    from sievework.operators.layout import mean_in_order, reading_order
 
     rows = blocks.where("status = 'ok' and text is not null").withColumn("__key", F.struct("path", "page"))
     placed = reading_order(rows, "__key", "block")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
-    out = placed.groupBy("path", "page").agg(F.array_join(parts, "\n\n").alias("text"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    out = placed.groupBy("path", "page").agg(F.array_join(parts, "\n\n").alias("text"), (F.round(mean_in_order(F.col("confidence"), F.col("block")) * 1e6) / 1e6).alias("confidence"))
     quality = F.when(F.length(F.trim("text")) == 0, "unusable").otherwise("needs_review")
     return out.withColumn("chars", F.length("text").cast("bigint")).withColumn("quality", quality)

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import time
 import zipfile
 
@@ -72,6 +73,15 @@ def test_read_pages_are_checked(spark):
     assert [(r.text, r.confidence, r.quality) for r in semantic.page_texts(blocks).collect()] == [("two\n\nwords", 0.55, "needs_review")]
 
 
+def test_confidences_add_up_in_order_of_blocks(spark):
+    rng = random.Random(1)
+    sure = [rng.randint(0, 96) / 100 for _ in range(32)]
+    rows = [("a", 1, i, "x", 0.0, float(i), 1.0, i + 1.0, c, "ok") for i, c in enumerate(sure)]
+    shape = "path string, page long, block long, text string, x0 double, y0 double, x1 double, y1 double, confidence double, status string"
+    got = {semantic.page_texts(spark.createDataFrame(r, shape)).first().confidence for r in (rows, rows[::-1], [(*r[:5], -r[5], *r[6:]) for r in rows])}
+    assert got == {0.415312}
+
+
 def test_reports_fall_back():
     known = {"e1": {"kind": "text", "text": "t", "api_key": "s", "source": {"fileId": "f"}}, "e2": {"kind": "table", "rows": [{"a": 1}] * 200, "columns": ["a"]}}
     shown = evidence.projected(known)
