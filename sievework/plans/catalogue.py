@@ -744,7 +744,8 @@ def _read_cells(spark, d):
 
 @_query
 def image_table_flags(spark, d):
-    blocks = _t(spark, d, "lineitem").where("l_orderkey % 9 > 0").select(F.col("l_orderkey").alias("table_id"), F.round(F.col("l_discount") * 10, 1).alias("confidence"))
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    blocks = _t(spark, d, "lineitem").where("l_orderkey % 9 > 0").select(F.col("l_orderkey").alias("table_id"), F.round(F.col("l_discount") * 10, 1).alias("confidence"), place)
     return layout.table_flags(_read_cells(spark, d), ["table_id"], blocks).select("table_id", F.array_join("flags", ",").alias("flags"))
 
 

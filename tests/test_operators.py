@@ -174,6 +174,18 @@ def test_occurrences_do_not_overlap(spark):
     assert search.text_occurrences(df, "\\E").count() == 1
 
 
+def test_confidences_of_a_table_add_up_in_order(spark):
+    from sievework.operators import layout
+
+    cells = spark.createDataFrame([(1, r, "x") for r in (0, 0, 1, 1)], "t int, row int, value string")
+    sure = [0.0, 0.9, 1.0, 0.7]
+    for values, low in ((sure, True), (sure[::-1], False)):  # 2.5999999999999996 and 2.6
+        rows = [(1, i, c) for i, c in enumerate(values)]
+        for dealt in (rows, rows[::-1]):
+            blocks = spark.createDataFrame(dealt, "t int, place int, confidence double").coalesce(1)
+            assert ("low_ocr_confidence" in layout.table_flags(cells, ["t"], blocks).first().flags) == low
+
+
 def test_clean_tables(spark):
     from sievework.operators import tables
 
