@@ -7,7 +7,9 @@ so a shard that holds all segments of an anchor decides about their strings alon
 1. Segments are compared by packed hashes of anchor and content, by buckets of anchors. Of equal segments,
    all but those of the smallest document are removed whole. A batch of documents does that for its
    own segments first, so a passage of a third of all documents reaches its bucket once a batch.
-2. What is left of an anchor with several different segments in different documents is cut out of the texts.
+2. What is left of an anchor with several different segments in different documents is cut out of the texts, but for
+   segments whose 33 bytes left and right of the anchor's start are in no segment of another document: in a large
+   corpus most anchors occur again, most of these bytes don't. Anchors that a segment holds twice leave nothing out.
    Each shard of such segments gets a suffix array by induced sorting and its permuted common prefixes; runs
    of suffixes with common prefixes of ``LENGTH`` bytes are equal strings, and all but those of
    the smallest document are removed. Segments whose 33 bytes left or right of the anchor's middle
@@ -39,6 +41,8 @@ from sievework.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 16
+#: A string holds so many bytes on one side of its anchor at least.
+HALF = (LENGTH - GRAM) // 2
 HOT = 4000
 SHARD_BYTES = 1_000_000
 #: Anchors of one bucket when equal segments are looked for.
@@ -75,11 +79,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Segments of all texts: anchor hash, content hash, text number, first string's start, number of strings."""
+    """Segments of all texts: anchor hash, content hash, text number, first string's start, number of strings, side keys."""
     lens = np.array([len(x) for x in texts], np.int64)
     none = np.zeros(0, np.int64)
     if int(lens.sum()) < LENGTH:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none.astype(np.uint32), none.astype(np.uint32)
     h = _grams(np.frombuffer(b"".join(texts), np.uint8))
     w = LENGTH - GRAM + 1
     least, size = h, 1
@@ -102,7 +106,35 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     # a content's hash: the polynomial of its grams, moved to power 0
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_M1, len(h)))])
     content = _mix((total[at + count + (w - 1)] - total[at]) * _powers(_INVERSE, len(h))[at] + count.astype(np.uint64))
-    return least[at], content, own[at], at - (ends - lens)[own[at]], count
+    return least[at], content, own[at], at - (ends - lens)[own[at]], count, *_sides(h, least[at], at, count)
+
+
+#: Side keys that stand for an anchor at several places of its segment, and for a side that is too short.
+SEVERAL, SHORT = 0, 1
+
+
+def _sides(h: np.ndarray, anchor: np.ndarray, at: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """For each segment: hashes of its anchor with the HALF bytes left and right of it."""
+    w = LENGTH - GRAM + 1
+    high = (h >> np.uint64(32)).astype(np.uint32)
+    windows = np.lib.stride_tricks.sliding_window_view(high, w)
+    mine = (anchor >> np.uint64(32)).astype(np.uint32)[:, None]
+    # an anchor of one place is in the first and the last string of the segment
+    first, last = windows[at] == mine, windows[at + count - 1] == mine
+    a = at + first.argmax(axis=1)
+    one = (np.count_nonzero(first, axis=1) == 1) & (np.count_nonzero(last, axis=1) == 1) & (a == at + count - 1 + last.argmax(axis=1))
+    out = []
+    for sign in (-1, 1):
+        there = one & ((a - HALF >= at) if sign < 0 else (a + HALF + GRAM <= at + count + LENGTH - 1))
+        key = np.where(one, np.uint32(SHORT), np.uint32(SEVERAL))
+        key[there] = np.maximum((_side(h, a[there], sign) >> np.uint64(32)).astype(np.uint32), 2)
+        out.append(key)
+    return out
+
+
+def _side(h: np.ndarray, at: np.ndarray, sign: int) -> np.ndarray:
+    """Hashes of the anchors and the HALF bytes beside: grams at the anchor, at the far end of the half, and one between."""
+    return _mix(_mix(h[at] * _M1 + h[at + sign * HALF]) * _M1 + h[at + sign * (HALF // 2)])
 
 
 def _batched(batches, most: int) -> Iterator[pa.Table]:
@@ -119,8 +151,8 @@ def _batched(batches, most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-#: Packed arrays of a row: anchor bits, content hash, differences of doc ids, text hash, start, strings.
-_KINDS = {"h": "<u4", "c": "<u8", "d": "<i8", "f": "<i8", "p": "<i4", "w": "<i4"}
+#: Packed arrays of a row: anchor bits, content hash, differences of doc ids, text hash, start, strings, side keys.
+_KINDS = {"h": "<u4", "c": "<u8", "d": "<i8", "f": "<i8", "p": "<i4", "w": "<i4", "l": "<u4", "r": "<u4"}
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -157,6 +189,22 @@ def removed(h: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return out
 
 
+def _beside(h: np.ndarray, side: np.ndarray, c: np.ndarray, d: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Segments (of ``among``) that have their anchor and the bytes on one side of it in common with another one of another document."""
+    out = np.zeros(len(h), bool)
+    idx = np.flatnonzero(among & (side > SHORT))
+    key = h[idx].astype(np.uint64) << np.uint64(32) | side[idx]
+    some = _shared(key) if len(idx) else idx
+    if len(some):
+        idx, key = idx[some], key[some]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        at = np.flatnonzero(new)
+        differ = np.minimum.reduceat(c[idx], at) != np.maximum.reduceat(c[idx], at)
+        differ &= np.minimum.reduceat(d[idx], at) < np.maximum.reduceat(d[idx], at)
+        out[idx] = differ[np.cumsum(new) - 1]
+    return out
+
+
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows (bucket, done, packed arrays): segments to compare, or ones that the batch has found removed."""
 
@@ -165,7 +213,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
             ids, fps = np.array(table.column("doc_id").to_pylist(), np.int64), np.array(table.column("fp").to_pylist(), np.int64)
             texts = table.column("text").to_pylist()
             by_id = np.argsort(ids, kind="stable")
-            h, c, own, p, w = segments([(texts[i] or "").encode("utf-8", "surrogatepass") for i in by_id])
+            h, c, own, p, w, left, right = segments([(texts[i] or "").encode("utf-8", "surrogatepass") for i in by_id])
             if not len(h):
                 continue
             d, f = ids[by_id][own], fps[by_id][own]  # ascending
@@ -189,6 +237,8 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
                     rows["w"].append(w[part].astype("<i4").tobytes())
                     rows["h"].append(b"" if done else h[part].astype("<u4").tobytes())
                     rows["c"].append(b"" if done else c[part].tobytes())
+                    rows["l"].append(b"" if done else left[part].tobytes())
+                    rows["r"].append(b"" if done else right[part].tobytes())
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int32()), ("done", pa.bool_()), *[(k, pa.binary()) for k in _KINDS]]))
 
     return docs.mapInArrow(run, "bucket int, done boolean, " + ", ".join(f"{k} binary" for k in _KINDS))
@@ -211,15 +261,15 @@ def compared(docs: DataFrame, buckets: int) -> DataFrame:
         def flush():
             if not held["h"]:
                 return
-            h, c, d, f, p, w = [np.concatenate(held[k]) for k in _KINDS]
+            h, c, d, f, p, w, left, right = [np.concatenate(held[k]) for k in _KINDS]
             for k in _KINDS:
                 held[k].clear()
             idx = _shared(h)  # an anchor of one segment has nothing to compare
             if not len(idx):
                 return
-            h, c, d, f, p, w = h[idx], c[idx], d[idx], f[idx], p[idx], w[idx]
+            h, c, d, f, p, w, left, right = (x[idx] for x in (h, c, d, f, p, w, left, right))
             order = np.lexsort((d, c, h))
-            h, c, d, f, p, w = h[order], c[order], d[order], f[order], p[order], w[order]
+            h, c, d, f, p, w, left, right = (x[order] for x in (h, c, d, f, p, w, left, right))
             anchor = np.concatenate([[True], h[1:] != h[:-1]])
             new = anchor | np.concatenate([[True], c[1:] != c[:-1]])
             gone = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -227,8 +277,11 @@ def compared(docs: DataFrame, buckets: int) -> DataFrame:
             group = np.cumsum(anchor) - 1
             kinds = np.add.reduceat(new.astype(np.int64), at)
             several = (kinds > 1) & (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at))
+            maybe = several[group] & ~gone
+            maybe &= np.logical_or.reduceat(left == SEVERAL, at)[group] | _beside(h, left, c, d, maybe) | _beside(h, right, c, d, maybe)
+            kinds = np.add.reduceat((new & maybe).astype(np.int64), at)
             how = np.where(gone, REMOVED, np.where(kinds[group] > HOT, STRINGS, SHARD))
-            keep = gone | several[group]
+            keep = gone | maybe
             yield out(d[keep], f[keep], p[keep], w[keep], how[keep])
 
         for batch in batches:
@@ -286,7 +339,6 @@ def _may_match(contents: list[bytes]) -> np.ndarray:
 
     A string holds LENGTH - GRAM bytes beside its anchor, so it holds half of them on one side.
     """
-    half = (LENGTH - GRAM) // 2
     n = np.array([len(x) for x in contents])
     ends = np.cumsum(n)
     first = ends - n
@@ -300,12 +352,11 @@ def _may_match(contents: list[bytes]) -> np.ndarray:
     own = np.repeat(np.arange(len(n)), inner)[hit]
     keep = np.zeros(len(n), bool)
     for sign in (-1, 1):
-        # grams at the anchor and at the far end of the half determine half + GRAM bytes together with one between
-        a, b = at + sign * half, at + sign * (half // 2)
+        a = at + sign * HALF
         idx = np.flatnonzero((a >= first[own]) & (a + GRAM <= ends[own]))
         if not len(idx):
             continue
-        key = _mix(h[at[idx]] * _M1 + h[a[idx]]) * _M1 + h[b[idx]]
+        key = _side(h, at[idx], sign)
         order = np.lexsort((own[idx], key))
         key, of = key[order], own[idx[order]]
         new = np.concatenate([[True], key[1:] != key[:-1]])

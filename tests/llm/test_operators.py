@@ -381,6 +381,21 @@ def test_long_runs_of_one_period(spark):
     assert sorted(map(tuple, suffix_dedup.cut_table(df).collect())) == cuts_by_force(df.collect())
 
 
+def test_anchors_alone_are_not_cut_out(spark):
+    """Segments that share their anchor only need no shard; those that share a string with it do."""
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    for beside, most in ((0, 0), (17, 800), (40, 10_000)):
+        rows = []
+        for k in range(400):
+            g = some(16 + beside)
+            rows += [(2 * k, some(60) + g + some(60)), (2 * k + 1, some(60) + g + some(60))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        further = suffix_dedup.compared(df.selectExpr("doc_id", "0L as fp", "text"), 4).where(F.col("how") != suffix_dedup.REMOVED).count()
+        assert further <= most and (further > 0) == (most > 0)
+        assert sorted(map(tuple, suffix_dedup.cut_table(df).collect())) == cuts_by_force(df.collect())
+
+
 def test_anchors_that_repeat(spark):
     """A+G+x+G+B and A+G+C: the common strings hold the first of two places of G."""
     rng = random.Random(8)
