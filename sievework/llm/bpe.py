@@ -67,6 +67,7 @@ class WordCoder:
         letters = byte_letters()
         self.first = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.suffix] for c in letters]
+        self.digits = {i: str(i) for i in self.token}
         self.ids: dict[str, str] = _Pieces(self)
         self.texts: dict[str, str] = {}
         self.seen: dict[str, list[int]] = {}
@@ -89,18 +90,18 @@ class WordCoder:
 
     def _scan(self, parts: list[int]) -> list[int]:
         get = self.merge.get
-        ranks = [get(a << 20 | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        ranks = [get(a << 20 | b, _NONE) for a, b in zip(parts, parts[1:])]  # noqa: B905
         while ranks:
             least = min(ranks)
             if least == _NONE:
                 break
             i = ranks.index(least)
-            parts[i] = least & 0xFFFFF
+            new = parts[i] = least & 0xFFFFF
             del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = get(parts[i] << 20 | parts[i + 1], _NONE)
+                ranks[i] = get(new << 20 | parts[i + 1], _NONE)
             if i:
-                ranks[i - 1] = get(parts[i - 1] << 20 | parts[i], _NONE)
+                ranks[i - 1] = get(parts[i - 1] << 20 | new, _NONE)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
@@ -177,8 +178,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> str:
         self.coder.held += len(piece)
         ids = self.coder.piece(piece)
-        out = self[piece] = " ".join(map(str, ids))
-        self.coder.texts[piece] = self.coder.decode(ids)
+        out = self[piece] = " ".join(map(self.coder.digits.__getitem__, ids))
+        self.coder.texts[piece] = " ".join(map(self.coder.token.__getitem__, ids))
         return out
 
 
